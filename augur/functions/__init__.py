@@ -1,0 +1 @@
+"""Column functions: everything here is a Catalyst expression unless it says otherwise."""

@@ -205,6 +205,25 @@ def identify(docs: DataFrame, model: Mixture, text: str = "text", doc_id: str =
     return rows.mapInArrow(run, schema)
 
 
+def keep_known(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have a letter and whose trigrams the learned languages explain
+    better than an even spread; where no language was learned, those that have a letter."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        for batch in slices(batches, 1 << 20):
+            got = [t or "" for t in texts(batch, text)]
+            if model.langs:
+                langs, _, gain, _ = model.infer(got)
+                keep = [x is not None and g > 0 for x, g in zip(langs, gain)]
+            else:
+                keep = [any(map(str.isalpha, t)) for t in got]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """Learns from rows whose crc32(doc_id) mod 3 is not 1 and predicts every row."""
     model = fit(docs.where(crc_mod(doc_id, 3) != 1), text, lang)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.llm import decontam, fm_quality, langid_mix, secrets, sentencepiece_bpe, simhash, token_counts, url_cascade
+from augur.llm import ann_forest, brown_lm, decontam, fm_quality, langid_mix, secrets, sentencepiece_bpe, simhash, token_counts, url_cascade
 
 #: The rules of the url query (action, host, path).
 URL_RULES = [
@@ -36,10 +36,18 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, folder, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, folder, "pages"), url_cascade.rules_frame(spark, URL_RULES))
 
 
+def op6_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return brown_lm.score_texts(table(spark, folder, "documents"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
 
@@ -59,7 +67,10 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_secret_scan, op3_sentencepiece, op5_url_filter, op7_simhash, op8_decontamination, op9_quality, op10_language)
+    for f in (
+        op1_token_counts, op2_secret_scan, op3_sentencepiece, op4_nearest, op5_url_filter,
+        op6_class_lm, op7_simhash, op8_decontamination, op9_quality, op10_language,
+    )
 }
 
 #: The url query: rules written out as a table, the longest that fits.
