@@ -9,7 +9,8 @@ EPS = 1e-6
 
 
 def clip(p: Column, eps: float = EPS) -> Column:
-    return F.greatest(F.least(p, F.lit(1.0 - eps)), F.lit(eps))
+    """Null stays null, which least and greatest alone would skip."""
+    return F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1.0 - eps)), F.lit(eps)))
 
 
 def finite(x: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,12 +133,8 @@ def flatten_richtext_py(node: object) -> str:
 
 def flatten_richtext(tree_json: Column) -> Column:
     """Of a JSON string. The tree's depth is not bounded, so this is an Arrow-batched UDF."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        import json
-
         def one(x: str | None) -> str | None:
             try:
                 return None if x is None else flatten_richtext_py(json.loads(x))

@@ -1,0 +1 @@
+"""Queries over the tables of a folder, and the SQL that says the same."""

@@ -1,0 +1 @@
+"""Reading and writing question data, and mapping sources to the canonical question."""
