@@ -206,37 +206,43 @@ def thresholds(docs: DataFrame, text: str = "text", fdr: float = FDR) -> dict[in
     return out
 
 
-def scan(docs: DataFrame, text: str = "text", limits: dict[int, float] | None = None) -> DataFrame:
-    """``docs`` with a column ``secrets``: array of (start, ord, kind, end), sorted; positions
-    in code points, end exclusive, ``ord`` the place of the kind in KINDS.
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def scan(docs: DataFrame, text: str = "text", limits: dict[int, float] | None = None, out: str = "secrets") -> DataFrame:
+    """``docs`` with a column ``out``: array of (start, ord, kind, end), sorted; positions in
+    code points, end exclusive, ``ord`` the place of the kind in KINDS.
 
     A null text counts as empty and has no secrets. ``random`` spans are left out where
     they touch a span of a base kind. The rule for them looks at all of ``docs`` unless
-    ``limits`` of an earlier call are given.
+    ``limits`` of an earlier call are given. A column that is called ``out`` is replaced.
     """
     limits = thresholds(docs, text) if limits is None else limits
-    clash = {"_t", "_base", "_cand", "secrets"} & set(docs.columns)
-    if clash - {"secrets"}:
-        raise ValueError(f"reserved column names: {clash}")
-    df = docs.drop("secrets").withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    part = [(found("_t", ASSIGN, "length(x.g) >= 8", 2), 0), (found("_t", ACCESS), 1), (found("_t", HEX), 2)]
-    base = ", ".join(f"transform({sql}, x -> struct(x.start as start, {i} as ord, '{KINDS[i]}' as kind, x.end as end))" for sql, i in part)
-    df = df.withColumn("_base", F.expr(f"array_sort(concat({base}))"))
-    df = df.withColumn("_cand", F.expr(f"filter({found('_t', RUN)}, c -> not exists(_base, b -> b.start < c.end and c.start < b.end))"))
+    t, base, cand = (fresh(x, [*docs.columns, out]) for x in ("_t", "_base", "_cand"))
+    df = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    part = [(found(t, ASSIGN, "length(x.g) >= 8", 2), 0), (found(t, ACCESS), 1), (found(t, HEX), 2)]
+    spans = ", ".join(f"transform({sql}, x -> struct(x.start as start, {i} as ord, '{KINDS[i]}' as kind, x.end as end))" for sql, i in part)
+    df = df.withColumn(base, F.expr(f"array_sort(concat({spans}))"))
     if not limits:
-        return df.withColumn("secrets", F.col("_base")).drop("_t", "_base", "_cand")
+        return df.withColumn(out, F.col(base)).drop(t, base)
+    df = df.withColumn(cand, F.expr(f"filter({found(t, RUN)}, c -> not exists({base}, b -> b.start < c.end and c.start < b.end))"))
     # Within a row there is no explode and join; the battery runs inside a transform.
-    tests = F.filter("_cand", lambda c: random_like(c["s"], limits))
+    tests = F.filter(cand, lambda c: random_like(c["s"], limits))
     extra = F.transform(tests, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("ord"), F.lit("random").alias("kind"), c["end"].alias("end")))
-    return df.withColumn("secrets", F.when(F.size("_cand") > 0, F.array_sort(F.concat("_base", extra))).otherwise(F.col("_base"))).drop("_t", "_base", "_cand")
+    return df.withColumn(out, F.when(F.size(cand) > 0, F.array_sort(F.concat(base, extra))).otherwise(F.col(base))).drop(t, base, cand)
 
 
-def redact(scanned: DataFrame, text: str = "text", mark: str = MARK) -> DataFrame:
-    """Replaces every span of ``secrets`` in the text, overlapping ones together."""
-    sql = f"""aggregate(secrets, struct(0 as at, '' as got),
+def redact(scanned: DataFrame, text: str = "text", mark: str = MARK, spans: str = "secrets") -> DataFrame:
+    """Replaces every span in the text, overlapping ones together."""
+    sql = f"""aggregate({spans}, struct(0 as at, '' as got),
         (a, x) -> struct(greatest(a.at, x.end) as at, if(x.start < a.at, a.got, concat(a.got, substring({text}, a.at + 1, x.start - a.at), '{mark}')) as got),
         a -> concat(a.got, substring({text}, a.at + 1)))"""
-    return scanned.withColumn(text, F.when(F.size("secrets") > 0, F.expr(sql)).otherwise(F.col(text)))
+    return scanned.withColumn(text, F.when(F.size(spans) > 0, F.expr(sql)).otherwise(F.col(text)))
 
 
 def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limits: dict[int, float] | None = None) -> DataFrame:

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from augur.llm import decontam, langid_mix, secrets, sentencepiece_bpe, simhash
 from augur.llm.common import crc_mod, shared_dir, written
 
-ROW = "_row"
-
 
 def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` and the name of a column that tells its rows apart: doc_id, or where ids
@@ -25,7 +23,8 @@ def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
     n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == ids:
         return docs, "doc_id"
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id())), ROW
+    row = secrets.fresh("_row", docs.columns)
+    return written(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +50,10 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts by a mark; all documents stay."""
-    out = secrets.redact(secrets.scan(docs))
+    found = secrets.fresh("_secrets", docs.columns)
+    out = secrets.redact(secrets.scan(docs, out=found), spans=found)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

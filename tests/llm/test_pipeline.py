@@ -26,7 +26,7 @@ def docs(spark):
         (9001, None, "en", "s", 0), (9002, "12 34 --", "en", "s", 8), (9003, base, "en", "s", 1), (9004, base + " tail", "en", "s", 1),
         (9005, " ".join(base.split()[:80]) + " " + bench, "en", "s", 1), (9006, "the of and in " + " ".join(base.split()[20:90]) + ' token = "0123456789abcdef0123456789abcdef"', "en", "s", 1),
     ]
-    return d.unionByName(spark.createDataFrame(more, d.schema)).withColumn("score", F.lit("kept"))
+    return d.unionByName(spark.createDataFrame(more, d.schema)).withColumns({c: F.lit("kept") for c in ("score", "secrets", "_row", "_t", "_base", "fp", "word", "row")})
 
 
 def test_stages(spark, docs, tmp_path):
