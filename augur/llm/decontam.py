@@ -44,7 +44,7 @@ def tokens(text: str) -> list[str]:
 
 def hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of tokens; a bounded table keeps those met before."""
-    if len(_cache) > 500_000:
+    if len(_cache) > 200_000:
         _cache.clear()
     get = _cache.get
     out = list(map(get, words))

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from augur.llm.common import slices, texts
 
 SPACE = "▁"
-TABLE = 1_000_000  # segments, and as many pairs, that a worker keeps
+TABLE = 150_000  # segments of a generation; a worker keeps two
+PAIRS = 400_000  # compatible pairs that a worker keeps
 LONG = 256  # longer segments are not kept
 _held: dict[bytes, PrefixBpe] = {}
 
@@ -71,6 +72,7 @@ class PrefixBpe:
         self.fits: dict[tuple[str, str], bool] = {}
         self.borders: dict[tuple[str, int], list[tuple[str, int]]] = {}
         self.segments: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self._runs: dict[int, list[int]] = {}
         self.text_of = {i: p.replace(SPACE, " ") for p, i in self.ids.items()}
         self.byte_of = {i: b for b, i in self.byte.items()}
@@ -112,7 +114,7 @@ class PrefixBpe:
                     break
             else:
                 j += 1
-        if len(self.fits) > TABLE:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         self.fits[key] = ok
         return ok
@@ -217,13 +219,17 @@ class PrefixBpe:
     def known(self, seg: str) -> tuple[int, str, str]:
         """Number of ids, the ids as text, and the text they decode to."""
         got = self.segments.get(seg)
+        if got is not None:
+            return got
+        got = self.older.get(seg)
         if got is None:
             ids = self.encode_segment(seg)
             got = (len(ids), ",".join(map(str, ids)), self.decode(ids))
-            if len(seg) <= LONG:
-                if len(self.segments) > TABLE:
-                    self.segments.clear()
-                self.segments[seg] = got
+        if len(seg) <= LONG:
+            # Segments that are still in use move to the young generation.
+            if len(self.segments) >= TABLE:
+                self.older, self.segments = self.segments, {}
+            self.segments[seg] = got
         return got
 
     def cut(self, text: str) -> list[str]:
