@@ -21,10 +21,12 @@ def priority(source: Column, ranks: dict[str, int] = PRIORITY) -> Column:
 def url_arbitration(rows: DataFrame, ranks: dict[str, int] = PRIORITY) -> DataFrame:
     """Of rows whose canonical url occurs in several sources, those of the best source stay;
     rows without url, and urls of one source, stay whole. A url's best source is found by
-    aggregation, so a url that very many rows share is reduced before the shuffle."""
+    aggregation, so a url that very many rows share is reduced before the shuffle; rows
+    without url join on a key of their own, as nulls would all meet in one task."""
     keyed = rows.withColumn("_url", canonical_url(F.col("url"))).withColumn("_p", F.struct(priority(F.col("source"), ranks).alias("rank"), F.col("source").alias("source")))
     best = keyed.where("_url is not null").groupBy("_url").agg(F.min("_p").alias("_best"), F.max("_p").alias("_worst")).where("_best <> _worst").select("_url", "_best")
-    kept = keyed.join(best, "_url", "left").where("_best is null or _p.source = _best.source")
+    own = F.coalesce("_url", F.concat(F.lit("\0"), F.xxhash64("id").cast("string")))
+    kept = keyed.withColumn("_url", own).join(best, "_url", "left").where("_best is null or _p.source = _best.source")
     return kept.select(*rows.columns)
 
 

@@ -193,8 +193,10 @@ def forecastbench(resolutions: DataFrame, questions: DataFrame, cutoff: str = S.
         (F.col("outcome").isNull(), "non_binary_outcome"), (F.col("_combo"), "combo_question"), (F.col("_missing"), "question_missing_for_resolution"), *_dates_checks(cutoff, False),
     )
     df = df.withColumn("_first", first)
-    rank = F.row_number().over(Window.partitionBy("id", "_first").orderBy("_snapshot", "_pos"))
-    df = df.withColumn("_rank", rank)
+    # Only rows that passed so far compete for an id; the others, often without one, stay put.
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("_snapshot", "_pos"))
+    good = df.where("_first = 'ok'").withColumn("_rank", rank)
+    df = good.unionByName(df.where("_first <> 'ok'").withColumn("_rank", F.lit(1)))
     later = _reasons((F.col("_rank") > 1, "duplicate_question_id"), (has_placeholder(F.col("question")), "unresolved_placeholder"))
     reason = F.when(F.col("_first") != "ok", F.col("_first")).otherwise(later)
     reason = F.when(reason != "ok", reason).otherwise(F.coalesce(F.concat(F.lit("schema_reject:"), S.reject_reason()), F.lit("ok")))
