@@ -27,7 +27,6 @@ CELLS = 1 << 15
 RANK = 6
 SAMPLE = 12_000
 EPOCHS = 8
-WORDS = 256  # most frequent distinct words of a text that are features; the statistics see all
 _ALPHA = re.compile(r"[^\W\d_]+")
 _cells: dict[str, int] = {}
 
@@ -64,13 +63,16 @@ def structure(text: str) -> list[str]:
 
 
 def features(text: str | None) -> tuple[list[int], list[float]]:
+    """Cells and values of all words of the text, counts summed by cell, and of its structure."""
     text = text or ""
-    count = Counter(text.lower().split())
-    common = count.most_common(WORDS)
-    norm = math.sqrt(sum(1 + math.log(c) for _, c in common)) or 1.0
+    count: dict[int, int] = {}
+    for w, c in Counter(text.lower().split()).items():
+        cell = _cell(w)
+        count[cell] = count.get(cell, 0) + c
+    weight = [1 + math.log(c) for c in count.values()]
+    norm = math.sqrt(sum(weight)) or 1.0
     shape = structure(text)
-    ids = [_cell(w) for w, _ in common] + [_cell(s) for s in shape]
-    return ids, [math.sqrt(1 + math.log(c)) / norm for _, c in common] + [0.5] * len(shape)
+    return [*count, *map(_cell, shape)], [math.sqrt(v) / norm for v in weight] + [0.5] * len(shape)
 
 
 class Machine:
@@ -118,8 +120,8 @@ class Machine:
 
 def _flat(rows: list[tuple[list[int], list[float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(r[0]) for r in rows], np.int64)
-    ids = np.fromiter((i for r in rows for i in r[0]), np.int64, sizes.sum())
-    x = np.fromiter((v for r in rows for v in r[1]), np.float64, sizes.sum())
+    ids = np.concatenate([np.asarray(r[0], np.int64) for r in rows])
+    x = np.concatenate([np.asarray(r[1], np.float64) for r in rows])
     return ids, x, np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
@@ -146,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         return None
     # The order in which rows arrive must not matter.
     got = got.sort_by([("_id", "ascending"), ("_y", "ascending")])
-    data = list(zip(got["ids"].to_pylist(), got["x"].to_pylist()))
+    ids, x = got["ids"].combine_chunks(), got["x"].combine_chunks()
+    ends = np.cumsum(ids.value_lengths().to_numpy())[:-1]
+    data = list(zip(np.split(ids.flatten().to_numpy(), ends), np.split(x.flatten().to_numpy(), ends)))
     return Machine().fit(data, got["_y"].to_numpy().astype(float))
 
 

@@ -441,6 +441,24 @@ def test_quality(spark, empty):
     assert {r.score for r in fm_quality.score_quality(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_reads_long_texts_to_the_end():
+    words = [f"w{i}" for i in range(2000)]
+    ids, x = fm_quality.features(" ".join(["w0", *words]))
+    shape = len(fm_quality.structure(""))
+    assert set(ids[:-shape]) == {fm_quality._cell(w) for w in words}
+    assert sum(v * v for v in x[:-shape]) == pytest.approx(1)
+    rng = random.Random(3)
+    opening = " ".join(words[:300])
+
+    def made(good):
+        late = rng.sample([f"{'good' if good else 'evil'}{i:02}" for i in range(40)], 30)
+        return fm_quality.features(f"{opening} {' '.join(late)}")
+
+    y = np.array([i % 2 for i in range(400)], float)
+    m = fm_quality.Machine().fit([made(v) for v in y], y)
+    assert ((m.score([made(v) for v in y]) > 0.5) == (y == 1)).mean() > 0.95
+
+
 def test_machine_identity():
     m = fm_quality.Machine()
     m.w[:] = np.random.default_rng(1).normal(size=len(m.w))
