@@ -9,7 +9,10 @@ inner product into the smallest angle.
 
 The arrays are cut by the first bits of the strings into groups of about GROUP, so a query
 meets one group in each tree; groups that grow beyond that are cut again, items and queries
-each into blocks, and every pair of blocks is a group of its own. Equal vectors are indexed
+each into blocks, and every pair of blocks is a group of its own. A query whose groups hold
+too few candidates ascends further, by the counts of the groups, and is sent to all groups
+under its shorter prefix; where that would score as many candidates as there are vectors, it
+meets every vector once, by the groups of one tree. Equal vectors are indexed
 once, with the smallest ids, of which no more than a result's length can ever be reported.
 """
 
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,18 +133,25 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec: str = "embedd
     # Groups must be wide enough to hold the candidates asked for.
     enough = {d: max(candidates, math.ceil(share * n)) for d, (n, _) in stats.items()}
     bits = {d: max(0, int(math.log2(max(1, min(n / GROUP, trees * n / (2 * enough[d])))))) for d, (n, _) in stats.items()}
-    prefix = F.lit(0).cast("long")
-    for d, b in bits.items():
-        prefix = F.when(F.col("dim") == d, F.shiftright("hash", BITS - b)).otherwise(prefix)
+
+    def by_dim(values: dict[int, int]) -> Column:
+        out = F.lit(0)
+        for d, v in values.items():
+            out = F.when(F.col("dim") == d, v).otherwise(out)
+        return out
+
+    low, wanted = by_dim(bits), by_dim(enough)
+    right = lambda c, n: F.call_function("shiftright", F.col(c), n.cast("int"))
+    prefix = right("hash", BITS - low)
     # Queries are indexed vectors themselves; each distinct one is asked once.
     own = reps.join(asked.select("key").distinct(), "key", "left_semi")
     items = written(_hashed(reps, most, double, trees, False).withColumn("prefix", prefix))
     queries = written(_hashed(own, most, double, trees, True).withColumn("prefix", prefix))
     place = ["dim", "tree", "prefix"]
     blocks = lambda df, n, name: df.groupBy(*place).count().select(*place, F.ceil(F.col("count") / n).cast("int").alias(name))
-    sizes = blocks(queries, QUERY_BLOCK, "nq").join(blocks(items, ITEM_BLOCK, "ni"), place)
+    item_blocks = blocks(items, ITEM_BLOCK, "ni")
 
-    def dealt(df: DataFrame, which: int) -> DataFrame:
+    def dealt(df: DataFrame, which: int, sizes: DataFrame) -> DataFrame:
         mine, other = ("ni", "nq") if which == 0 else ("nq", "ni")
         names = ("si", "sq") if which == 0 else ("sq", "si")
         df = df.join(sizes, place).withColumn(names[0], F.pmod(F.xxhash64("id"), F.col(mine)).cast("int"))
@@ -153,31 +163,47 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec: str = "embedd
         return a.unionByName(b, allowMissingColumns=True).repartition(*key).sortWithinPartitions(*key, "kind", "hash")
 
     def depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for low, cols, it, qu in _depth_counts(batches, bits):
+        for least, cols, it, qu in _depth_counts(batches, bits):
             h, q = cols["hash"][it], cols["hash"][qu]
             n = np.zeros((len(q), BITS + 1), np.int64)
-            for d in range(low, BITS + 1):
+            for d in range(least, BITS + 1):
                 a, b = (q >> (BITS - d)) << (BITS - d), ((q >> (BITS - d)) + 1) << (BITS - d)
                 n[:, d] = np.searchsorted(h, b) - np.searchsorted(h, a)
             yield pa.RecordBatch.from_arrays([pa.array(cols["id"][qu], pa.int64()), pa.array(cols["dim"][qu], pa.int32()), pa.array(n.tolist(), pa.list_(pa.int64()))], ["id", "dim", "n"])
 
     cols = [*key, "kind", "hash", "id"]
-    counts = grouped(dealt(items, 0).select(*cols), dealt(queries, 1).select(*cols)).mapInArrow(depths, "id long, dim int, n array<long>")
+    sizes = blocks(queries, QUERY_BLOCK, "nq").join(item_blocks, place)
+    counts = grouped(dealt(items, 0, sizes).select(*cols), dealt(queries, 1, sizes).select(*cols)).mapInArrow(depths, "id long, dim int, n array<long>")
     # All trees ascend together: the longest prefix under which they hold enough.
     sums = [F.sum(F.element_at("n", d + 1)).alias(f"d{d}") for d in range(BITS + 1)]
-    wanted, level = F.lit(candidates), F.lit(0)
-    for d, n in enough.items():
-        wanted = F.when(F.col("dim") == d, n).otherwise(wanted)
+    level = F.lit(-1)
     for d in range(BITS + 1):
         level = F.when(F.col(f"d{d}") >= wanted, d).otherwise(level)
-    levels = counts.groupBy("id", "dim").agg(*sums).select("id", level.alias("level"))
+    levels = written(counts.groupBy("id", "dim").agg(*sums).select("id", level.alias("level")).where("level >= 0"))
+    # The others go on above the prefixes of the groups, up to the root.
+    short = queries.join(levels, "id", "left_anti")
+
+    def above(df: DataFrame) -> DataFrame:
+        return df.withColumn("d", F.explode(F.sequence(F.lit(0), low))).where((F.col("d") > 0) & (F.col("d") < low)).withColumn("top", right("prefix", low - F.col("d")))
+
+    under = ["dim", "tree", "d", "top"]
+    sums = above(short).join(above(items.groupBy(*place).count()).groupBy(*under).agg(F.sum("count").alias("n")), under).groupBy("id", "dim", "d").agg(F.sum("n").alias("n"))
+    total = by_dim({d: n for d, (n, _) in stats.items()})
+    higher = sums.where(F.col("n") >= wanted).groupBy("id", "dim").agg(F.max(F.struct("d", "n")).alias("b")).select("id", F.when(F.col("b.n") < total, F.col("b.d")).otherwise(0).alias("level"))
+    # At the root one tree has all vectors.
+    far = short.join(higher, "id", "left").fillna(0, ["level"]).where("level > 0 or tree = 0")
+    span = F.call_function("shiftleft", F.lit(1).cast("long"), (low - F.col("level")).cast("int"))
+    start = right("prefix", low - F.col("level")) * span
+    far = far.withColumn("prefix", F.explode(F.sequence(start, start + span - 1)))
+    meets = written(queries.join(levels, "id").unionByName(far))
+    sizes = blocks(meets, QUERY_BLOCK, "nq").join(item_blocks, place)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for low, cols, it, qu in _depth_counts(batches, bits):
+        for _, cols, it, qu in _depth_counts(batches, bits):
             h, ids = cols["hash"][it], cols["id"][it]
             x = np.frombuffer(b"".join(cols["key"][it]), kind).reshape(len(it), -1).astype(np.float64)
             y = np.frombuffer(b"".join(cols["key"][qu]), kind).reshape(len(qu), -1).astype(np.float64)
-            level = np.maximum(cols["level"][qu].astype(np.int64), low)
+            level = cols["level"][qu].astype(np.int64)
             q = cols["hash"][qu]
             a, b = np.searchsorted(h, (q >> (BITS - level)) << (BITS - level)), np.searchsorted(h, ((q >> (BITS - level)) + 1) << (BITS - level))
             out: list[list] = [[], [], []]
@@ -193,8 +219,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec: str = "embedd
 
     level0 = F.lit(0).alias("level")
     full = grouped(
-        dealt(items, 0).select(*cols).join(reps.select("id", "key"), "id").select(*cols, level0, "key"),
-        dealt(queries, 1).select(*cols).join(levels, "id").join(reps.select("id", "key"), "id").select(*cols, "level", "key"),
+        dealt(items, 0, sizes).select(*cols).join(reps.select("id", "key"), "id").select(*cols, level0, "key"),
+        dealt(meets, 1, sizes).select(*cols, "level").join(reps.select("id", "key"), "id").select(*cols, "level", "key"),
     )
     found = full.mapInArrow(scored, "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
     found = found.join(reps.select("id", "ids"), "id")

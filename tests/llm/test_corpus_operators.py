@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -204,6 +205,51 @@ def test_nearest_table_recall(spark):
     assert hit / (20 * (ids % 20 == 0).sum()) >= 0.9
 
 
+def test_nearest_with_uneven_norms(spark):
+    rng = np.random.default_rng(45)
+    x = rng.normal(size=(45_000, 32)).astype(np.float32)
+    x[rng.choice(len(x), 5, replace=False)] *= 4
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 32).cast(pa.list_(pa.float32()))})
+    got = {}
+    for r in ann_forest.nearest(spark.createDataFrame(table), every=600).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    asked = range(0, len(x), 600)
+    assert all(sorted(got.get(i, {})) == list(range(1, 21)) for i in asked)
+    hit = 0
+    for i in asked:
+        score = x.astype(np.float64) @ x[i].astype(np.float64)
+        score[i] = -np.inf
+        hit += len(set(got[i].values()) & set(np.argpartition(-score, 20)[:20].tolist()))
+    assert hit / (20 * len(asked)) > 0.9
+
+
+def test_nearest_ascends_above_groups(spark):
+    """Against a plain ascent over all trees; 9,000 vectors have groups of two bits."""
+    n, dim, trees, wanted = 9000, 16, 6, 2000
+    rng = np.random.default_rng(46)
+    x = (rng.normal(size=(n, dim)) * np.exp(rng.normal(0, 0.5, (n, 1)))).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32()))})
+    got = {}
+    for r in ann_forest.nearest(spark.createDataFrame(table), every=50, trees=trees, candidates=wanted, share=0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    y = x.astype(np.float64)
+    u = y / np.sqrt((y * y).sum(1)).max()
+    held = ann_forest.strings(u, np.sqrt(np.maximum(0.0, 1 - (u * u).sum(1))), trees)
+    asked = np.arange(0, n, 50)
+    met = set()
+    for i, own in zip(asked.tolist(), ann_forest.strings(u[asked], np.zeros(len(asked)), trees)):
+        for level in range(ann_forest.BITS, -1, -1):
+            under = (held >> (ann_forest.BITS - level)) == (own >> (ann_forest.BITS - level))
+            if under.sum() >= wanted:
+                break
+        pool = np.flatnonzero(under.any(1) if level > 1 or under.sum() < n else np.ones(n, bool))
+        met.add(level)
+        pool = pool[pool != i]
+        best = pool[np.lexsort((pool, -(y[pool] @ y[i])))[:20]]
+        assert [v for _, v in sorted(got[i])] == best.tolist(), (i, level, under.sum())
+    assert met >= {1, 2}
+
+
 def brute_url(u, rules):
     if u is None or "://" not in u:
         return "", "", None, "allow"
