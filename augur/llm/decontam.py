@@ -9,8 +9,8 @@ token.
 
 A Bloom filter of the benchmark's seeds (bounded, whatever the benchmark's size) keeps
 seeds that surely meet nothing from leaving the scan; the join decides. What leaves is one
-row for each region around hits, and equal regions, such as a passage that many documents
-share, are joined and verified once.
+row for each region around hits, and regions of equal tokens and hits, such as a passage
+that many documents share, are joined and verified once.
 """
 
 from __future__ import annotations
@@ -186,7 +186,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
                 raw = h[a:b].tobytes()
                 out[0].append(d)
                 out[1].append(a - (int(ends[d - 1]) if d else 0))
-                out[2].append(xxhash.xxh3_128_hexdigest(raw))
+                # In a short document two groups of hits may widen to the same tokens.
+                out[2].append(xxhash.xxh3_128_hexdigest(len(raw).to_bytes(8) + raw + (p - a).tobytes() + s.tobytes()))
                 out[3].append(raw)
                 out[4].append([{"at": x, "h": y} for x, y in zip((p - a).tolist(), s.view(np.int64).tolist())])
             if out[0]:

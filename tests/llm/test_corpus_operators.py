@@ -460,6 +460,15 @@ def test_decontamination(spark, docs, empty):
     assert [(r.doc_id, r.item_id, r.n_tokens, r.start) for r in decontam.contaminated(some, short).collect()] == [(1, 1, 6, 1)]
 
 
+def test_decontamination_of_two_passages_in_one_region(spark):
+    """Hits more than GAP apart that widen to the same tokens of a short document."""
+    first, last = (" ".join(f"{c}{i}" for i in range(12)) for c in "xy")
+    bench = spark.createDataFrame([(1, first), (2, last)], "item_id long, text string")
+    rows = [(n, f"{first} {' '.join(f'z{i}' for i in range(n))} {last}") for n in range(36, 60)]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.start) for r in got} == {(n, *x) for n, _ in rows for x in ((1, 0), (2, 12 + n))}
+
+
 def test_decontamination_finds_what_brute_force_finds(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     items = [(r.item_id, decontam.tokens(r.text)) for r in bench.collect()]
