@@ -419,6 +419,32 @@ def test_masks_find_two_substitutions():
         assert any(all(at + o not in bad for o in mask) for mask in decontam.MASKS for at in range(decontam.OVERLAP - mask[-1]))
 
 
+def test_masks_find_a_fifth_of_substitutions():
+    for n in range(decontam.OVERLAP, 21):
+        for bad in itertools.combinations(range(1, n - 1), n // 5):
+            assert any(all(at + o not in bad for o in mask) for mask in decontam.MASKS for at in range(n - mask[-1])), (n, bad)
+
+
+def test_masks_leave_no_longer_overlap():
+    """By the last tokens (a bit each, 1 for equal), the highest score of overlaps without
+    a seed: 1 for an equal token and -4 for another, so 80 % have 0."""
+    span = max(m[-1] for m in decontam.MASKS)
+    seeds = [sum(1 << (m[-1] - o) for o in m) for m in decontam.MASKS]
+    best = {0: 0}
+    for n in range(1, 401):
+        now = {}
+        for last, score in best.items():
+            for equal in (1, 0):
+                seen = last << 1 | equal
+                if any(seen & s == s for s in seeds) or (n == 1 and not equal):
+                    continue
+                state = seen & ((1 << span) - 1)
+                now[state] = max(now.get(state, -9999), score + (1 if equal else -4))
+        best = now
+        if n >= decontam.OVERLAP:
+            assert max(v for state, v in best.items() if state & 1) < 0, n
+
+
 def test_overlap_against_brute_force():
     rng = random.Random(1)
     for _ in range(300):
