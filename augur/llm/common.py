@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from augur.sources.shared import discard, mark, written
 
 #: Deletes no byte and lower-cases A-Z only, as the word contracts ask.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -20,35 +22,26 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary one of our own where that is unset, as in tests on one machine."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(found)
-        return found
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="augur-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+#: Cuts lineage by a table in the shared folder.
+cut = written
+
 
+def freed(run):
+    """``run`` for mapInArrow, after which the worker gives its unused memory back, so that the
+    workers of one stage don't stand in the way of the next one."""
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget how it came about, so that a
-    lost executor costs a re-read and not the whole history."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    @wraps(run)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
 
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
 
-def written(df: DataFrame) -> DataFrame:
-    """Like :func:`cut`, as a Parquet table: columnar and compressed, for wide results."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return go
 
 
 def crc_mod(id_col: str, n: int) -> Column:
@@ -60,7 +53,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], n_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], n_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``n_bytes``; a longer row stands alone."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -98,19 +91,23 @@ def sorted_groups(
         yield np.array([0, n]), held
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long) by alternating large-star
-    and small-star steps; every round is one aggregation by node and a join, and is cut
-    in the shared folder. Returns (node, root): the smallest node that can be reached;
-    roots themselves are left out. Nothing but a count and a checksum comes to the driver.
+    and small-star steps until nothing changes, which takes a number of rounds of the order
+    of the squared logarithm of the nodes; every round is an aggregation by node and a join,
+    and is cut in the shared folder, where the round before it is deleted. Returns (node,
+    root): the smallest node that can be reached; roots themselves are left out. Nothing but a
+    count and a checksum comes to the driver. Rows of a star's centre are split by AQE.
     """
+    spark = edges.sparkSession
     e = cut(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    mark = None
-    for _ in range(max_rounds):
+    seen = None
+    while True:
+        start = mark()
         # Large star: each node's larger neighbours go to its smallest neighbour.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -125,9 +122,29 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             small.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         )
+        discard(spark, start - 1, keep=1)
         row = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         now = (row["n"], row["h"])
-        if now == mark:
+        if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
-    raise RuntimeError("components did not settle")
+        seen = now
+
+
+#: Keys with more than 1 / HOT of the rows, of which there are at most HOT, are broadcast.
+HOT = 20_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` to ``table``, one row a key with the key's number of rows in
+    ``count`` (``table`` should be written, as it is read thrice). Hot keys meet their rows
+    where those are, so that no task gets all rows of a key."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = table.where(F.col(count) > max(10_000, total / HOT))
+    if hot.isEmpty():
+        return rows.join(table, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in schema])

@@ -10,7 +10,9 @@ token.
 A Bloom filter of the benchmark's seeds (bounded, whatever the benchmark's size) keeps
 seeds that surely meet nothing from leaving the scan; the join decides. What leaves is one
 row for each region around hits, and regions of equal tokens and hits, such as a passage
-that many documents share, are joined and verified once.
+that many documents share, are joined and verified once. A seed that repeats within a region
+or an item is one row with its positions, and a region travels once to each item that it
+shares a seed with, whatever the number of their common diagonals.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augur.llm.common import cut, slices, texts
+from augur.llm.common import cut, freed, join_hot, slices, texts
 
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 5, 7, 8), (0, 1, 2, 7, 8, 10))
 SHORT = (0, 1, 2, 3, 4)  # for items of fewer than OVERLAP tokens, which must occur unchanged
@@ -36,6 +38,8 @@ BLOOM_BITS = (20, 27)  # smallest and largest size as powers of two
 _WORD = regex.compile(r"\w+")
 _M = np.random.default_rng(8).integers(1, 1 << 62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _cache: dict[str, int] = {}
+_SEEDS = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.list_(pa.int32()))]))
+SEEDS = "array<struct<h: long, at: array<int>>>"
 
 
 def tokens(text: str) -> list[str]:
@@ -69,13 +73,32 @@ def seeds(h: np.ndarray, mask: tuple[int, ...], kind: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def by_seed(h: np.ndarray, at: np.ndarray) -> list[dict]:
+    """Each seed hash with its positions."""
+    order = np.lexsort((at, h))
+    h, at = h[order], at[order]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else []
+    return [{"h": x, "at": p.tolist()} for x, p in zip(h[new].tolist(), np.split(at, new[1:]))] if len(h) else []
+
+
+def diagonals(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distinct differences of positions, in time of the product and space of the sum of both."""
+    if len(q) > len(p):
+        return -diagonals(q, p)[::-1]
+    low = int(p.min()) - int(q.max())
+    met = np.zeros(int(p.max()) - int(q.min()) - low + 1, bool)
+    for x in q.tolist():
+        met[p - x - low] = True
+    return np.flatnonzero(met) + low
+
+
 def _probe(s: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
     m = np.uint64((1 << power) - 1)
     return s & m, (s >> np.uint64(64 - power)) & m
 
 
 def item_seeds(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
-    """(item_id, tokens, seeds: array of (at, h)) of every item with five tokens or more."""
+    """(item_id, tokens, seeds with their positions) of every item with five tokens or more."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,16 +108,14 @@ def item_seeds(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
                 h = hashes(tokens(t or ""))
                 if len(h) < len(SHORT):
                     continue
-                got = []
-                for kind, mask in enumerate(MASKS if len(h) >= OVERLAP else (SHORT,)):
-                    kind = kind if len(h) >= OVERLAP else len(MASKS)
-                    got += [{"at": at, "h": x} for at, x in enumerate(seeds(h, mask, kind).view(np.int64).tolist())]
+                masks = list(enumerate(MASKS)) if len(h) >= OVERLAP else [(len(MASKS), SHORT)]
+                got = [seeds(h, mask, kind).view(np.int64) for kind, mask in masks]
                 ids.append(i)
-                toks.append(h.view(np.int64).tolist())
-                found.append(got)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())])))], ["item_id", "tokens", "seeds"])
+                toks.append(h.tobytes())
+                found.append(by_seed(np.concatenate(got), np.concatenate([np.arange(len(g)) for g in got])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toks, pa.binary()), pa.array(found, _SEEDS)], ["item_id", "item", "seeds"])
 
-    return rows.mapInArrow(run, "item_id long, tokens array<long>, seeds array<struct<at: int, h: long>>")
+    return rows.mapInArrow(freed(run), f"item_id long, item binary, seeds {SEEDS}")
 
 
 def _bloom(seeds_df: DataFrame) -> tuple[np.ndarray, int, bool]:
@@ -167,20 +188,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     ids are kept. Ties go to the earliest start. Other columns are not read.
     """
     items = cut(item_seeds(benchmark, item_text, item_id))
-    flat = items.select("item_id", F.explode("seeds").alias("s"), (F.size("tokens") < OVERLAP).alias("short")).select("item_id", "s.at", "s.h", "short")
+    flat = items.select("item_id", F.explode("seeds").alias("s"), (F.length("item") < 8 * OVERLAP).alias("short")).select("item_id", "s.at", "s.h", "short")
     bloom, power, short = _bloom(flat)
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = rows.select("doc_id", F.lit(0).alias("start"), F.lit("").alias("region"), F.lit(b"").alias("tokens"), F.array(F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"))).alias("hits")).schema
+    schema = rows.select("doc_id", F.lit(0).alias("start"), F.lit("").alias("region"), F.lit(b"").alias("tokens"), F.array(F.struct(F.lit(0).cast("long").alias("h"), F.array(F.lit(0)).alias("at"))).alias("hits")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(held.value).astype(bool)
+        bits = np.unpackbits(held.value).view(bool)
         for batch in slices(batches):
             found = [tokens(t or "") for t in texts(batch)]
             sizes = np.array([len(f) for f in found], np.int64)
             ends = np.cumsum(sizes)
             h = hashes([w for f in found for w in f])
-            doc = np.repeat(np.arange(len(found)), sizes)
+            del found
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             out: list[list] = [[], [], [], [], []]
             for d, a, b, p, s in regions_of(h, doc, ends, bits, power, short):
                 raw = h[a:b].tobytes()
@@ -189,33 +211,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
                 # In a short document two groups of hits may widen to the same tokens.
                 out[2].append(xxhash.xxh3_128_hexdigest(len(raw).to_bytes(8) + raw + (p - a).tobytes() + s.tobytes()))
                 out[3].append(raw)
-                out[4].append([{"at": x, "h": y} for x, y in zip((p - a).tolist(), s.view(np.int64).tolist())])
+                out[4].append(by_seed(s.view(np.int64), p - a))
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64())])))],
-                    schema.names,
+                    [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary()), pa.array(out[4], _SEEDS)], schema.names
                 )
+        _cache.clear()
 
-    regions = cut(rows.mapInArrow(run, schema))
+    regions = cut(rows.mapInArrow(freed(run), schema))
     distinct = regions.groupBy("region").agg(F.first("tokens").alias("tokens"), F.first("hits").alias("hits"))
-    hits = distinct.select("region", F.explode("hits").alias("x")).select("region", F.col("x.at").alias("in_region"), F.col("x.h").alias("h"))
-    diagonals = hits.join(flat, "h").select("region", "item_id", (F.col("in_region") - F.col("at")).alias("diag")).distinct()
-    pairs = diagonals.join(distinct.select("region", "tokens"), "region").join(items.select("item_id", F.col("tokens").alias("item")), "item_id")
+    hits = distinct.select("region", F.explode("hits").alias("x")).select("region", "x.h", F.col("x.at").alias("p"))
+    met = hits.join(flat.select("item_id", "h", F.col("at").alias("q")), "h").groupBy("region", "item_id").agg(F.collect_list(F.struct("p", "q")).alias("met"))
+    pairs = met.join(distinct.select("region", "tokens"), "region").join(items.select("item_id", "item"), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            region, item, diag = cols["region"].to_pylist(), cols["item_id"].to_pylist(), cols["diag"].to_pylist()
+            cols = dict(zip(batch.schema.names, batch.columns))
             out: list[list] = [[], [], [], [], []]
-            for k, (raw, b) in enumerate(zip(cols["tokens"].to_pylist(), cols["item"].to_pylist())):
-                b = np.array(b, np.int64)
-                at, n, equal = overlap(np.frombuffer(raw, np.int64), b, diag[k])
-                if n >= OVERLAP or (len(b) < OVERLAP and equal == len(b)):
-                    for o, v in zip(out, (region[k], item[k], at + diag[k], n, equal)):
+            for region, i, raw, other, met in zip(*(cols[c].to_pylist() for c in ("region", "item_id", "tokens", "item", "met"))):
+                a, b = np.frombuffer(raw, np.int64), np.frombuffer(other, np.int64)
+                best = None
+                for diag in np.unique(np.concatenate([diagonals(np.array(m["p"]), np.array(m["q"])) for m in met])).tolist():
+                    at, n, equal = overlap(a, b, diag)
+                    if n >= OVERLAP or (len(b) < OVERLAP and equal == len(b)):
+                        now = (n, equal, -(at + diag))
+                        best = now if best is None or now > best else best
+                if best:
+                    for o, v in zip(out, (region, i, -best[2], best[0], best[1])):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["region", "item_id", "from_region", "n_tokens", "n_equal"])
 
-    good = pairs.select("region", "item_id", "diag", "tokens", "item").mapInArrow(verify, "region string, item_id long, from_region int, n_tokens int, n_equal int")
-    placed = regions.select("doc_id", "start", "region").join(good, "region")
+    good = cut(pairs.select("region", "item_id", "tokens", "item", "met").mapInArrow(freed(verify), "region string, item_id long, from_region int, n_tokens int, n_equal int"))
+    # A passage that very many documents share is joined where they are.
+    placed = regions.select("doc_id", "start", "region")
+    shared = cut(placed.join(good.select("region").distinct(), "region", "left_semi").groupBy("region").agg(F.count("*").alias("n")))
+    lists = cut(good.groupBy("region").agg(F.collect_list(F.struct("item_id", "from_region", "n_tokens", "n_equal")).alias("g")).join(shared, "region"))
+    placed = join_hot(placed, lists, "region", "n").select("doc_id", "start", F.explode("g").alias("g")).select("doc_id", "start", "g.*")
     best = F.max(F.struct("n_tokens", "n_equal", (-(F.col("start") + F.col("from_region"))).alias("back"))).alias("b")
     return placed.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_tokens", "b.n_equal", (-F.col("b.back")).alias("start"))

@@ -1,7 +1,8 @@
 """Quality scores by a factorisation machine.
 
-Features of a text are its hashed words and word pairs' shape (structure statistics in
-steps) and its length. The machine adds to a linear score all pairwise interactions of
+Features of a document are the hashed words of its text, all of them, statistics of the
+text's structure in steps, and steps of its metadata (numeric columns, such as a stated
+length, also against the length that the text has). The machine adds to a linear score all pairwise interactions of
 features, each the inner product of two low-rank vectors; by the identity
 sum_{i<j} <v_i, v_j> x_i x_j = (|sum v_i x_i|^2 - sum |v_i|^2 x_i^2) / 2
 that takes time linear in the number of features. It is fitted by Adagrad on a bounded
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from augur.llm.common import crc_mod, slices, texts
+from augur.llm.common import crc_mod, freed, slices, texts
 
 CELLS = 1 << 15
 RANK = 6
@@ -62,8 +64,21 @@ def structure(text: str) -> list[str]:
     return out + [f"\0{name}{int(math.log2(1 + v) * 2)}" for name, v in size.items()]
 
 
-def features(text: str | None) -> tuple[list[int], list[float]]:
-    """Cells and values of all words of the text, counts summed by cell, and of its structure."""
+def described(meta: dict[str, float | None], n: int) -> list[str]:
+    """Names of the steps of metadata: its size, and how it compares to ``n`` characters."""
+    out = []
+    for name, v in meta.items():
+        if v is None or not math.isfinite(v):
+            out.append(f"\1{name} none")
+        else:
+            out.append(f"\1{name}{int(math.copysign(math.log2(1 + abs(v)) * 2, v))}")
+            out.append(f"\1{name} to text {max(-8, min(8, round(math.log2((1 + abs(v)) / (1 + n)) * 2)))}")
+    return out
+
+
+def features(text: str | None, meta: dict[str, float | None] | None = None) -> tuple[list[int], list[float]]:
+    """Cells and values of all words of the text, counts summed by cell, of its structure
+    and of metadata."""
     text = text or ""
     count: dict[int, int] = {}
     for w, c in Counter(text.lower().split()).items():
@@ -71,7 +86,7 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
         count[cell] = count.get(cell, 0) + c
     weight = [1 + math.log(c) for c in count.values()]
     norm = math.sqrt(sum(weight)) or 1.0
-    shape = structure(text)
+    shape = structure(text) + described(meta or {}, len(text))
     return [*count, *map(_cell, shape)], [math.sqrt(v) / norm for v in weight] + [0.5] * len(shape)
 
 
@@ -125,25 +140,47 @@ def _flat(rows: list[tuple[list[int], list[float]]]) -> tuple[np.ndarray, np.nda
     return ids, x, np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
+#: Numeric columns of documents that are read as metadata where they are there.
+METADATA = ("n_chars",)
+
+
+def _read(docs: DataFrame, text: str, keys: list[Column]) -> tuple[DataFrame, list[str]]:
+    """``keys``, text and metadata of documents, the latter as doubles under fixed names."""
+    plain = (T.NumericType, T.StringType)
+    meta = [c for c in METADATA if c in docs.columns and c != text and isinstance(docs.schema[c].dataType, plain)]
+    cols = [F.col(c).try_cast("double").alias(f"_m{i}") for i, c in enumerate(meta)]
+    return docs.select(*keys, F.col(text).cast("string").alias("text"), *cols), meta
+
+
+def _features_of(batch: pa.RecordBatch, meta: list[str]) -> list[tuple[list[int], list[float]]]:
+    columns = [batch.column(batch.schema.get_field_index(f"_m{i}")).to_pylist() for i in range(len(meta))]
+    rows = zip(*columns) if columns else iter(lambda: (), None)
+    return [features(t, dict(zip(meta, m))) for t, m in zip(texts(batch), rows)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Machine | None:
-    """Fits on at most ``sample`` labelled documents, chosen by the hash of the id.
+    """Fits on at most ``sample`` labelled documents, those of the smallest hashes of ids.
     Labels other than 0 and 1 and rows without id are no labels; ids with both labels take
-    the larger. None where no labelled document is left."""
+    the larger; of documents under one id the text with the smallest hash is read, so that the
+    sample bounds rows. None where no labelled document is left."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     n = known.count()
-    # By hash and not by sorting, so that no task sees all labels; four standard deviations
-    # under the bound, which is then kept for certain by the limit.
-    share = min(1.0, max(0.0, sample - 4 * math.sqrt(sample)) / n) if n > sample else 1.0
-    chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "text")
+    # A threshold first, so that little is sorted; four standard deviations over the bound.
+    share = min(1.0, (sample + 4 * math.sqrt(sample) + 1) / n) if n > sample else 1.0
+    chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id").limit(sample)
+    rows, meta = _read(docs, text, [F.col(doc_id).alias("_id")])
+    rows = rows.join(F.broadcast(chosen), "_id")
+    names = ["text", *[f"_m{i}" for i in range(len(meta))]]
+    one = F.min_by(F.struct(*names), F.struct(F.xxhash64("text").alias("h"), F.struct(*names).alias("r"))).alias("r")
+    rows = rows.groupBy("_id", "_y").agg(one).select("_id", "_y", "r.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            got = [features(t) for t in texts(batch)]
+            got = _features_of(batch, meta)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["_id", "_y", "ids", "x"])
 
     schema = rows.select("_id", "_y", F.array(F.lit(0)).alias("ids"), F.array(F.lit(0.0).cast("float")).alias("x")).schema
-    got = rows.mapInArrow(run, schema).toArrow()
+    got = rows.mapInArrow(freed(run), schema).toArrow()
     if not got.num_rows:
         return None
     # The order in which rows arrive must not matter.
@@ -155,19 +192,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.7) -> DataFrame:
-    """doc_id, score, predicted of every row; null texts count as empty, and without a fitted
-    machine every score is 0.5. Rows are judged by themselves; other columns are not read."""
+    """doc_id, score, predicted of every row; null texts count as empty, nulls in metadata are
+    a feature of their own, and without a fitted machine every score is 0.5. Rows are judged
+    by themselves; columns other than the text, the id and METADATA are not read."""
     held = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows, meta = _read(docs, text, [F.col(doc_id).alias("doc_id")])
     schema = rows.select("doc_id", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in slices(batches):
-            out = m.score([features(t) for t in texts(batch)]) if m else np.full(batch.num_rows, 0.5)
+            out = m.score(_features_of(batch, meta)) if m else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(freed(run), schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augur.llm.common import crc_mod, slices, texts
+from augur.llm.common import crc_mod, freed, slices, texts
 
 CELLS = 1 << 16
 MAX_LANGUAGES = 512  # sizes the model: CELLS * 4 bytes for each
@@ -34,8 +34,14 @@ def _codes(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     s = "\n".join(docs) + "\n"
     low = s.lower() if s.isascii() else "".join(x if len(x := c.lower()) == 1 else c for c in s) if len(s.lower()) != len(s) else s.lower()
     code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    known = _letters()
-    code = np.where(known[np.minimum(code, len(known) - 1)], code, np.where(code == 10, 10, _PAD)).astype(np.uint32)
+    kind = _letters()[code]
+    if (kind == 2).any():
+        # Marks belong to a word only with a letter in it.
+        at = np.flatnonzero(kind)
+        head = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+        bare = ~np.logical_or.reduceat(kind[at] == 1, head)
+        kind[at[np.repeat(bare, np.diff(np.append(head, len(at))))]] = 0
+    code = np.where(kind > 0, code, np.where(code == 10, 10, _PAD)).astype(np.uint32)
     return code, np.array([len(d) + 1 for d in docs], np.int64)
 
 
@@ -43,11 +49,11 @@ _table: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Whether a code point is a letter or a mark within a word."""
+    """Of each code point: 1 for a letter, 2 for a mark, which may stand in a word, else 0."""
     if not _table:
         import unicodedata
 
-        _table.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x32000)] + [False]))
+        _table.append(np.array([" LM".find(unicodedata.category(chr(c))[0]) for c in range(0x110000)], np.int8).clip(0))
     return _table[0]
 
 
@@ -152,7 +158,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Mixture:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, 1 << 19):
             names = texts(batch, "lang")
             docs = texts(batch)
             for name in set(names):
@@ -170,7 +176,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Mixture:
             at = at if len(at) else np.array([0])
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "cell", "n"])
 
-    sums = rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(freed(run), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     # One packed row a language: cells and counts, not rows, reach the driver.
     packed = sums.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("c")).select("lang", "c.cell", "c.n")
     found = sorted(packed.limit(MAX_LANGUAGES + 1).toArrow().to_pylist(), key=lambda r: r["lang"])
@@ -194,7 +200,7 @@ def identify(docs: DataFrame, model: Mixture, text: str = "text", doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, 1 << 19):
             langs, share, gain, sets = model.infer([t or "" for t in texts(batch)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x or "und" for x in langs], pa.string()), pa.array(share, pa.float64()), pa.array(gain, pa.float64()),
@@ -202,7 +208,7 @@ def identify(docs: DataFrame, model: Mixture, text: str = "text", doc_id: str =
                 schema.names,
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freed(run), schema)
 
 
 def keep_known(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
@@ -212,7 +218,7 @@ def keep_known(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, 1 << 19):
             got = [t or "" for t in texts(batch, text)]
             if model.langs:
                 langs, _, gain, _ = model.infer(got)
@@ -221,7 +227,7 @@ def keep_known(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame
                 keep = [any(map(str.isalpha, t)) for t in got]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def predict_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:

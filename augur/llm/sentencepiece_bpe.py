@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augur.llm.common import slices, texts
+from augur.llm.common import freed, slices, texts
 
 SPACE = "▁"
 TABLE = 150_000  # segments of a generation; a worker keeps two
@@ -318,4 +318,4 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", doc_id:
                 cols += [pa.array([list(map(int, x.split(","))) if x else [] for x in ids], pa.list_(pa.int32())), pa.array(plains, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freed(run), schema)

@@ -2,10 +2,13 @@
 
 A document is cut into pre-tokens, and merges never cross pre-tokens. So the number of
 pieces of a document is the sum, over its distinct pre-tokens, of frequency times pieces.
-Each task keeps a table of distinct pre-tokens with their numbers of pieces, each counted
-once when first met, and joins every document's pre-token frequencies to it in memory.
-The join stays inside the task because a shuffle of (document, pre-token, frequency)
-would move more bytes than the corpus has; the table is bounded and refilled at will.
+
+One pass cuts the texts. Blocks of documents share a vocabulary of their distinct pre-tokens;
+a document keeps places in it and frequencies, packed into about a byte each. The
+vocabularies' distinct union is the table of pre-tokens, and the pieces of each of its
+members are counted once. They are joined to the vocabularies by pre-token, come back to the
+blocks as one row of numbers, and there meet the documents' frequencies. What is shuffled is
+vocabularies and packed frequencies, a part of the text's size.
 """
 
 from __future__ import annotations
@@ -14,29 +17,31 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augur.llm.common import slices, texts
+from augur.llm.common import cut, freed, nullable, slices, texts
 
 #: Characters on which the regular expression library and the tokenizer surely agree: scripts
 #: and signs that were complete long before either. Others take the library's own cutting.
 AGREED = re.compile("[\x00-ͷΑ-ΡΣ-ҁҊ-ԧא-תء-ي -⁣₠-₸℀-ↈ←-⏳─-⚽ぁ-ゖァ-ヺ一-龥가-힣\U0001f300-\U0001f320]*")
-TABLE = 1_000_000  # distinct pre-tokens that a worker keeps
-_held: dict[bytes, PieceTable] = {}
+BLOCK = 8 << 20  # bytes of text that share a vocabulary
+ENCODED = 20_000  # pre-tokens given to the tokenizer at once
+_held: dict[bytes, Cutter] = {}
 
 
-class PieceTable(dict):
-    """Pre-token to number of pieces, filled on demand."""
+class Cutter:
+    """The tokenizer's cutting of texts into pre-tokens, and the pieces of pre-tokens."""
 
     def __init__(self, blob: bytes):
         import json
 
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok = Tokenizer.from_str(blob.decode())
         spec = json.loads(blob)
         pre = spec["pre_tokenizer"]
@@ -52,18 +57,38 @@ class PieceTable(dict):
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
-    def count(self, docs: list[str]) -> list[int]:
-        """Pieces of each document; pre-tokens new to the table are counted in one call."""
-        found, base = [], []
-        for text in docs:
-            parts = self.special.split(text) if self.special else [text]
-            base.append(len(parts) - 1)
-            found.append(Counter(w for p in parts for w in self.cut(p)) if len(parts) > 1 else Counter(self.cut(text)))
-        new = list(set().union(*found).difference(self)) if found else []
-        for word, enc in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            self[word] = len(enc)
-        get = self.__getitem__
-        return [b + sum(map(int.__mul__, f.values(), map(get, f))) for b, f in zip(base, found)]
+    def frequencies(self, text: str) -> tuple[int, Counter[str]]:
+        """Special strings in the text, which are one piece each, and its other pre-tokens."""
+        parts = self.special.split(text) if self.special else [text]
+        return len(parts) - 1, Counter(self.cut(text)) if len(parts) == 1 else Counter(w for p in parts for w in self.cut(p))
+
+    def pieces(self, words: list[str]) -> list[int]:
+        out: list[int] = []
+        for a in range(0, len(words), ENCODED):
+            out += map(len, self.tok.encode_batch(words[a : a + ENCODED], add_special_tokens=False))
+        return out
+
+
+def _cutter(blob: bytes) -> Cutter:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if blob not in _held:
+        _held.clear()
+        _held[blob] = Cutter(blob)
+    return _held[blob]
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 up: a byte each, those from 255 on again in four bytes after them."""
+    big = numbers[numbers >= 255]
+    return np.minimum(numbers, 255).astype(np.uint8).tobytes() + big.astype("<u4").tobytes()
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u4", offset=n)
+    return out
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_id: str = "doc_id", limit: int = 512) -> DataFrame:
@@ -76,22 +101,71 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_i
     with open(tokenizer_file, "rb") as f:
         blob = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens")).schema
+    number = F.lit(0).cast("long")
+    own = [number.alias("n_bytes"), number.alias("base"), F.lit(0).alias("n"), F.lit(b"").alias("places"), F.lit(b"").alias("counts")]
+    schema = nullable(rows.select("doc_id", number.alias("block"), *own, F.array(F.lit("")).alias("words")).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        key = blob.value
-        if key not in _held:
-            _held.clear()
-            _held[key] = PieceTable(key)
-        table = _held[key]
+        cutter, block = _cutter(blob.value), TaskContext.get().partitionId() << 32
+        for batch in slices(batches, BLOCK):
+            place: dict[str, int] = {}
+            out: list[list] = [[], [], [], [], []]
+            for t in texts(batch):
+                t = t or ""
+                base, count = cutter.frequencies(t)
+                at = np.fromiter((place.setdefault(w, len(place)) for w in count), np.int64, len(count))
+                order = np.argsort(at)
+                many = np.fromiter(count.values(), np.int64, len(count))[order]
+                for o, v in zip(out, (len(t.encode()), base, len(at), pack(np.diff(at[order], prepend=0)), pack(many))):
+                    o.append(v)
+            n = batch.num_rows
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([block] * n, pa.int64()), *map(pa.array, out, kinds), pa.nulls(n, pa.list_(pa.string()))], schema.names)
+            words = list(place)
+            for a in range(0, len(words), ENCODED):
+                # The first place of a part stands in ``n``.
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, batch.column(0).type), pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([a], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([words[a : a + ENCODED]], pa.list_(pa.string()))],
+                    schema.names,
+                )
+            block += 1
+
+    both = cut(rows.mapInArrow(freed(run), schema))
+    vocabulary = both.where("words is not null").select("block", "n", F.posexplode("words").alias("i", "word")).select("block", (F.col("n") + F.col("i")).alias("place"), "word")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _cutter(blob.value)
         for batch in slices(batches):
-            if len(table) > TABLE:
-                table.clear()
-            got = [t or "" for t in texts(batch)]
-            n_bytes = [len(t.encode()) for t in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(table.count(got), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-
-    return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cutter.pieces(batch.column(0).to_pylist()), pa.int32())], ["word", "pieces"])
+
+    table = vocabulary.select("word").distinct().mapInArrow(freed(count), "word string, pieces int")
+    known = vocabulary.join(table, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "pieces"))).alias("p"))
+    # The row of a block's pieces goes first, then its documents.
+    found = known.select("block", F.lit(0).alias("kind"), F.col("p.pieces").alias("pieces"))
+    ours = both.where("words is null").select("block", F.lit(1).alias("kind"), "doc_id", *[c for c in schema.names[2:7]])
+    ordered = found.unionByName(ours, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
+    final = rows.select("doc_id", number.alias("n_bytes"), number.alias("n_tokens")).schema
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, pieces = None, None
+        for batch in slices(batches):
+            cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            kind, where = cols["kind"].to_pylist(), cols["block"].to_pylist()
+            many, base, places, counts = (cols[c].to_pylist() for c in ("n", "base", "places", "counts"))
+            mine, sums = [], []
+            for j, k in enumerate(kind):
+                if k == 0:
+                    block, pieces = where[j], cols["pieces"][j].values.to_numpy().astype(np.int64)
+                    continue
+                n = many[j]
+                total = base[j]
+                if n:
+                    if where[j] != block:
+                        raise RuntimeError("a block without its vocabulary")
+                    total += int(pieces[np.cumsum(unpack(places[j], n))] @ unpack(counts[j], n))
+                mine.append(j)
+                sums.append(total)
+            at = pa.array(mine, pa.int64())
+            yield pa.RecordBatch.from_arrays([cols["doc_id"].take(at), cols["n_bytes"].take(at), pa.array(sums, pa.int64())], final.names)
+
+    return ordered.mapInArrow(freed(add), final).withColumn("over_limit", F.col("n_tokens") > limit)

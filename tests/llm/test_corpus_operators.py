@@ -50,7 +50,7 @@ def test_token_counts(docs, empty):
 
 
 def test_pre_tokens_agree_where_assumed():
-    table = token_counts.PieceTable(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+    table = token_counts.Cutter(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and token_counts.AGREED.fullmatch(chr(c))]
     assert len(chars) > 30_000
     for c in chars:
