@@ -3,10 +3,16 @@
 A tree is a sorted array of long hash strings, one bit for each of BITS random hyperplanes.
 A query descends in every tree to the longest prefix that it shares with an indexed string,
 and then all trees ascend together, one bit at a time, until the ranges under the common
-prefix length hold CANDIDATES strings between them; those are scored exactly. Vectors are
+prefix length hold enough strings between them; those are scored exactly. Vectors are
 first lengthened by one coordinate so that all have the same norm, which turns the largest
 inner product into the smallest angle.
 
+How many are enough is measured: SAMPLE queries are compared with every vector by brute
+force, in the same scan that counts how many strings share how long a prefix with theirs, and
+the smallest number is taken with which ascents hold TARGET of their true neighbours. That
+scan is linear; clustered vectors then need few candidates, and vectors without any structure
+a share of all.
+
 The arrays are cut by the first bits of the strings into groups of about GROUP, so a query
 meets one group in each tree; groups that grow beyond that are cut again, items and queries
 each into blocks, and every pair of blocks is a group of its own. A query whose groups hold
@@ -27,13 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from augur.llm.common import cut, sorted_groups, written
+from augur.llm.common import cut, freed, sorted_groups, written
 
 TREES, BITS = 24, 40
-#: Candidates that the trees must hold between them: a number, and a share of the vectors.
-#: Vectors without clusters (the synthetic tables, where the 20th neighbour has a cosine of
-#: 0.4 in 64 dimensions) need the share to reach a recall of 0.9; clustered ones do not.
-CANDIDATES, SHARE = 3000, 0.65
+SAMPLE = 128  # queries of each length of vectors that are compared with all
+TARGET = 0.94  # of their true neighbours that candidates must hold
+LEAST = 3000  # candidates, whatever was measured
 GROUP = 2048
 ITEM_BLOCK, QUERY_BLOCK = 8192, 1024
 
@@ -98,6 +103,67 @@ def _hashed(vectors: DataFrame, most: dict[int, float], double: bool, trees: int
     return vectors.select("id", "dim", "key").mapInArrow(run, "id long, dim int, tree int, hash long")
 
 
+def shared_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits of the common prefix of hash strings."""
+    return BITS - np.frexp((a ^ b).astype(np.float64))[1]
+
+
+def measured(vectors: DataFrame, own: DataFrame, dim: int, most: float, k: int, double: bool, trees: int, sample: int = SAMPLE, target: float = TARGET) -> int:
+    """Candidates that the trees must hold between them so that queries of this length find
+    ``target`` of their ``k`` nearest on average, by ``sample`` queries (those of the smallest
+    hashes of ids) against all ``vectors``."""
+    kind = np.float64 if double else np.float32
+    drawn = own.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "key").collect()
+    who = np.array([r["id"] for r in drawn], np.int64)
+    y = np.frombuffer(b"".join(bytes(r["key"]) for r in drawn), kind).reshape(len(drawn), dim).astype(np.float64)
+    held = vectors.sparkSession.sparkContext.broadcast((who, y, strings(y / most, np.zeros(len(y)), trees)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, y, hashes = held.value
+        depth = np.zeros((len(who), BITS + 1), np.int64)
+        best: list[np.ndarray] = [np.zeros((len(who), 0)), np.zeros((len(who), 0), np.int64), np.zeros((len(who), 0), np.int64)]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                ids, x = part.column(0).to_numpy(), np.frombuffer(b"".join(part.column(2).to_pylist()), kind).reshape(part.num_rows, dim).astype(np.float64)
+                score = y @ x.T
+                u = x / most
+                h = strings(u, np.sqrt(np.maximum(0.0, 1 - (u * u).sum(1))), trees)
+                met = np.zeros(score.shape, np.int64)
+                other = who[:, None] != ids[None]
+                for t in range(trees):
+                    same = shared_prefix(hashes[:, t, None], h[None, :, t]).astype(np.int64)
+                    met = np.maximum(met, same)
+                    depth += np.bincount((np.arange(len(who))[:, None] * (BITS + 1) + same).ravel(), minlength=depth.size).reshape(depth.shape)
+                joined = [np.concatenate([b, c], 1) for b, c in zip(best, (np.where(other, score, -np.inf), np.broadcast_to(ids, score.shape), met))]
+                order = np.lexsort((joined[1], -joined[0]))[:, :k]
+                best = [np.take_along_axis(j, order, 1) for j in joined]
+        row, at = np.nonzero(depth)
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(at, pa.int32()), pa.array(depth[row, at], pa.int64()), pa.nulls(len(row), pa.float64())], ["q", "d", "n", "score"])
+        row, col = np.nonzero(np.isfinite(best[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(best[2][row, col], pa.int32()), pa.array(best[1][row, col], pa.int64()), pa.array(best[0][row, col], pa.float64())], ["q", "d", "n", "score"])
+
+    got = cut(vectors.where(F.col("dim") == dim).select("id", "dim", "key").mapInArrow(freed(run), "q int, d int, n long, score double"))
+    depth = np.zeros((len(who), BITS + 1), np.int64)
+    for r in got.where("score is null").groupBy("q", "d").agg(F.sum("n").alias("n")).collect():
+        depth[r["q"], r["d"]] = r["n"]
+    # Each task has its best k; they are reduced in parts first.
+    top = F.expr(f"slice(array_sort(collect_list(struct(-score as s, n as id, d as d))), 1, {k})")
+    near = got.where("score is not null").groupBy("q", F.spark_partition_id().alias("part")).agg(top.alias("t")).groupBy("q").agg(F.expr(f"slice(array_sort(flatten(collect_list(t))), 1, {k})").alias("t")).select("q", "t.d").collect()
+    under = depth[:, ::-1].cumsum(1)[:, ::-1]  # strings that share d bits or more
+    true = {r["q"]: np.array(r["d"]) for r in near}
+
+    def recall(wanted: int) -> float:
+        levels = (under >= wanted).sum(1) - 1
+        return float(np.mean([(d >= levels[q]).mean() if levels[q] > 0 else 1.0 for q, d in true.items()]))
+
+    low, high = 1, int(under.max(initial=1))
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if recall(mid) >= target else (mid + 1, high)
+    return low
+
+
 def _depth_counts(batches: Iterator[pa.RecordBatch], cut_bits: dict[int, int]) -> Iterator[tuple]:
     """From rows sorted by group, kind (0 item, 1 query) and hash: for each group its key,
     the items' rows and hashes, and the queries' rows and hashes."""
@@ -113,13 +179,14 @@ def _depth_counts(batches: Iterator[pa.RecordBatch], cut_bits: dict[int, int]) -
                 yield cut_bits[int(cols["dim"][a])], cols, np.arange(a, split), np.arange(split, b)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec: str = "embedding", vec_id: str = "vec_id", trees: int = TREES, candidates: int = CANDIDATES, share: float = SHARE) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec: str = "embedding", vec_id: str = "vec_id", trees: int = TREES, candidates: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by
     ``every``, by inner product in double precision, ties to the smaller id.
 
     Vectors that are null, empty, zero, or hold nulls or numbers that are not finite take no
     part, nor do rows without id; a vector is compared with those of its own length. Equal
     rows count once, equal vectors under different ids each. Other columns are not read.
+    ``candidates``: strings that the trees must hold between them; measured if none are given.
     """
     double = isinstance(vectors.schema[vec].dataType.elementType, T.DoubleType)
     kind = np.float64 if double else np.float32
@@ -130,8 +197,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec: str = "embedd
     asked = written(distinct_query_rows(asked, double))
     stats = {r["dim"]: (r["n"], r["most"]) for r in reps.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("most")).collect()}
     most = {d: m for d, (_, m) in stats.items()}
+    # Queries are indexed vectors themselves; each distinct one is asked once.
+    own = written(reps.join(asked.select("key").distinct(), "key", "left_semi"))
+    asking = {r["dim"] for r in own.select("dim").distinct().collect()}
+    enough = {d: n for d, (n, _) in stats.items()}
+    for d, (n, m) in stats.items():
+        if candidates is not None:
+            enough[d] = candidates
+        elif d in asking and n > LEAST:
+            enough[d] = max(LEAST, measured(reps, own, d, m, k, double, trees))
     # Groups must be wide enough to hold the candidates asked for.
-    enough = {d: max(candidates, math.ceil(share * n)) for d, (n, _) in stats.items()}
     bits = {d: max(0, int(math.log2(max(1, min(n / GROUP, trees * n / (2 * enough[d])))))) for d, (n, _) in stats.items()}
 
     def by_dim(values: dict[int, int]) -> Column:
@@ -143,8 +218,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec: str = "embedd
     low, wanted = by_dim(bits), by_dim(enough)
     right = lambda c, n: F.call_function("shiftright", F.col(c), n.cast("int"))
     prefix = right("hash", BITS - low)
-    # Queries are indexed vectors themselves; each distinct one is asked once.
-    own = reps.join(asked.select("key").distinct(), "key", "left_semi")
     items = written(_hashed(reps, most, double, trees, False).withColumn("prefix", prefix))
     queries = written(_hashed(own, most, double, trees, True).withColumn("prefix", prefix))
     place = ["dim", "tree", "prefix"]
@@ -173,7 +246,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec: str = "embedd
 
     cols = [*key, "kind", "hash", "id"]
     sizes = blocks(queries, QUERY_BLOCK, "nq").join(item_blocks, place)
-    counts = grouped(dealt(items, 0, sizes).select(*cols), dealt(queries, 1, sizes).select(*cols)).mapInArrow(depths, "id long, dim int, n array<long>")
+    counts = grouped(dealt(items, 0, sizes).select(*cols), dealt(queries, 1, sizes).select(*cols)).mapInArrow(freed(depths), "id long, dim int, n array<long>")
     # All trees ascend together: the longest prefix under which they hold enough.
     sums = [F.sum(F.element_at("n", d + 1)).alias(f"d{d}") for d in range(BITS + 1)]
     level = F.lit(-1)
@@ -222,7 +295,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec: str = "embedd
         dealt(items, 0, sizes).select(*cols).join(reps.select("id", "key"), "id").select(*cols, level0, "key"),
         dealt(meets, 1, sizes).select(*cols, "level").join(reps.select("id", "key"), "id").select(*cols, "level", "key"),
     )
-    found = full.mapInArrow(scored, "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
+    found = full.mapInArrow(freed(scored), "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
     found = found.join(reps.select("id", "ids"), "id")
     top = F.expr(f"slice(array_sort(collect_list(struct(-score as s, id as id, ids as ids))), 1, {k + 1})")
     lists = cut(found.groupBy("q").agg(top.alias("near")))

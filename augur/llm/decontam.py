@@ -98,12 +98,13 @@ def _probe(s: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_seeds(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
-    """(item_id, tokens, seeds with their positions) of every item with five tokens or more."""
+    """(item_id, a key of the tokens, tokens, seeds with their positions) of every item with
+    five tokens or more."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, toks, found = [], [], []
+            ids, keys, toks, found = [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), texts(batch)):
                 h = hashes(tokens(t or ""))
                 if len(h) < len(SHORT):
@@ -112,10 +113,11 @@ def item_seeds(benchmark: DataFrame, text: str, item_id: str) -> DataFrame:
                 got = [seeds(h, mask, kind).view(np.int64) for kind, mask in masks]
                 ids.append(i)
                 toks.append(h.tobytes())
+                keys.append(xxhash.xxh3_128_hexdigest(toks[-1]))
                 found.append(by_seed(np.concatenate(got), np.concatenate([np.arange(len(g)) for g in got])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(toks, pa.binary()), pa.array(found, _SEEDS)], ["item_id", "item", "seeds"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(toks, pa.binary()), pa.array(found, _SEEDS)], ["item_id", "item_key", "item", "seeds"])
 
-    return rows.mapInArrow(freed(run), f"item_id long, item binary, seeds {SEEDS}")
+    return rows.mapInArrow(freed(run), f"item_id long, item_key string, item binary, seeds {SEEDS}")
 
 
 def _bloom(seeds_df: DataFrame) -> tuple[np.ndarray, int, bool]:
@@ -185,10 +187,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     tokens or more, of which at least 80 % are equal on one diagonal; an item of 5 to 11
     tokens must occur unchanged, and shorter items are not searched. Documents without an
     overlap have no row; null and empty texts have none; equal rows give one row; null
-    ids are kept. Ties go to the earliest start. Other columns are not read.
+    ids of documents and items are kept; items of equal tokens are searched once. Ties go to the earliest start. Other columns are not read.
     """
-    items = cut(item_seeds(benchmark, item_text, item_id))
-    flat = items.select("item_id", F.explode("seeds").alias("s"), (F.length("item") < 8 * OVERLAP).alias("short")).select("item_id", "s.at", "s.h", "short")
+    named = cut(item_seeds(benchmark, item_text, item_id))
+    items = named.groupBy("item_key").agg(F.first("item").alias("item"), F.first("seeds").alias("seeds"))
+    flat = items.select("item_key", F.explode("seeds").alias("s"), (F.length("item") < 8 * OVERLAP).alias("short")).select("item_key", "s.at", "s.h", "short")
     bloom, power, short = _bloom(flat)
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -221,14 +224,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     regions = cut(rows.mapInArrow(freed(run), schema))
     distinct = regions.groupBy("region").agg(F.first("tokens").alias("tokens"), F.first("hits").alias("hits"))
     hits = distinct.select("region", F.explode("hits").alias("x")).select("region", "x.h", F.col("x.at").alias("p"))
-    met = hits.join(flat.select("item_id", "h", F.col("at").alias("q")), "h").groupBy("region", "item_id").agg(F.collect_list(F.struct("p", "q")).alias("met"))
-    pairs = met.join(distinct.select("region", "tokens"), "region").join(items.select("item_id", "item"), "item_id")
+    met = hits.join(flat.select("item_key", "h", F.col("at").alias("q")), "h").groupBy("region", "item_key").agg(F.collect_list(F.struct("p", "q")).alias("met"))
+    pairs = met.join(distinct.select("region", "tokens"), "region").join(items.select("item_key", "item"), "item_key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             cols = dict(zip(batch.schema.names, batch.columns))
             out: list[list] = [[], [], [], [], []]
-            for region, i, raw, other, met in zip(*(cols[c].to_pylist() for c in ("region", "item_id", "tokens", "item", "met"))):
+            for region, i, raw, other, met in zip(*(cols[c].to_pylist() for c in ("region", "item_key", "tokens", "item", "met"))):
                 a, b = np.frombuffer(raw, np.int64), np.frombuffer(other, np.int64)
                 best = None
                 for diag in np.unique(np.concatenate([diagonals(np.array(m["p"]), np.array(m["q"])) for m in met])).tolist():
@@ -239,9 +242,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
                 if best:
                     for o, v in zip(out, (region, i, -best[2], best[0], best[1])):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["region", "item_id", "from_region", "n_tokens", "n_equal"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["region", "item_key", "from_region", "n_tokens", "n_equal"])
 
-    good = cut(pairs.select("region", "item_id", "tokens", "item", "met").mapInArrow(freed(verify), "region string, item_id long, from_region int, n_tokens int, n_equal int"))
+    good = cut(pairs.select("region", "item_key", "tokens", "item", "met").mapInArrow(freed(verify), "region string, item_key string, from_region int, n_tokens int, n_equal int").join(named.select("item_key", "item_id").distinct(), "item_key"))
     # A passage that very many documents share is joined where they are.
     placed = regions.select("doc_id", "start", "region")
     shared = cut(placed.join(good.select("region").distinct(), "region", "left_semi").groupBy("region").agg(F.count("*").alias("n")))

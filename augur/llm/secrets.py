@@ -6,17 +6,21 @@ least twenty characters of encoded data is tested (``random``):
 * its encoding is inferred, the smallest of a few alphabets that holds it;
 * chi-squared uniformity over that alphabet, runs about its middle and lag-one serial
   correlation, combined by Fisher's method, must not reject that it is random;
-* the same chi-squared statistic must be lower than text would have it: under letters
-  drawn with the frequencies of text, its mean and variance at this length are known
-  exactly, and so is the chance that all of n letters fall into the alphabet. That gives
-  a p-value that knows the length. Within classes of length, Benjamini and Hochberg's
-  rule over the whole corpus sets the threshold, so that of the spans reported at most
-  FDR are expected to be text.
+* against text stands the likelihood ratio of even symbols of that alphabet to the best of
+  a few models of text (prose, capitals, identifiers, numbers, dates). Under any of these
+  the ratio exceeds x with probability 1 / x at most, so its inverse, times the number of
+  alphabets, is a p-value, and a longer run can have a smaller one. Within classes of
+  length, Benjamini and Hochberg's rule over the whole corpus sets the threshold, so that
+  of the spans reported at most FDR are expected to be text.
+
+Texts may hold any number of matches: positions are running sums taken in blocks, and work
+grows with the matches to the power 1.5 at most.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -52,28 +56,34 @@ ALPHABETS = {
     "base64url": string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_",
     "any": string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/-_",
 }
-#: Shares of letters a to z in European text, in per cent; the rest of the
-#: null model is 4 % capitals, 2 % digits and 2 % signs.
+#: Shares of letters a to z in European text, in per cent.
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1)
-
-
-def null_model() -> dict[str, tuple[int, float, float, float]]:
-    """Of each alphabet: size, and under text its share and the sums of squares and cubes
-    of its characters' conditional probabilities."""
-    total, p = sum(LETTERS), {}
-    for i, x in enumerate(LETTERS):
-        p[string.ascii_lowercase[i]] = 0.92 * x / total
-        p[string.ascii_uppercase[i]] = 0.04 * x / total
-    p |= {c: 0.002 for c in string.digits} | {c: 0.005 for c in "+/-_"}
-    out = {}
-    for name, letters in ALPHABETS.items():
-        mass = sum(p[c] for c in letters)
-        # Numbers of any length are ordinary text.
-        out[name] = (len(letters), 1.0 if name == "digits" else mass, sum((p[c] / mass) ** 2 for c in letters), sum((p[c] / mass) ** 3 for c in letters))
+#: Models of text: shares of small letters, capitals, digits and signs. Letters are
+#: spread as LETTERS, digits and signs evenly; a share of 0 still has RARE.
+MODELS = {"prose": (0.92, 0.04, 0.02, 0.02), "capitals": (0.04, 0.92, 0.02, 0.02), "names": (0.6, 0.2, 0.15, 0.05), "numbers": (0.0, 0.0, 1.0, 0.0), "dates": (0.0, 0.0, 0.8, 0.2)}
+RARE = 1e-6
+
+
+def text_models() -> list[list[float]]:
+    """Of each model of text log10 of the share of every character of ALPHABETS["any"]."""
+    total = sum(LETTERS)
+    parts = ((string.ascii_lowercase, LETTERS), (string.ascii_uppercase, LETTERS), (string.digits, (total / 10,) * 10), ("+/-_", (total / 4,) * 4))
+    out = []
+    for shares in MODELS.values():
+        p = {c: max(share, RARE) * x / total for share, (chars, spread) in zip(shares, parts) for c, x in zip(chars, spread)}
+        out.append([math.log10(p[c]) for c in ALPHABETS["any"]])
     return out
 
 
-NULL = null_model()
+def running(xs: str, step: str) -> str:
+    """SQL for the running values of ``step`` (of s, the value before, and x) over the array
+    of ints ``xs``, from 0 on. Arrays grow by concatenation, so that is done in blocks of
+    about the root of their number."""
+    none, block = "cast(array() as array<int>)", "greatest(16, cast(sqrt(size(v)) as int))"
+    now = re.sub(r"\bs\b", "c.s", step)
+    return f"""element_at(transform(array({xs}), v -> aggregate(sequence(0, (size(v) - 1) div {block}), struct(0 as s, {none} as got),
+        (a, j) -> aggregate(slice(v, j * {block} + 1, {block}), struct(a.s as s, {none} as got), (c, x) -> struct({now} as s, concat(c.got, array({now})) as got), c -> struct(c.s as s, concat(a.got, c.got) as got)),
+        a -> a.got)), 1)"""
 
 
 def found(text: str, pattern: str, keep: str = "true", group: int = 0) -> str:
@@ -83,13 +93,11 @@ def found(text: str, pattern: str, keep: str = "true", group: int = 0) -> str:
     q = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     g = f"regexp_extract_all({text}, {q}, {group})"
     m = g if group == 0 else f"regexp_extract_all({text}, {q}, 0)"
-    empty = "cast(array() as array<struct<start: int, end: int, s: string, ok: boolean>>)"
-    return f"""if({text} rlike {q}, transform(filter(aggregate(
-        filter(zip_with(zip_with(split({text}, {q}, -1), {m}, (b, m) -> struct(length(b) as b, m as m)), {g}, (y, g) -> struct(y.b as b, y.m as m, g as g)), x -> x.m is not null),
-        struct(0 as at, {empty} as got),
-        (a, x) -> struct(a.at + x.b + length(x.m) as at, concat(a.got, array(struct(a.at + x.b as start, a.at + x.b + length(x.m) as end, x.m as s, {keep} as ok))) as got),
-        a -> a.got), x -> x.ok), x -> struct(x.start as start, x.end as end, x.s as s)),
-        cast(array() as array<struct<start: int, end: int, s: string>>))"""
+    parts = f"filter(zip_with(zip_with(split({text}, {q}, -1), {m}, (b, m) -> struct(length(b) as b, m as m)), {g}, (y, g) -> struct(y.b as b, y.m as m, g as g)), x -> x.m is not null)"
+    ends = running("transform(p, x -> x.b + length(x.m))", "s + x")
+    return f"""if({text} rlike {q}, element_at(transform(array({parts}), p -> transform(
+        filter(zip_with(p, {ends}, (x, e) -> struct(e - length(x.m) as start, e as end, x.m as s, {keep} as ok)), x -> x.ok),
+        x -> struct(x.start as start, x.end as end, x.s as s))), 1), cast(array() as array<struct<start: int, end: int, s: string>>))"""
 
 
 def _outer(x: Column, t: Column) -> Column:
@@ -126,10 +134,16 @@ def battery(s: Column) -> Column:
         fields.extend(new)
 
     zero, one = F.lit(0.0), F.lit(1.0)
+
+    def log_share(at: Column, model: list[float]) -> Column:
+        shares = F.array(*map(F.lit, model))
+        return F.aggregate(at, zero, lambda t, x: t + F.element_at(shares, x))
+
     high = lambda r, x: x > (r["k"] + 1) / 2
     add(n=lambda r: F.length(r["b"]).cast("double"), enc=lambda r: encoding(r["b"]), ch=lambda r: F.filter(F.split(r["b"], ""), lambda c: c != ""))
-    add(al=lambda r: _by(r["enc"], ALPHABETS), **{f: (lambda r, i=i: _by(r["enc"], {k: float(v[i]) for k, v in NULL.items()})) for i, f in enumerate(("k", "mass", "s2", "s3"))})
+    add(al=lambda r: _by(r["enc"], ALPHABETS), k=lambda r: _by(r["enc"], {k: float(len(v)) for k, v in ALPHABETS.items()}), at=lambda r: F.transform(r["ch"], lambda c: F.call_function("locate", c, F.lit(ALPHABETS["any"]))))
     add(
+        like=lambda r: F.greatest(*[log_share(r["at"], m) for m in text_models()]),
         i=lambda r: F.transform(r["ch"], lambda c: F.call_function("locate", c, r["al"]).cast("double")),
         sq=lambda r: F.aggregate(F.array_distinct(r["ch"]), zero, lambda t, c: t + F.pow(r["n"] - F.length(F.call_function("replace", r["b"], c, F.lit(""))), F.lit(2.0))),
     )
@@ -151,23 +165,18 @@ def battery(s: Column) -> Column:
         both = 2 * r["hi"] * (r["n"] - r["hi"])
         return F.try_divide(r["runs"] - (both / r["n"] + 1), F.sqrt(F.greatest(zero, both * (both - r["n"]) / (r["n"] * r["n"] * (r["n"] - 1)))))
 
-    def z_text(r: Column) -> Column:
-        n, k, s2, s3 = r["n"], r["k"], r["s2"], r["s3"]
-        sd = k / n * F.sqrt(F.greatest(F.lit(1e-9), 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)))
-        return (r["chi"] - (k * (1 + (n - 1) * s2) - n)) / sd
-
     # Nothing is divided by n or n - 1 where there are fewer than eight symbols.
     arr = F.filter(arr, lambda r: r["n"] >= 8)
-    add(z1=lambda r: -z_chi(r), z2=lambda r: -F.abs(F.coalesce(z_runs(r), F.lit(40.0))), z3=lambda r: -F.abs(F.coalesce(r["serial"] * F.sqrt(r["n"] - 1), F.lit(40.0))), z4=z_text)
-    add(**{f"x{i}": (lambda r, i=i: F.abs(r[f"z{i}"]) / math.sqrt(2)) for i in range(1, 5)})
-    add(**{f"t{i}": (lambda r, i=i: 1 / (1 + 0.5 * r[f"x{i}"])) for i in range(1, 5)})
-    add(**{f"o{i}": (lambda r, i=i: _outer(r[f"x{i}"], r[f"t{i}"])) for i in range(1, 5)})
+    add(z1=lambda r: -z_chi(r), z2=lambda r: -F.abs(F.coalesce(z_runs(r), F.lit(40.0))), z3=lambda r: -F.abs(F.coalesce(r["serial"] * F.sqrt(r["n"] - 1), F.lit(40.0))))
+    add(**{f"x{i}": (lambda r, i=i: F.abs(r[f"z{i}"]) / math.sqrt(2)) for i in range(1, 4)})
+    add(**{f"t{i}": (lambda r, i=i: 1 / (1 + 0.5 * r[f"x{i}"])) for i in range(1, 4)})
+    add(**{f"o{i}": (lambda r, i=i: _outer(r[f"x{i}"], r[f"t{i}"])) for i in range(1, 4)})
     ten = lambda x: F.pow(F.lit(10.0), x)
     lower = lambda z, o: F.when(z <= 0, o).otherwise(F.log10(F.greatest(1 - ten(o), F.lit(1e-300))))
     nat = lambda x: -F.greatest(x, F.lit(-300.0)) * math.log(10)
     add(
         t=lambda r: nat(lower(r["z1"], r["o1"])) + nat(F.least(zero, r["o2"] + math.log10(2))) + nat(F.least(zero, r["o3"] + math.log10(2))),
-        text=lambda r: F.least(zero, r["n"] * F.log10(r["mass"]) + lower(r["z4"], r["o4"]) + math.log10(len(ALPHABETS))),
+        text=lambda r: F.least(zero, r["like"] + r["n"] * F.log10(r["k"]) + math.log10(len(ALPHABETS))),
     )
     return F.element_at(
         F.concat(
@@ -238,15 +247,28 @@ def scan(docs: DataFrame, text: str = "text", limits: dict[int, float] | None =
 
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = MARK, spans: str = "secrets") -> DataFrame:
-    """Replaces every span in the text, overlapping ones together."""
-    sql = f"""aggregate({spans}, struct(0 as at, '' as got),
-        (a, x) -> struct(greatest(a.at, x.end) as at, if(x.start < a.at, a.got, concat(a.got, substring({text}, a.at + 1, x.start - a.at), '{mark}')) as got),
-        a -> concat(a.got, substring({text}, a.at + 1)))"""
+    """Replaces every span in the text, overlapping ones together; a text without spans stays
+    as it is, null included. The text is cut in blocks of about the root of the number of
+    spans first, since each piece is found by walking from the start of what it is cut from."""
+    most = running(f"transform({spans}, x -> x.end)", "greatest(s, x)")
+    block = "greatest(16, cast(sqrt(size(k)) as int))"
+    first, last = "element_at(q, 1).head", "element_at(q, -1).start"
+    sql = f"""element_at(transform(array({most}), m -> concat(array_join(flatten(
+        element_at(transform(array(filter(transform({spans}, (x, i) -> struct(x.start as start, if(i = 0, 0, element_at(m, greatest(i, 1))) as head)), x -> x.start >= x.head)), k ->
+          transform(sequence(0, (size(k) - 1) div {block}), j -> element_at(transform(array(slice(k, j * {block} + 1, {block})), q ->
+            element_at(transform(array(substring({text}, {first} + 1, {last} - {first})), c -> transform(q, x -> concat(substring(c, x.head - {first} + 1, x.start - x.head), '{mark}'))), 1)), 1))), 1)), ''),
+        substring({text}, element_at(m, -1) + 1))), 1)"""
     return scanned.withColumn(text, F.when(F.size(spans) > 0, F.expr(sql)).otherwise(F.col(text)))
 
 
 def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limits: dict[int, float] | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans of every row."""
+    """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans of every row.
+
+    Spans are in order of their start, then of KINDS; base_sha256 covers those of the base
+    kinds. Null and empty texts have no spans, and the digest of the empty text; repeated rows
+    are scanned each; ids are carried as they are, nulls included; an empty table gives
+    an empty result; columns other than the id and the text are not read, whatever their names.
+    """
     df = scan(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", limits).select("doc_id", "secrets")
     join = "concat_ws(',', transform({}, x -> concat(x.kind, ':', x.start, ':', x.end)))"
     count = [F.expr(f"cast(size(filter(secrets, x -> x.ord = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]

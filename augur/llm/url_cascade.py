@@ -7,7 +7,9 @@ corpus, are the key universe. A cascade answers exactly for this universe whethe
 listed: level 0 holds the listed keys, level 1 those other keys of the universe that
 level 0 lets pass, level 2 the listed keys that level 1 lets pass, and so on until none
 passes wrongly. The first level that rejects a key decides by its parity. Judging is then
-a scan without joins; the filters are literals of at most 2 ** POWER[1] bits a level.
+a scan without joins; the filters are literals of at most 2 ** POWER[1] bits a level. The
+first level is made so sparse that about as many other keys pass it as are listed, however
+large the universe is. Lists for which a level would need more bits are joined by key.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from augur.llm.common import cut
 
 POWER = (6, 24)
 HASHES = 3
-MAX_LEVELS = 40
+
+
+class TooLong(ValueError):
+    """A level would need more bits than a literal may have."""
+
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -72,12 +78,16 @@ def _places(key: Column, power: int, seed: int) -> list[Column]:
     return [F.xxhash64(key, F.lit(seed * HASHES + i)).bitwiseAND((1 << power) - 1) for i in range(HASHES)]
 
 
-def bloom(keys: DataFrame, seed: int) -> Bloom | None:
-    """A filter of the column ``key`` with about eight bits a key; None without keys."""
+def bloom(keys: DataFrame, seed: int, wrong: float = 1 / 32, most: int = POWER[1]) -> Bloom | None:
+    """A filter of the column ``key`` that passes about a share ``wrong`` of other keys; None
+    without keys."""
     n = keys.count()
     if not n:
         return None
-    power = min(POWER[1], max(POWER[0], math.ceil(math.log2(8 * n))))
+    # A share w of set bits lets w ** HASHES pass.
+    power = max(POWER[0], math.ceil(math.log2(HASHES * n / -math.log(1 - wrong ** (1 / HASHES)))))
+    if power > most:
+        raise TooLong(f"{n} keys")
     at = keys.select(F.explode(F.array(*_places(F.col("key"), power, seed))).alias("i"))
     found = at.groupBy(F.shiftright("i", 6).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(i & 63 as int))) as b")).collect()
     words = [0] * ((1 << power) // 64)
@@ -98,29 +108,28 @@ class Cascade:
         return out
 
 
-def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """Levels for distinct ``listed`` keys, exact over ``universe``; columns are ``key``."""
-    first = bloom(listed, 0)
-    if first is None:
+def cascade(listed: DataFrame, universe: DataFrame, most: int = POWER[1]) -> Cascade:
+    """Levels for distinct ``listed`` keys, exact over ``universe``; columns are ``key``.
+    TooLong where a level would need more than 2 ** ``most`` bits."""
+    n = listed.count()
+    if not n:
         return Cascade(())
+    first = bloom(listed, 0, min(1 / 32, n / max(1, universe.count())), most)
     levels = [first]
     own = listed
     other = cut(universe.where(first.has(F.col("key"))).distinct().join(listed, "key", "left_anti"))
-    while len(levels) < MAX_LEVELS:
-        # ``other`` passes wrongly; the next level tells it from ``own``.
-        level = bloom(other, len(levels))
-        if level is None:
-            return Cascade(tuple(levels))
+    while (level := bloom(other, len(levels), most=most)) is not None:
+        # ``other`` passes wrongly; the level tells it from ``own``.
         levels.append(level)
         own, other = other, cut(own.where(level.has(F.col("key"))))
-    raise RuntimeError("the list is too long for filters of this size")
+    return Cascade(tuple(levels))
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rules, "action string, host string, path string")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: str = "page_id", default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: str = "page_id", default: str = "allow", most: int = POWER[1]) -> DataFrame:
     """page_id, host, path, rule, verdict of every row.
 
     ``rules``: action (allow or block), host, path. A rule fits its host and all subdomains
@@ -128,6 +137,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: st
     listed with both actions. Without a rule the verdict is ``default``: the cascades say
     that no key of the url is listed. Null urls have empty host and path; equal rows are
     judged alike; rules without host and nulls in rules are ignored; other columns are not read.
+    Rules that need filters of more than 2 ** ``most`` bits are found by a join instead.
     """
     rules = rules.where("action in ('allow', 'block') and host <> '' and path is not null").select("action", F.lower("host").alias("host"), "path")
     size = rules.agg(F.max(F.size(F.split("host", "[.]", -1))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
@@ -135,9 +145,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: st
     host, path = split_url(F.col(url))
     df = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     universe = df.select(F.explode(shape.keys("host", "path")).alias("key"))
-    listed = cut(rules.select("action", F.concat("host", "path").alias("key")).distinct())
-    allow, block = (cascade(listed.where(F.col("action") == a).select("key"), universe) for a in ("allow", "block"))
-    hits = F.filter(shape.keys("host", "path"), lambda k: allow.lists(k) | block.lists(k))
-    best = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
-    df = df.withColumn("rule", best)
+    listed = cut(rules.groupBy(F.concat("host", "path").alias("key")).agg(F.max(F.col("action") == "block").alias("block"), F.min(F.col("action") == "block").alias("only")))
+    longest = lambda keys: F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
+    try:
+        allow, block = (cascade(listed.where(c).select("key"), universe, most) for c in ("not only", "block"))
+    except TooLong:
+        # Of distinct hosts and paths, so that a page that repeats is joined once.
+        parts = df.select("host", "path").distinct()
+        hits = parts.select("host", "path", F.explode(shape.keys("host", "path")).alias("key")).join(listed, "key")
+        best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "block")).alias("b"))
+        df = df.join(best.select("host", "path", F.col("b.key").alias("rule"), F.col("b.block").alias("_block")), ["host", "path"], "left")
+        return df.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNull(), default).when(F.col("_block"), "block").otherwise("allow").alias("verdict"))
+    df = df.withColumn("rule", longest(F.filter(shape.keys("host", "path"), lambda k: allow.lists(k) | block.lists(k))))
     return df.withColumn("verdict", F.when(F.col("rule").isNull(), default).when(block.lists(F.col("rule")), "block").otherwise("allow"))

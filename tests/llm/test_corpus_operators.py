@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from augur.llm import ann_forest, brown_lm, decontam, fm_quality, langid_mix, secrets, sentencepiece_bpe, simhash, token_counts, url_cascade
+from augur.llm import ann_forest, brown_lm, common, decontam, fm_quality, langid_mix, secrets, sentencepiece_bpe, simhash, token_counts, url_cascade
 from augur.llm.common import components, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +49,25 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_token_counts_over_blocks(spark, monkeypatch):
+    """Vocabularies of more than one part, documents over several blocks, very long pre-tokens."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcdefghijklmnop") for _ in range(30_000))
+    rows = [(i, " ".join(f"w{rng.randrange(40_000)}" for _ in range(9000))) for i in range(5)] + [(5, long), (6, "the " * 9000), (6, "the " * 9000), (7, None)]
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("block", "word", "n", "kind")}), path).collect())
+    assert got == Counter((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+
+
+def test_packed_numbers():
+    n = np.array([0, 1, 254, 255, 256, 70_000, 3])
+    assert token_counts.unpack(token_counts.pack(n), len(n)).tolist() == n.tolist()
+    assert token_counts.unpack(token_counts.pack(n[:0]), 0).tolist() == []
+
+
 def test_pre_tokens_agree_where_assumed():
     table = token_counts.Cutter(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and token_counts.AGREED.fullmatch(chr(c))]
@@ -121,7 +140,7 @@ def brute_battery(s):
     if n < 8:
         return 0, 0.0, 0.0
     enc = next((k for k, v in secrets.ALPHABETS.items() if set(b) <= set(v)), "any")
-    k, mass, s2, s3 = secrets.NULL[enc]
+    k = len(secrets.ALPHABETS[enc])
     ix = [secrets.ALPHABETS[enc].index(c) + 1 for c in b]
     chi = k / n * sum(v * v for v in Counter(b).values()) - n
     lower = lambda z: math.log10(max(1e-300, 0.5 * math.erfc(-z / math.sqrt(2))))
@@ -134,8 +153,8 @@ def brute_battery(s):
     z3 = sum((x - m) * (y - m) for x, y in itertools.pairwise(ix)) / var * math.sqrt(n - 1) if var else 40
     ps = [10 ** lower(-(chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)), two(z2), two(z3)]
     t = -sum(math.log(max(p, 1e-300)) for p in ps)
-    mean, dev = k * (1 + (n - 1) * s2) - n, k / n * math.sqrt(max(1e-9, 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)))
-    return min(14, int(math.log2(n))), min(0.0, n * math.log10(mass) + lower((chi - mean) / dev) + math.log10(len(secrets.ALPHABETS))), math.exp(-t) * (1 + t + t * t / 2)
+    like = max(sum(shares[secrets.ALPHABETS["any"].index(c)] for c in b) for shares in secrets.text_models())
+    return min(14, int(math.log2(n))), min(0.0, like + n * math.log10(k) + math.log10(len(secrets.ALPHABETS))), math.exp(-t) * (1 + t + t * t / 2)
 
 
 def test_secret_battery(spark):
@@ -163,6 +182,49 @@ def test_secret_random_spans(spark):
     assert text[hit] == "key [SECRET] end" and text[100] == dict(rows)[100]
 
 
+def test_secret_thresholds_and_spans(spark):
+    """Thresholds by Benjamini and Hochberg's rule over all runs, and the spans they leave."""
+    rng = random.Random(9)
+    alnum, text = secrets.ALPHABETS["alnum"], ["tion", "heit", "lich", "eau", "ing", "Der", "x2"]
+    rows = []
+    for i in range(160):
+        parts = ["".join(rng.choice(alnum) for _ in range(rng.choice([20, 24, 33, 70]))) if rng.random() < 0.3 else "".join(rng.choice(text) for _ in range(12)), "token=" + "Ab3" * 9, "f" * 40]
+        rng.shuffle(parts)
+        rows.append((i, " \U0001f600 ".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    run = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+    by_class = {}
+    for _, t in rows:
+        for m in run.findall(t):
+            if not re.fullmatch("[0-9a-f]{32,}", m):
+                c, lp, _ = brute_battery(m)
+                by_class.setdefault(c, []).append(min(secrets.BINS, int(-lp * 4)))
+    want = {}
+    for c, bins in by_class.items():
+        kept = [b for b in bins if len(bins) * 10 ** (-b / 4) <= secrets.FDR * sum(x >= b for x in bins)]
+        if kept:
+            want[c] = -min(kept) / 4
+    assert secrets.thresholds(df) == want and want
+    for r in secrets.secret_spans(df).collect():
+        base = base_spans(dict(rows)[r.doc_id])
+        more = []
+        for m in run.finditer(dict(rows)[r.doc_id]):
+            c, lp, p = brute_battery(m[0])
+            if lp <= want.get(c, 1) <= 0 and p >= secrets.RANDOM_P and not any(a < m.end() and m.start() < b for a, _, _, b in base):
+                more.append((m.start(), 3, "random", m.end()))
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(base + more)) and r.n_random == len(more)
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    n = 30_000
+    df = spark.createDataFrame([(1, " ".join(f"é token=abcdefgh{i:06}" for i in range(n))), (2, None)], "doc_id long, text string").withColumns({"secrets": F.lit(1), "_t": F.lit(2), "x": F.lit(3)})
+    got = {r.doc_id: r for r in secrets.redact(secrets.scan(df, limits={}, out="found"), spans="found").collect()}
+    assert [tuple(x) for x in got[1].found] == [(23 * i + 2, 0, "assign", 23 * i + 22) for i in range(n)]
+    assert got[1].text == " ".join([f"é {secrets.MARK}"] * n) and got[2].text is None and got[2].found == []
+    over = spark.createDataFrame([("abcdefghij", [(1, 0, "a", 4), (2, 1, "b", 6), (3, 2, "c", 5), (8, 0, "a", 9)])], "text string, secrets array<struct<start: int, ord: int, kind: string, end: int>>")
+    assert secrets.redact(over, mark="*").first().text == "a*gh*j"
+
+
 def test_nearest_recall_and_order(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)).astype(np.float32) * rng.uniform(0.2, 3, (3000, 1)).astype(np.float32)
@@ -170,7 +232,7 @@ def test_nearest_recall_and_order(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20_000, None), (20_020, [0.0] * 16), (20_040, [float("nan")] * 16), (20_060, []), (20_080, [None] * 16), (None, x[0].tolist()), (40, x[40].tolist()), (21_000, [1.0, 2.0]), (21_001, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
     got = {}
-    for r in ann_forest.nearest(df, candidates=600).collect():
+    for r in ann_forest.nearest(df, candidates=2000).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(got) == set(range(0, 3000, 20)) | {21_000}
     assert [(a, b) for a, b, _ in got[21_000]] == [(1, 21_001)]
@@ -190,6 +252,52 @@ def test_nearest_recall_and_order(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann_forest.nearest(few).collect()) == [(0, 1, 20, 1.0), (0, 2, 3, 0.0), (20, 1, 0, 1.0), (20, 2, 3, 1.0)]
 
 
+def vectors(spark, x):
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32()))})
+    return spark.createDataFrame(table)
+
+
+def test_nearest_of_a_query_opposite_to_all(spark):
+    rng = np.random.default_rng(7)
+    x = np.ones((9000, 16)) + rng.normal(0, 0.05, (9000, 16))
+    x[0] = -1
+    got = ann_forest.nearest(vectors(spark, x)).where("query_id = 0").orderBy("rank").collect()
+    y = x.astype(np.float32).astype(float)
+    s = y @ y[0]
+    s[0] = -np.inf
+    assert [r.vec_id for r in got] == np.lexsort((np.arange(9000), -s))[:20].tolist()
+
+
+def test_nearest_measures_its_candidates(spark):
+    """Clustered vectors need few candidates and vectors without structure many."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 24))
+    tight, loose = centres[rng.integers(0, 300, 12_000)] + rng.normal(0, 0.15, (12_000, 24)), rng.normal(size=(12_000, 24))
+    wanted = []
+    for x in (tight, loose):
+        df = vectors(spark, x)
+        reps = ann_forest.distinct_vectors(df.select("vec_id", "embedding"), 20, False).select(F.element_at("ids", 1).alias("id"), "dim", "norm", "key", "ids")
+        own = reps.where("id % 20 = 0")
+        most = float(np.sqrt((x.astype(np.float32).astype(float) ** 2).sum(1).max()))
+        wanted.append(ann_forest.measured(reps, own, 24, most, 20, False, ann_forest.TREES))
+        got = {}
+        for r in ann_forest.nearest(df, every=200).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        y, hit = x.astype(np.float32).astype(float), 0
+        for i in range(0, 12_000, 200):
+            s = y @ y[i]
+            s[i] = -np.inf
+            hit += len(got[i] & set(np.lexsort((np.arange(12_000), -s))[:20].tolist()))
+        assert hit / (20 * 60) >= 0.9
+    assert wanted[0] * 3 < wanted[1]
+
+
+def test_shared_prefix():
+    a = np.array([0, 5, 1 << 39, (1 << 40) - 1])
+    assert ann_forest.shared_prefix(a, a).tolist() == [40] * 4
+    assert ann_forest.shared_prefix(a, np.array([1, 4, 0, (1 << 40) - 2])).tolist() == [39, 39, 0, 39]
+
+
 def test_nearest_table_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = {r.vec_id: np.array(r.embedding, float) for r in e.collect()}
@@ -230,7 +338,7 @@ def test_nearest_ascends_above_groups(spark):
     x = (rng.normal(size=(n, dim)) * np.exp(rng.normal(0, 0.5, (n, 1)))).astype(np.float32)
     table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32()))})
     got = {}
-    for r in ann_forest.nearest(spark.createDataFrame(table), every=50, trees=trees, candidates=wanted, share=0).collect():
+    for r in ann_forest.nearest(spark.createDataFrame(table), every=50, trees=trees, candidates=wanted).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     y = x.astype(np.float64)
     u = y / np.sqrt((y * y).sum(1)).max()
@@ -274,6 +382,23 @@ def test_urls(spark):
     assert url_cascade.judge_urls(pages.limit(0), url_cascade.rules_frame(spark, URL_RULES)).count() == 0
 
 
+def test_urls_of_long_lists(spark):
+    rng = random.Random(2)
+    hosts = [f"{a}.{b}" for a in "abcdef" for b in ("com", "org", "co.uk")]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(["/", "/a", "/a/b", ""])) for _ in range(60)]
+    rules = [r for r in dict((((h, p), (a, h, p)) for a, h, p in rules)).values()] + [("allow", "zz", "/"), ("block", "zz", "/")]
+    rows = [(i % 50, f"http://{rng.choice(['', 'x.', 'y.x.'])}{rng.choice([*hosts, 'zz'])}{rng.choice(['', '/', '/a', '/a/b/c', '/b'])}") for i in range(400)] + [(None, None)]
+    pages, listed = spark.createDataFrame(rows, "page_id long, url string"), url_cascade.rules_frame(spark, rules)
+    short, long = (Counter(map(tuple, url_cascade.judge_urls(pages, listed, most=most).collect())) for most in (24, 5))
+    want = Counter()
+    for i, u in rows:
+        host, path, rule, verdict = brute_url(u, rules)
+        want[i, host, path, rule, verdict] += 1
+    assert short == long == want
+    with pytest.raises(url_cascade.TooLong):
+        url_cascade.cascade(spark.range(100).selectExpr("cast(id as string) as key"), spark.range(9).selectExpr("cast(id as string) as key"), 5)
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("cast(substring(key, 2) as int) % 7 = 0")
@@ -322,6 +447,52 @@ def test_class_lm_is_normalised(docs):
         assert total[cls] + 0.5 * 10**w == pytest.approx(1)
 
 
+def test_exchange_raises_the_likelihood(docs):
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    counts = brown_lm.count_words(rows).where("length(word) > 0").orderBy(F.desc("n"), "word").limit(700).collect()
+    words = rows.sparkSession.sparkContext.broadcast(("a test", [bytes(r.word) for r in counts]))
+    bigrams = brown_lm.item_bigrams(rows, words).cache()
+    item_of = {b"": 0} | {bytes(r.word): brown_lm.TAIL + 1 + i for i, r in enumerate(counts)}
+    want = Counter()
+    for _, t in texts_of(docs):
+        seq = [0, *(item_of.get(w, brown_lm.tail_item(w)) for w in words_of(t)), 0]
+        want.update(itertools.pairwise(seq))
+    assert {(r.a, r.b): r.n for r in bigrams.collect()} == want
+    start = np.concatenate([[0], 1 + np.arange(brown_lm.TAIL + 700) % (brown_lm.CLASSES - 1)]).astype(np.int16)
+    classes, m, seen = brown_lm.cluster(bigrams, start, rounds=8)
+    assert len(seen) >= 4 and all(b > a for a, b in itertools.pairwise(seen)) and classes[0] == 0 and not (classes[1:] == 0).any()
+    brute = np.zeros_like(m)
+    for (a, b), n in want.items():
+        brute[classes[a], classes[b]] += n
+    assert (brute == m).all() and seen[-1] == pytest.approx(brown_lm.likelihood(brute))
+    assert brown_lm.cluster(bigrams.limit(0), start)[2] == [0.0]
+
+
+def test_class_lm_score_against_plain_loop(docs):
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").dropDuplicates(["doc_id"])
+    m = brown_lm.fit(rows.where("doc_id % 3 > 0"))
+    b, counts = m.bigrams, {bytes(r.word): r.n for r in m.counts.collect()}
+    item_of = {b"": 0} | {w: brown_lm.TAIL + 1 + i for i, w in enumerate(m.words.value[1])}
+    cls = lambda w: int(m.classes[item_of.get(w, brown_lm.tail_item(w))])
+    size, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        size[cls(w)] += n
+        kinds[cls(w)] += 1
+    uni = (b.sum(0) + 1) / (b.sum() + brown_lm.CLASSES)
+
+    def plain(t):
+        total, before = 0.0, 0
+        for w in [*words_of(t), b""]:
+            c = cls(w)
+            total += math.log10((b[before, c] + brown_lm.KAPPA * uni[c]) / (b[before].sum() + brown_lm.KAPPA))
+            total += math.log10((counts.get(w, 0) + 0.5) / (size[c] + 0.5 * (kinds[c] + 1)))
+            before = c
+        return total
+
+    got = {r.doc_id: r.score for r in brown_lm.score(rows, m).collect()}
+    assert all(got[i] == pytest.approx(plain(t), rel=1e-9, abs=1e-6) for i, t in texts_of(rows)) and len(got) > 200
+
+
 def test_exchange_move_is_the_best():
     rng = np.random.default_rng(2)
     k = brown_lm.CLASSES
@@ -407,6 +578,50 @@ def test_simhash_links_random(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+def test_simhash_links_under_crowded_keys(spark):
+    """Half the fingerprints share their lower or their upper segment but for a bit."""
+    rng = random.Random(9)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    while len(fps) < 700:
+        low, high = rng.getrandbits(32), rng.getrandbits(32)
+        fps |= {high << 32 | 77 ^ (rng.random() < 0.5) << rng.randrange(32), 99 << 32 | low}
+    for f in rng.sample(sorted(fps), 200):
+        g = f
+        for b in rng.sample(range(64), rng.randint(1, 4)):
+            g ^= 1 << b
+        fps.add(g)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    part = {f: f for f in fps}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in itertools.combinations(fps, 2):
+        if (a ^ b).bit_count() <= 3:
+            part[find(a)] = find(b)
+    want = {}
+    for f in fps:
+        want.setdefault(find(f), set()).add(signed(f))
+    for crowd in (30, 1 << 40):
+        roots = {r.node: r.root for r in components(simhash.links(df, crowd=crowd)).collect()}
+        mine = {}
+        for f in map(signed, fps):
+            mine.setdefault(roots.get(f, f), set()).add(f)
+        assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+
+
+def test_join_hot(spark, monkeypatch):
+    rows = spark.range(50_000).selectExpr("if(id < 30000, 7, id) as k", "id as v")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    for hot in (common.HOT, 1):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = common.join_hot(rows, table, "k", "n").agg(F.count("*"), F.sum("m"), F.sum("v")).first()
+        assert tuple(got) == (50_000, 30_000 * 29_999 + sum(range(30_000, 50_000)), sum(range(50_000)))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (7, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -486,6 +701,25 @@ def test_decontamination(spark, docs, empty):
     assert [(r.doc_id, r.item_id, r.n_tokens, r.start) for r in decontam.contaminated(some, short).collect()] == [(1, 1, 6, 1)]
 
 
+def test_decontamination_of_odd_texts(docs, spark):
+    """Nulls, empty, very long and repeated texts and tokens against a benchmark of the same kinds."""
+    same = " ".join(f"s{i}" for i in range(30))
+    items = spark.createDataFrame([(1, same), (2, None), (3, ""), (4, "word " * 300), (5, same), (6, " ".join(["a", "b"] * 20)), (None, same)], "item_id long, text string").withColumn("seeds", F.lit(1))
+    long = " ".join(f"t{i}" for i in range(60_000))
+    rows = [(1, f"{long} {same} {long}"), (2, None), (3, ""), (4, "word " * 5000), (5, "b a " * 3000), (6, same), (6, same), (7, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("region", "hits", "item_id", "tokens", "start")})
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_equal, r.start) for r in decontam.contaminated(df, items).collect()}
+    assert got == {(d, i): (30, 30, s) for d, s in ((1, 60_000), (6, 0)) for i in (1, 5, None)} | {(4, 4): (300, 300, 0), (5, 6): (40, 40, 1)}
+    assert {r.doc_id for r in decontam.contaminated(docs, items).collect()} == {10_007}
+
+
+def test_diagonals():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (5, 40), (60, 3)):
+        p, q = rng.choice(200, n, replace=False), rng.choice(90, m, replace=False)
+        assert decontam.diagonals(p, q).tolist() == sorted({int(a - b) for a in p for b in q})
+
+
 def test_decontamination_of_two_passages_in_one_region(spark):
     """Hits more than GAP apart that widen to the same tokens of a short document."""
     first, last = (" ".join(f"{c}{i}" for i in range(12)) for c in "xy")
@@ -540,6 +774,33 @@ def test_quality_reads_long_texts_to_the_end():
     assert ((m.score([made(v) for v in y]) > 0.5) == (y == 1)).mean() > 0.95
 
 
+def test_fitted_quality_against_pairwise_sums(spark):
+    """A fitted machine's scores over the table, nulls, empty and very long texts included, by
+    plain sums over all pairs of features."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = fm_quality.fit(docs, labels)
+    odd = spark.createDataFrame([(90_000 + i, t, n) for i, (t, n) in enumerate(zip(ODD, itertools.cycle([None, 0, 5, -3, 10**12])))], "doc_id long, text string, n_chars long")
+    some = docs.limit(12).select("doc_id", "text", "n_chars").unionByName(odd).withColumns({"_m0": F.lit("x"), "predicted": F.lit("y")})
+    got = {r.doc_id: r.score for r in fm_quality.score(some, m).collect()}
+    for r in some.collect():
+        ids, x = fm_quality.features(r.text, {"n_chars": None if r.n_chars is None else float(r.n_chars)})
+        raw = m.bias + sum(float(m.w[i]) * a for i, a in zip(ids, x))
+        for j in range(len(ids)):
+            raw += float(sum((m.v[ids[j]] @ m.v[i]) * x[j] * a for i, a in zip(ids[j + 1 :], x[j + 1 :])))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9)
+    assert len(got) == 12 + len(ODD)
+    # Repeated ids: one text of each is read, so the sample bounds rows; metadata may be missing.
+    again = docs.unionByName(docs).unionByName(docs.withColumn("text", F.lit("zzz"))).drop("n_chars")
+    assert fm_quality.fit(again, labels, sample=20) is not None
+    assert fm_quality.fit(docs.withColumn("n_chars", F.array("n_chars")), labels, sample=20) is not None
+
+
+def test_metadata_is_a_feature():
+    plain, told = (fm_quality.features("some words", {"n_chars": n})[0] for n in (10.0, 5000.0))
+    assert plain[:2] == told[:2] and plain[-2:] != told[-2:]
+    assert len(fm_quality.features("x", {"n_chars": None})[0]) + 1 == len(fm_quality.features("x", {"n_chars": 1.0})[0])
+
+
 def test_machine_identity():
     m = fm_quality.Machine()
     m.w[:] = np.random.default_rng(1).normal(size=len(m.w))
@@ -568,6 +829,15 @@ def test_language(spark, empty):
     assert r.lang_pred == "en" and set(r.languages) == {"en", "fr"} and r.languages["fr"] == pytest.approx(1 / 3, abs=0.07)
 
 
+def test_letters_of_the_whole_code_space(spark):
+    """Marks alone are no letters, marks in words are kept, and letters past U+32000 count."""
+    model = langid_mix.Mixture(["a", "b"], np.ones((2, langid_mix.CELLS)))
+    got = model.infer(["\u0301", "a\u0301", "\u0301 \u0301x", chr(0x32010), "", "12"])[0]
+    assert [g is None for g in got] == [True, False, False, False, True, True]
+    cells = [langid_mix.trigrams([t])[0].tolist() for t in ("xa\u0301", "xa", "x\u0301a", "xa \u0301")]
+    assert cells[1] == cells[3] and len(cells[0]) == len(cells[2]) == 3
+
+
 def test_em_against_plain_loop():
     rng = np.random.default_rng(5)
     model = langid_mix.Mixture(["a", "b"], rng.integers(0, 50, (2, langid_mix.CELLS)).astype(float))
