@@ -6,7 +6,6 @@ and read again as the next one's docs. All but the last return the columns of do
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -14,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augur.llm import decontam, langid_mix, secrets, sentencepiece_bpe, simhash
-from augur.llm.common import crc_mod, shared_dir, written
+from augur.llm.common import crc_mod
+from augur.sources.shared import discard, mark, new_path, written
 
 
 def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -28,28 +28,34 @@ def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that no learned language explains better
-    than an even spread of trigrams would."""
+    """Drops documents without letters (null and empty texts among them) and those that no
+    learned language explains better than an even spread of trigrams would. Rows are judged
+    by themselves; nulls in ``lang`` and rows under a null id teach as the operator says."""
     model = langid_mix.fit(docs.where(crc_mod("doc_id", 3) != 1))
     return langid_mix.keep_known(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of linked fingerprints."""
+    """Keeps one document of every group of linked fingerprints, that with the smallest id; where
+    ids repeat or are null, the first row. Null and empty texts are one group with others of
+    fingerprint zero; an empty table stays empty; further columns are carried."""
     keyed, key = with_key(docs)
     heads = simhash.near_groups(keyed, doc_id=key).where("doc_id = component_id").select(F.col("doc_id").alias(key))
     return keyed.join(heads, key, "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that overlap with a benchmark item."""
+    """Drops documents that overlap with a benchmark item, all rows of equal text alike. Null and
+    empty texts have no overlap and stay; long ones are read whole; rows with
+    repeated or null ids are told apart, and further columns are carried."""
     keyed, key = with_key(docs)
     hit = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=key)
     return keyed.join(hit.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
 
 
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts by a mark; all documents stay."""
+    """Replaces secrets in the texts by a mark; all documents stay, and texts without secrets,
+    nulls included, stay as they are. ``n_chars`` follows the text where it changed."""
     found = secrets.fresh("_secrets", docs.columns)
     out = secrets.redact(secrets.scan(docs, out=found), spans=found)
     if "n_chars" in docs.columns:
@@ -58,7 +64,8 @@ def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null and empty texts have no
+    ids; rows are encoded by themselves, repeated ones again; further columns are dropped."""
     return sentencepiece_bpe.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -76,10 +83,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
+    for _, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{i}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{i}")
+        path = new_path(spark, "pipeline")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        # What the stage made and read is no longer needed.
+        discard(spark, before, keep=1)
     return docs
