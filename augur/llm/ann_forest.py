@@ -38,7 +38,7 @@ from augur.llm.common import cut, freed, sorted_groups, written
 TREES, BITS = 24, 40
 SAMPLE = 128  # queries of each length of vectors that are compared with all
 TARGET = 0.94  # of their true neighbours that candidates must hold
-LEAST = 3000  # candidates, whatever was measured
+LEAST = 3000  # candidates, whatever was measured; where there are fewer vectors, all
 GROUP = 2048
 ITEM_BLOCK, QUERY_BLOCK = 8192, 1024
 
@@ -200,7 +200,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec: str = "embedd
     # Queries are indexed vectors themselves; each distinct one is asked once.
     own = written(reps.join(asked.select("key").distinct(), "key", "left_semi"))
     asking = {r["dim"] for r in own.select("dim").distinct().collect()}
-    enough = {d: n for d, (n, _) in stats.items()}
+    # A table of few vectors has fewer than are wanted, so its queries ascend to the root.
+    enough = {d: trees * n + 1 for d, (n, _) in stats.items()}
     for d, (n, m) in stats.items():
         if candidates is not None:
             enough[d] = candidates
