@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,13 +27,31 @@ OPENERS = (
 ).split()
 
 
+#: What ``\\w``, ``\\d``, ``\\s`` and ``\\b`` mean over all scripts; Java's own are ASCII.
+_W = r"\p{L}\p{N}_"
+_CLASSES = {r"\w": _W, r"\d": r"\p{Nd}", r"\s": r"\p{Z}\t-\r\x1c-\x1f\x85"}
+
+
+def all_scripts(pattern: str) -> str:
+    """A pattern with those classes and boundaries spelled out."""
+
+    def one(m: re.Match) -> str:
+        if m[0].startswith("["):
+            return re.sub(r"\\[wds]", lambda c: _CLASSES[c[0]], m[0])
+        if m[0] == r"\b":
+            return f"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
+        return f"[{_CLASSES[m[0]]}]"
+
+    return re.sub(r"\[(?:\\.|[^\]])*\]|\\[wdsb]", one, pattern)
+
+
 def extract_dates(text: Column) -> Column:
-    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in DATES]
+    found = [F.regexp_extract_all(text, F.lit(all_scripts(p)), F.lit(0)) for p in DATES]
     return F.array_distinct(F.transform(F.flatten(F.array(*found)), strip))
 
 
 def extract_numbers(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(all_scripts(NUMBER)), F.lit(1)))
 
 
 def extract_proper_nouns(text: Column) -> Column:
@@ -40,13 +60,13 @@ def extract_proper_nouns(text: Column) -> Column:
     openers = F.array(*map(F.lit, OPENERS))
 
     def runs(sentence: Column) -> Column:
-        s = F.regexp_replace(sentence, r"^\s+", "")
+        s = F.regexp_replace(sentence, all_scripts(r"^\s+"), "")
         first = F.split(s, " ", 2)[0]
-        rest = F.regexp_replace(F.substring(s, F.length(first) + 1, F.length(s) + 1), r"^\s+", "")
+        rest = F.regexp_replace(F.substring(s, F.length(first) + 1, F.length(s) + 1), all_scripts(r"^\s+"), "")
         s = F.when(F.array_contains(openers, first), rest).otherwise(s)
-        return F.regexp_extract_all(s, F.lit(PROPER_RUN), F.lit(1))
+        return F.regexp_extract_all(s, F.lit(all_scripts(PROPER_RUN)), F.lit(1))
 
-    spans = F.flatten(F.transform(F.split(text, r"(?<=[.!?])\s+"), runs))
+    spans = F.flatten(F.transform(F.split(text, all_scripts(r"(?<=[.!?])\s+")), runs))
     spans = F.array_distinct(F.transform(spans, strip))
     dated = lambda x: F.size(extract_dates(x)) > 0
     return F.filter(spans, lambda x: ~F.array_contains(openers, x) & ~dated(x) & (F.length(x) > 1))
@@ -55,7 +75,7 @@ def extract_proper_nouns(text: Column) -> Column:
 def validate_paraphrase(original: Column, candidate: Column) -> Column:
     """struct(ok, reason): the first of dates, numbers, names, empty, identical that fails."""
     listed = lambda what, xs: F.concat(F.lit(f"missing {what}: ["), F.array_join(F.transform(F.array_sort(xs), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
-    years = lambda xs: F.filter(xs, lambda x: ~x.rlike(r"^20\d{2}$"))
+    years = lambda xs: F.filter(xs, lambda x: ~x.rlike(all_scripts(r"^20\d{2}$")))
     dates = F.array_except(extract_dates(original), extract_dates(candidate))
     numbers = F.array_except(years(extract_numbers(original)), years(extract_numbers(candidate)))
     low = F.lower(candidate)

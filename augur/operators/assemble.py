@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augur.functions.dates import parse_iso_date
@@ -47,10 +47,14 @@ def render_user_prompt(question: Column, row: dict[str, Column]) -> Column:
 
 
 def last_row(df: DataFrame, key: str) -> DataFrame:
-    """One row a key, the last by (file, position) where the frame knows them, else any one."""
-    order = [c for c in ("_file", "_row") if c in df.columns]
-    w = Window.partitionBy(key).orderBy(*([F.col(c).desc() for c in order] or [F.lit(0)]))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", *order)
+    """One row a key, the last by file and position, which ``read_rows`` adds. A frame without
+    them must have one row a key; several are an error when they are met."""
+    if not {"_file", "_row"} <= set(df.columns):
+        one = F.when(F.count("*") > 1, F.raise_error(F.lit(f"several rows of a {key} and no order"))).otherwise(F.first(F.struct(*df.columns)))
+        return df.groupBy(F.col(key).alias("_key")).agg(one.alias("r")).select("r.*")
+    place = F.struct("_file", "_row")
+    rest = [c for c in df.columns if c not in ("_file", "_row")]
+    return df.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rest), place).alias("r")).select("r.*")
 
 
 def checked(questions: DataFrame, contexts: DataFrame, paraphrases: DataFrame, splits: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from augur.functions.text import canonical_url, normalize_text, token_set
+from augur.sources.shared import written
 
 #: Sources from the most to the least trusted.
 PRIORITY = {"mantic_q2_aib": 0, "metaculus": 1, "polymarket": 2, "manifold": 3, "forecastbench": 4}
@@ -30,34 +31,49 @@ def url_arbitration(rows: DataFrame, ranks: dict[str, int] = PRIORITY) -> DataFr
     return kept.select(*rows.columns)
 
 
-def similar_pairs(rows: DataFrame, threshold: float = 0.7, min_len: int = 3, text: str = "question", same: tuple[str, ...] = (), window_days: int | None = None, date: str = "resolved_at") -> DataFrame:
-    """(a, b, similarity): ids of different sources whose token sets have a Jaccard similarity of
-    at least ``threshold``, agreeing in the columns ``same`` and within ``window_days``.
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, similarity) of different token sets (key, toks), x < y, of at least ``threshold``.
 
     Prefix filter: if J(A, B) >= t, the sets share a token among the first
     |A| - ceil(t |A|) + 1 of each in a common order. With the rarest tokens first, only rare
     tokens are joined on, whatever the common ones; candidates are verified exactly."""
-    toks = token_set(normalize_text(F.col(text)), min_len)
-    extra = [*same, *([date] if window_days is not None else [])]
-    base = rows.select("id", "source", *extra, toks.alias("_t")).where(F.size("_t") > 0)
-    df = base.select(F.explode("_t").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    ranked = base.select("id", F.explode("_t").alias("tok")).join(df, "tok").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("_s"))
+    df = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    ranked = sets.select("key", F.explode("toks").alias("tok")).join(df, "tok").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("s"))
     # 0.7 * 10 must not become 8 by rounding, hence the tolerance.
-    keep = F.size("_s") - F.ceil(F.size("_s") * F.lit(threshold) - F.lit(1e-9)) + 1
-    sets = base.join(ranked, "id").withColumn("n", F.size("_t"))
-    prefix = sets.select("id", "source", *extra, "n", F.explode(F.slice("_s", F.lit(1), keep.cast("int"))["tok"]).alias("tok"))
+    keep = F.size("s") - F.ceil(F.size("s") * F.lit(threshold) - F.lit(1e-9)) + 1
+    prefix = written(ranked.select("key", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), keep.cast("int"))["tok"]).alias("tok")))
     a, b = prefix.alias("a"), prefix.alias("b")
-    on = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.source") < F.col("b.source")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - F.lit(1e-9))
+    on = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.key") < F.col("b.key")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - F.lit(1e-9))
+    cand = a.join(b, on).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
+    both = cand.join(sets.select(F.col("key").alias("x"), F.col("toks").alias("tx")), "x").join(sets.select(F.col("key").alias("y"), F.col("toks").alias("ty")), "y")
+    common = F.size(F.array_intersect("tx", "ty"))
+    sim = common / (F.size("tx") + F.size("ty") - common)
+    return both.select("x", "y", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _token_sets(rows: DataFrame, text: str, min_len: int, columns: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows with the key of their token set, without texts, and the distinct sets (key, toks);
+    both are written, so texts are cut once. Rows without tokens are left out."""
+    toks = F.array_sort(token_set(normalize_text(F.col(text)), min_len))
+    base = written(rows.select(*columns, toks.alias("toks")).where(F.size("toks") > 0).withColumn("key", F.sha2(F.array_join("toks", " "), 256)))
+    return base.drop("toks"), written(base.groupBy("key").agg(F.first("toks").alias("toks")))
+
+
+def similar_pairs(rows: DataFrame, threshold: float = 0.7, min_len: int = 3, text: str = "question", same: tuple[str, ...] = (), window_days: int | None = None, date: str = "resolved_at") -> DataFrame:
+    """(a, b, similarity): ids of different sources whose token sets have a Jaccard similarity of
+    at least ``threshold``, agreeing in the columns ``same`` and within ``window_days``. Equal
+    sets are compared once, whatever the number of rows that have them."""
+    extra = [*same, *([date] if window_days is not None else [])]
+    base, sets = _token_sets(rows, text, min_len, [F.col(c) for c in ("id", "source", *extra)])
+    near = similar_sets(sets, threshold)
+    near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "similarity")).unionByName(sets.select(F.col("key").alias("x"), F.col("key").alias("y"), F.lit(1.0).alias("similarity")))
+    a, b = base.alias("a"), base.alias("b")
+    on = (F.col("b.key") == F.col("y")) & (F.col("a.source") < F.col("b.source"))
     for c in same:
         on &= F.col(f"a.{c}") == F.col(f"b.{c}")
     if window_days is not None:
         on &= F.abs(F.datediff(f"a.{date}", f"b.{date}")) <= window_days
-    cand = a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    s = sets.select("id", "_t")
-    both = cand.join(s.select(F.col("id").alias("a"), F.col("_t").alias("_ta")), "a").join(s.select(F.col("id").alias("b"), F.col("_t").alias("_tb")), "b")
-    common = F.size(F.array_intersect("_ta", "_tb"))
-    sim = common / (F.size("_ta") + F.size("_tb") - common)
-    return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    return a.join(near, F.col("a.key") == F.col("x")).join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "similarity")
 
 
 def quality_order(ranks: dict[str, int] = PRIORITY) -> Column:
@@ -68,12 +84,19 @@ def quality_order(ranks: dict[str, int] = PRIORITY) -> Column:
 
 def deduplicate(rows: DataFrame, threshold: float = 0.7, window_days: int = 14, ranks: dict[str, int] = PRIORITY) -> DataFrame:
     """Rows that stay, by resolution date and id. A row goes if a similar one of another source
-    is better in ``quality_order``; the rule looks at all pairs and not at an order of visits."""
+    is better in ``quality_order``; the rule looks at all pairs and not at an order of visits.
+    Pairs are formed of groups of equal token set, source and date, by their best rows, so
+    that many equal questions cost no more than one."""
     first = url_arbitration(rows, ranks)
-    pairs = similar_pairs(first, threshold, window_days=window_days)
-    order = first.select("id", quality_order(ranks).alias("o"))
-    lost = pairs.join(order.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(order.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
-    lost = lost.select(F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    columns = [F.col("id"), F.col("source"), F.col("resolved_at").alias("day"), quality_order(ranks).alias("o")]
+    base, sets = _token_sets(first, "question", 3, columns)
+    groups = written(base.groupBy("key", "source", "day").agg(F.min("o").alias("best")))
+    near = similar_sets(sets, threshold)
+    near = near.select("x", "y").unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(sets.select(F.col("key").alias("x"), F.col("key").alias("y")))
+    other = groups.select(F.col("key").alias("y"), F.col("source").alias("_source"), F.col("day").alias("_day"), F.col("best").alias("_best"))
+    met = groups.join(near, groups.key == near.x).join(other, "y").where((F.col("source") != F.col("_source")) & (F.abs(F.datediff("day", "_day")) <= window_days))
+    rival = met.groupBy("key", "source", "day").agg(F.min("_best").alias("_best"))
+    lost = base.join(rival, ["key", "source", "day"]).where("_best < o").select("id").distinct()
     return first.join(lost, "id", "left_anti").orderBy("resolved_at", "id")
 
 

@@ -30,9 +30,23 @@ def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return good, df.where("reject_reason is not null").select("value", "reject_reason")
 
 
-def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Line JSON read leniently: missing fields are null, further ones ignored."""
-    return spark.read.schema(schema).json(path)
+def read_rows(spark: SparkSession, path: str, schema: str, ordered: bool = False) -> DataFrame:
+    """Line JSON read leniently: missing fields are null, further ones ignored. ``ordered`` adds
+    _file and _row, by which later lines follow earlier ones of a file."""
+    rows = spark.read.schema(schema).json(path)
+    return rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id()) if ordered else rows
+
+
+def read_present(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Questions of all files that are there, as valid and rejected rows, and the paths that are
+    missing."""
+    there = [p for p in paths if exists(spark, p)]
+    good = spark.createDataFrame([], S.QUESTION)
+    bad = spark.createDataFrame([], "value string, reject_reason string")
+    for path in there:
+        a, b = read_questions(spark, path)
+        good, bad = good.unionByName(a), bad.unionByName(b)
+    return good, bad, [p for p in paths if p not in there]
 
 
 def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

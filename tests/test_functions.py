@@ -79,14 +79,21 @@ PAIRS = [
 
 
 def test_validate_paraphrase(spark):
-    from augur.operators.generate import invalid_reason
-
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(PAIRS)], "i int, a string, b string")
     got = df.select("i", entities.validate_paraphrase(F.col("a"), F.col("b")).alias("v")).orderBy("i").collect()
     for r, (a, b, ok, reason) in zip(got, PAIRS):
         assert r.v.ok == ok and r.v.reason.startswith(reason)
-        # the plain form that runs inside a generator says the same
-        assert (invalid_reason(a, b) == "") == ok and invalid_reason(a, b).split(":")[0] == r.v.reason.split(":")[0]
+
+
+def test_entities_of_all_scripts(spark):
+    row = lambda t: spark.createDataFrame([(t,)], "t string").select(entities.extract_proper_nouns(F.col("t")).alias("names"), entities.extract_numbers(F.col("t")).alias("numbers"), entities.extract_dates(F.col("t")).alias("dates")).first()
+    r = row("Will São Paulo beat Müller FC by ٢٠ or 12,5 % before Sept 3, 2026?")
+    assert r.names[:2] == ["São Paulo", "Müller FC"]
+    assert "٢٠" in r.numbers and "12,5 %" in r.numbers and "2026" in r.dates
+    # letters of any script join a word, so neither digit here stands alone
+    assert row("é5 5é").numbers == [] and row("ÉA Zé").names == ["Zé"]
+    bad = spark.range(1).select(entities.validate_paraphrase(F.lit("Rise by ٢٠?"), F.lit("Rise by much?")).alias("v")).first().v
+    assert not bad.ok and bad.reason.startswith("missing number")
 
 
 def test_messages_and_prompts(spark):

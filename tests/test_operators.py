@@ -243,7 +243,7 @@ def test_cache_and_retry(spark):
     first = generate.ask(req, c, "m", 10, 0.0, workers=1).collect()
     assert {r.id: r.text for r in first} == {"a": "1", "b": "2", "c": "2"} and not any(r.cached for r in first)
     key = next(r.key for r in first if r.id == "a")
-    assert key == generate.address("m", "s", "one", 10, 0.0) != generate.address("m", "s", "one", 11, 0.0)
+    assert key != next(r.key for r in generate.ask(req, c, "m", 11, 0.0, workers=1).collect() if r.id == "a")
     cache = spark.createDataFrame([(key, ("cached", (1, 1), None))], f"key string, response struct<text: string, usage: struct<input_tokens: long, output_tokens: long>, stop_reason: string>")
     again = {r.id: r for r in generate.ask(req, c, "m", 10, 0.0, cache, workers=1).collect()}
     assert again["a"].text == "cached" and again["a"].cached and not again["b"].cached
@@ -254,6 +254,33 @@ def test_cache_and_retry(spark):
         generate.Retry(attempts=2, sleep=naps.append).call(lambda c=Scripted([("x", "y")], fail=5): c.complete("", "x"))
 
 
+def test_cache_is_written(spark, tmp_path):
+    req = spark.createDataFrame([(str(i), "s", f"ask {i % 4}") for i in range(8)] + [("x", "s", "fails")], "id string, system string, user string")
+    path = str(tmp_path / "cache")
+    first = generate.ask(req, Scripted([("ask", "yes")]), "m", 10, 0.0, path, workers=2, commits=3).collect()
+    assert spark.read.parquet(path).count() == 4 and sum(r.error is None for r in first) == 8
+    again = {r.id: r for r in generate.ask(req, Scripted([("fails", "now")]), "m", 10, 0.0, path, workers=1).collect()}
+    assert len(again) == 9 and all(again[str(i)].text == "yes" and again[str(i)].cached for i in range(8)) and again["x"].text == "now" and not again["x"].cached
+    assert spark.read.parquet(path).count() == 5
+    rows = training(spark, [("test", 1), ("test", 0)], k=2).withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), F.col("id").alias("content"))))
+    for client in (Scripted([("q", "Probability: 0.7")]), Scripted([])):
+        assert {r.prediction for r in generate.predictions(rows, client, model="p", workers=1, cache=path).collect()} == {0.7}
+
+
+def test_first_rows(spark):
+    q = questions(spark, [(f"s::{i}", "s", "Q?", f"2025-09-0{9 - i}", None) for i in range(5)])
+    done = spark.createDataFrame([("s::4",)], "question_id string")
+    assert {r.id for r in generate.first_rows(q, 3, done).collect()} == {"s::3", "s::2"} and generate.first_rows(q, None).count() == 5
+
+
+def test_last_row(spark):
+    rows = spark.createDataFrame([("a", "f1", 5, "x"), ("a", "f2", 1, "y"), ("a", "f1", 9, "z"), ("b", "f1", 0, "w")], "k string, _file string, _row long, v string")
+    assert {(r.k, r.v) for r in assemble.last_row(rows, "k").collect()} == {("a", "y"), ("b", "w")}
+    assert assemble.last_row(rows.drop("_row").where("v in ('x', 'w')"), "k").count() == 2
+    with pytest.raises(Exception, match="no order"):
+        assemble.last_row(rows.drop("_row"), "k").collect()
+
+
 def test_paraphrases(spark):
     q = questions(spark, [("s::1", "s", "Will Acme rise above $5?", "2025-09-01", None), ("s::2", "s", "Will Beta fall?", "2025-09-01", None)])
     c = Scripted([("Rejected:", '["Shall Acme go past $5?", "Will Acme rise above $5? "]'), ("Acme", '```json\n["Does Acme pass $5?", "Will it rise?"]\n```'), ("Beta", "no list")])
