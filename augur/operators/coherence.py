@@ -38,17 +38,30 @@ def groups(joined: DataFrame) -> DataFrame:
 def summary(predictions: DataFrame, training: DataFrame) -> DataFrame:
     """One row of counts, mean scores, improvements over the prior, and the correlation of updates
     with what was left to learn."""
-    rows = matched(predictions, training)
-    joined = updates(rows)
-    n = rows.agg(F.count("*").alias("n_variant_predictions"), F.count_if(~F.col("found")).alias("missing_training_rows"))
-    u, rest = F.col("log_odds_update"), F.col("outcome") - F.col("prior")
-    m = joined.agg(
-        F.count("*").alias("n_joined_parseable"), F.avg("prior_brier").alias("mean_prior_brier"), F.avg("posterior_brier").alias("mean_posterior_brier"), F.avg("prior_log_loss").alias("mean_prior_log_loss"),
-        F.avg("posterior_log_loss").alias("mean_posterior_log_loss"), F.avg(F.col("update_direction_correct").cast("double")).alias("update_direction_accuracy"),
-        F.avg(F.abs(u)).alias("mean_abs_log_odds_update"), F.avg(u).alias("mean_log_odds_update"), X.pearson(u, rest).alias("update_outcome_correlation"),
+    # One pass: a row's terms go into its group's sums, and the groups' sums into the table's.
+    o, a, b = F.col("outcome"), F.col("prior"), F.col("posterior")
+    use = F.col("found") & a.isNotNull() & b.isNotNull()
+    u, rest = X.logit(b) - X.logit(a), o - a
+    terms = {
+        "prior_brier": X.brier(a, o), "posterior_brier": X.brier(b, o), "prior_log_loss": X.log_loss(a, o), "posterior_log_loss": X.log_loss(b, o),
+        "direction": X.update_direction_correct(o, a, b).cast("double"), "abs": F.abs(u), "u": u, "uu": u * u, "r": rest, "rr": rest * rest, "ur": u * rest,
+    }
+    marked = matched(predictions, training).withColumn("use", use)
+    g = marked.groupBy("id").agg(
+        F.count("*").alias("all"), F.count_if(~F.col("found")).alias("missing"), F.count_if("use").alias("n"), *[F.sum(F.when(F.col("use"), c)).alias(f"s_{k}") for k, c in terms.items()],
+        F.stddev_pop(F.when(F.col("use"), u)).alias("u_sd"), F.stddev_pop(F.when(F.col("use"), b)).alias("p_sd"),
+    )
+    per_row = lambda k: F.try_divide(F.sum(f"s_{k}"), F.sum("n"))
+    n, cross = F.sum("n"), lambda x, y, xy: F.sum(f"s_{xy}") - F.try_divide(F.sum(f"s_{x}") * F.sum(f"s_{y}"), F.sum("n"))
+    row = g.agg(
+        F.coalesce(F.sum("all"), F.lit(0)).alias("n_variant_predictions"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_training_rows"), F.coalesce(n, F.lit(0)).alias("n_joined_parseable"), F.count_if(F.col("n") > 0).alias("n_groups"),
+        per_row("prior_brier").alias("mean_prior_brier"), per_row("posterior_brier").alias("mean_posterior_brier"), per_row("prior_log_loss").alias("mean_prior_log_loss"), per_row("posterior_log_loss").alias("mean_posterior_log_loss"),
+        per_row("direction").alias("update_direction_accuracy"), per_row("abs").alias("mean_abs_log_odds_update"), per_row("u").alias("mean_log_odds_update"),
+        F.avg("u_sd").alias("mean_group_log_odds_update_sd"), F.avg("p_sd").alias("mean_group_posterior_sd"), n.alias("_n"), cross("u", "u", "uu").alias("_uu"), cross("r", "r", "rr").alias("_rr"), cross("u", "r", "ur").alias("_ur"),
     )
-    g = groups(joined).agg(F.count("*").alias("n_groups"), F.avg("log_odds_update_sd").alias("mean_group_log_odds_update_sd"), F.avg("posterior_sd").alias("mean_group_posterior_sd"))
-    row = n.join(m, F.lit(True)).join(g, F.lit(True))
+    # Without spread there is no correlation; sums leave a rounding error in its place.
+    flat = (F.col("_n") < 2) | (F.least("_uu", "_rr") <= F.lit(1e-12) * F.col("_n"))
+    row = row.withColumn("update_outcome_correlation", F.when(~F.coalesce(flat, F.lit(True)), F.col("_ur") / F.sqrt(F.col("_uu") * F.col("_rr"))))
     return row.select(
         "n_variant_predictions", "n_joined_parseable", "n_groups", "missing_training_rows", F.coalesce(F.try_divide("n_joined_parseable", "n_variant_predictions"), F.lit(0.0)).alias("coverage"),
         "mean_prior_brier", "mean_posterior_brier", (F.col("mean_prior_brier") - F.col("mean_posterior_brier")).alias("brier_improvement_vs_prior"), "mean_prior_log_loss", "mean_posterior_log_loss",

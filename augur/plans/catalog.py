@@ -241,11 +241,11 @@ def _(s, d):
     return _table(s, d, "benchmark").select("item_id", n.alias("normalized"), F.size(X.token_set(n)).cast("long").alias("n_tokens"))
 
 
-@_query("J6_fuzzy_pairs", f"""WITH t AS (SELECT doc_id, lang, source, list_distinct(list_filter(string_split({_NORM.format('substr(text, 1, 400)')}, ' '), lambda t: length(t) >= 3)) AS ts FROM documents),
+@_query("J6_fuzzy_pairs", f"""WITH t AS (SELECT doc_id, lang, source, list_distinct(list_filter(string_split({_NORM.format('text')}, ' '), lambda t: length(t) >= 3)) AS ts FROM documents),
  e AS (SELECT doc_id, lang, source, len(ts) AS n, unnest(ts) AS tok FROM t), c AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.tok = b.tok AND a.lang = b.lang AND a.source < b.source GROUP BY a.doc_id, b.doc_id)
  SELECT x AS a, y AS b, round(k / cast(na + nb - k AS double), 9) AS similarity FROM c WHERE k / cast(na + nb - k AS double) >= 7e-1""")
 def _(s, d):
-    rows = _table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", F.substring("text", 1, 400).alias("question"))
+    rows = _table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", F.col("text").alias("question"))
     return _rounded(dedupe.similar_pairs(rows, 0.7, same=("lang",)))
 
 
@@ -263,11 +263,6 @@ def _reasoned(s: SparkSession, d: str) -> DataFrame:
     return _questions(s, d).withColumn("reason", platforms._reasons(*checks))
 
 
-@_query("F1_question_reasons", f"SELECT {_REASON} AS reason, count(*) AS n FROM {{Q}} GROUP BY 1")
-def _(s, d):
-    return schema.reason_counts(_reasoned(s, d))
-
-
 @_query("F16_post_cutoff", f"SELECT id, source, freeze_date, resolved_at FROM {{Q}} WHERE {_REASON} = 'ok' ORDER BY resolved_at, id")
 def _(s, d):
     return _reasoned(s, d).where("reason = 'ok'").select("id", "source", "freeze_date", "resolved_at").orderBy("resolved_at", "id")
@@ -284,9 +279,12 @@ def _(s, d):
     return split.split_ids(_questions(s, d).where("resolved_at is not null"))
 
 
-@_query("U2_split_overlap", "SELECT id, 2 AS n FROM documents JOIN (SELECT 1 AS id) x ON false")
+@_query("U2_split_overlap", "SELECT 'orders::' || cast(o_orderkey AS varchar) AS id, 2 AS n FROM orders WHERE o_orderkey % 7 = 0")
 def _(s, d):
-    return split.overlap(split.split_ids(_questions(s, d).where("resolved_at is not null"))).select("id", F.col("n").cast("int").alias("n"))
+    """Every seventh order stands in a second split."""
+    o = _table(s, d, "orders").select(F.concat(F.lit("orders::"), "o_orderkey").alias("id"), "o_orderkey")
+    rows = o.select("id", F.lit("train").alias("split")).unionByName(o.where("o_orderkey % 7 = 0").select("id", F.lit("test").alias("split")))
+    return split.overlap(rows.union(rows)).select("id", F.col("n").cast("int").alias("n"))
 
 
 @_query("F7_leakage_filter", "SELECT o_orderkey, count(l_shipdate) FILTER (WHERE l_shipdate < o_orderdate) AS kept, count(l_shipdate) FILTER (WHERE NOT l_shipdate < o_orderdate) AS filtered FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
@@ -300,11 +298,26 @@ def _(s, d):
 _PAR_SQL = "SELECT o_orderkey, cast(l_linenumber AS int) AS v, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 
-@_query("C3_assemble", """WITH q AS (SELECT * FROM {Q}), par AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
- SELECT id, cast(i AS int) AS variant_index, CASE WHEN resolved_at < DATE '1998-01-01' THEN 'train' ELSE 'test' END AS split, CASE WHEN i = 0 THEN question ELSE question || ' v' || cast(i AS string) END AS question
- FROM q JOIN par ON id = 'orders::' || cast(k AS string) CROSS JOIN (SELECT unnest([0, 1, 2]) AS i) x WHERE n >= 3 AND outcome IS NOT NULL AND n % 4 <> 1""")
+_DAY = "strftime({}, '%Y-%m-%d')"
+
+
+@_query("C3_assemble", f"""WITH q AS (SELECT * FROM {{Q}}), par AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
+ r AS (SELECT q.*, i, CASE WHEN i = 0 THEN question ELSE question || ' v' || cast(i AS varchar) END AS text FROM q JOIN par ON id = 'orders::' || cast(k AS varchar) CROSS JOIN (SELECT unnest([0, 1, 2]) AS i) x WHERE n >= 3 AND outcome IS NOT NULL AND n % 4 <> 1)
+ SELECT id, cast(i AS int) AS variant_index, i = 0 AS is_original, CASE WHEN resolved_at < DATE '1998-01-01' THEN 'train' ELSE 'test' END AS split, text AS question, outcome, freeze_date, resolved_at, source, 0.25e0 AS base_rate_value, 'last' AS explanation,
+  CASE WHEN cast(substr(id, 9) AS bigint) % 2 = 0 THEN {_DAY.format("freeze_date - 1")} || '|head|' ELSE '' END AS news, source AS categories,
+  'Forecast date: ' || {_DAY.format('freeze_date')} || chr(10) || 'Resolution date: ' || {_DAY.format('resolved_at')} || chr(10) || 'Source: ' || source || chr(10) || chr(10) || 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Background:' || chr(10)
+   || CASE WHEN background = '' THEN '(none provided)' ELSE background END || chr(10) || chr(10) || CASE WHEN resolution_criteria = '' THEN '' ELSE 'Resolution criteria:' || chr(10) || resolution_criteria || chr(10) || chr(10) END
+   || 'Base-rate prior: 0.250 (reference class size: 4; window: 2 years)' || chr(10) || 'Base-rate reasoning: last' || chr(10) || chr(10)
+   || CASE WHEN cast(substr(id, 9) AS bigint) % 2 = 0 THEN 'Relevant news (all dated before forecast date):' || chr(10) || '  [' || {_DAY.format("freeze_date - 1")} || '] head' || chr(10) || chr(10) ELSE '' END
+   || 'Put your forecast on the first line exactly as:' || chr(10) || 'Probability: <number between 0 and 1>' || chr(10) || 'Then add a short rationale on the following lines.' AS prompt
+ FROM r""")
 def _(s, d):
-    return assemble.assemble(*_assembly(s, d), 3).select("id", "variant_index", "split", "question")
+    rows = assemble.assemble(*_assembly(s, d), 3)
+    news = F.array_join(F.transform("news_snapshot", lambda n: F.concat_ws("|", n["date"], n["headline"], n["summary"])), ";")
+    return rows.select(
+        "id", "variant_index", "is_original", "split", "question", "outcome", "freeze_date", "resolved_at", "source", F.col("base_rate")["value"].alias("base_rate_value"), F.col("base_rate")["explanation"].alias("explanation"),
+        news.alias("news"), F.array_join("categories", ",").alias("categories"), F.element_at("messages", 2)["content"].alias("prompt"),
+    )
 
 
 def _assembly(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -314,16 +327,20 @@ def _assembly(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     both = q.select("id", "question").join(n, "id")
     made = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.cast("int").alias("variant_index"), F.when(i == 0, F.col("question")).otherwise(F.concat("question", F.lit(" v"), i)).alias("text"), (i == 0).alias("is_original")))
     par = both.select(F.col("id").alias("question_id"), F.shuffle(made, 7).alias("paraphrases"))
-    base = F.struct(F.lit(0.25).alias("value"), F.lit(4).alias("n_reference_events"), F.lit(2).alias("reference_window_years"), F.lit("orders").alias("explanation"))
-    news = F.array().cast("array<struct<date: string, headline: string, summary: string>>")
-    ctx = n.where("n % 4 <> 1").select(F.col("id").alias("question_id"), base.alias("base_rate"), news.alias("news_snapshot"))
+    base = F.struct(F.lit(0.25).alias("value"), F.lit(4).alias("n_reference_events"), F.lit(2).alias("reference_window_years"), F.col("e").alias("explanation"))
+    none = F.array().cast("array<struct<date: string, headline: string, summary: string>>")
+    item = F.array(F.struct(F.date_format(F.date_sub("freeze_date", 1), "yyyy-MM-dd").alias("date"), F.lit("head").alias("headline"), F.lit("").alias("summary")))
+    news = F.when(F.substring("id", 9, 20).cast("long") % 2 == 0, item).otherwise(none)
+    # Two lines a question, of which the later one counts.
+    lines = q.select("id", "freeze_date").join(n.where("n % 4 <> 1"), "id").withColumn("e", F.explode(F.array(F.lit("first"), F.lit("last"))))
+    ctx = lines.select(F.col("id").alias("question_id"), base.alias("base_rate"), news.alias("news_snapshot"), F.lit("contexts").alias("_file"), F.when(F.col("e") == "last", 7).otherwise(3).alias("_row"))
     splits = q.where("resolved_at < date '1998-01-01'").select("id", F.lit("train").alias("split"))
     return q, ctx, par, splits
 
 
 @_query("F12_assembly_stats", """WITH q AS (SELECT * FROM {Q} WHERE outcome IS NOT NULL), par AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
  r AS (SELECT id, CASE WHEN n IS NULL OR n % 4 = 1 THEN 'missing_context' WHEN n < 3 THEN 'paraphrase_group_too_small' ELSE 'ok' END AS reason, CASE WHEN resolved_at < DATE '1998-01-01' THEN 'train' ELSE 'test' END AS split FROM q LEFT JOIN par ON id = 'orders::' || cast(k AS string))
- SELECT reason AS name, count(*) AS n FROM r WHERE reason <> 'ok' GROUP BY 1 UNION ALL SELECT 'groups_emitted', count(*) FROM r WHERE reason = 'ok' UNION ALL SELECT 'empty_news_snapshot', count(*) FROM r WHERE reason = 'ok'
+ SELECT reason AS name, count(*) AS n FROM r WHERE reason <> 'ok' GROUP BY 1 UNION ALL SELECT 'groups_emitted', count(*) FROM r WHERE reason = 'ok' UNION ALL SELECT 'empty_news_snapshot', count(*) FROM r WHERE reason = 'ok' AND cast(substr(id, 9) AS bigint) % 2 = 1
  UNION ALL SELECT 'groups_emitted_' || split, count(*) FROM r WHERE reason = 'ok' GROUP BY split""")
 def _(s, d):
     return assemble.assembly_stats(assemble.checked(*_assembly(s, d), 3))
@@ -371,7 +388,9 @@ def _(s, d):
 def _platform_rows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     raw = F.to_json(F.struct(F.col("o_orderkey").alias("metaculus_post_id"), F.col("o_custkey").alias("metaculus_question_id")))
     q = _table(s, d, "orders").select(F.concat(F.lit("metaculus::"), "o_orderkey").alias("id"), F.lit("metaculus").alias("source"), F.array().cast("array<string>").alias("categories"), raw.alias("raw"))
-    return q, _table(s, d, "labels").select((F.col("doc_id") * 3).cast("string").alias("id")).distinct()
+    wanted = _table(s, d, "labels").select((F.col("doc_id") * 3).cast("string").alias("id"))
+    # Every fourth order is asked for under a number that none has.
+    return q, wanted.union(_table(s, d, "orders").where("o_orderkey % 4 = 0").select((-F.col("o_orderkey") - 1).cast("string"))).distinct()
 
 
 @_query("J4_drop_in_semi", "WITH w AS (SELECT DISTINCT doc_id * 3 AS k FROM labels) SELECT 'mantic_q2_aib::' || cast(o_orderkey AS string) AS id, 'mantic_q2_aib' AS source FROM orders WHERE o_orderkey IN (SELECT k FROM w) OR o_custkey IN (SELECT k FROM w)")
@@ -379,7 +398,7 @@ def _(s, d):
     return platforms.drop_in(*_platform_rows(s, d))[0].select("id", "source")
 
 
-@_query("J5_drop_in_missing", "WITH w AS (SELECT DISTINCT doc_id * 3 AS k FROM labels), h AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT k FROM w) OR o_custkey IN (SELECT k FROM w)) SELECT cast(k AS varchar) AS id FROM w WHERE k NOT IN (SELECT o_orderkey FROM h) AND k NOT IN (SELECT o_custkey FROM h)")
+@_query("J5_drop_in_missing", "WITH w AS (SELECT DISTINCT doc_id * 3 AS k FROM labels UNION SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 4 = 0), h AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT k FROM w) OR o_custkey IN (SELECT k FROM w)) SELECT cast(k AS varchar) AS id FROM w WHERE k NOT IN (SELECT o_orderkey FROM h) AND k NOT IN (SELECT o_custkey FROM h)")
 def _(s, d):
     return platforms.drop_in(*_platform_rows(s, d))[1]
 
@@ -421,7 +440,7 @@ def _(s, d):
     return _rounded(e.select("event_id", scores.prediction_from_text((F.col("value") / 400).cast("string"), marked).alias("posterior")))
 
 
-@_query("C1_deduplicate", f"""WITH q0 AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'polymarket' ELSE 'forecastbench' END AS source, substr(text, 1, 300) AS question, doc_id % 40 AS day FROM documents),
+@_query("C1_deduplicate", f"""WITH q0 AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'polymarket' ELSE 'forecastbench' END AS source, text AS question, doc_id % 40 AS day FROM documents),
  t AS (SELECT *, list_distinct(list_filter(string_split({_NORM.format('question')}, ' '), lambda t: length(t) >= 3)) AS ts FROM q0), e AS (SELECT id, source, day, len(ts) AS n, unnest(ts) AS tok FROM t),
  c AS (SELECT a.id AS x, b.id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.tok = b.tok AND a.source < b.source AND abs(a.day - b.day) <= 14 GROUP BY a.id, b.id)
  SELECT cast(id AS string) AS id, source FROM q0 WHERE id NOT IN (SELECT x FROM c WHERE k / cast(na + nb - k AS double) >= 7e-1)""")
@@ -433,7 +452,7 @@ def _dedupe_rows(s: SparkSession, d: str) -> DataFrame:
     day = F.date_add(F.lit("2025-01-01").cast("date"), (F.col("doc_id") % 40).cast("int"))
     none = F.lit(None).cast("string")
     source = F.when(F.col("doc_id") % 2 == 0, "polymarket").otherwise("forecastbench")
-    return _table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), source.alias("source"), F.substring("text", 1, 300).alias("question"), none.alias("url"), none.alias("background"), none.alias("resolution_criteria"), F.array().cast("array<string>").alias("categories"), day.alias("resolved_at"))
+    return _table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), source.alias("source"), F.col("text").alias("question"), none.alias("url"), none.alias("background"), none.alias("resolution_criteria"), F.array().cast("array<string>").alias("categories"), day.alias("resolved_at"))
 
 
 @_query("A12_dedupe_stats", f"""SELECT (SELECT count(*) FROM documents) AS input, 0 AS url_duplicates_dropped, (SELECT count(*) FROM documents) - count(*) AS text_duplicates_dropped, count(*) AS kept FROM ({ORACLE_SQL['C1_deduplicate']}) k""")
@@ -442,33 +461,56 @@ def _(s, d):
     return out.withColumn("url_duplicates_dropped", F.col("url_duplicates_dropped").cast("int"))
 
 
-@_query("X14_extract_dates", """SELECT o_orderkey, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\\b(20\\d{2}-\\d{2}-\\d{2})\\b') || regexp_extract_all(t, '\\b(20\\d{2})\\b'))), '|') AS found FROM (SELECT o_orderkey, 'due 20' || strftime(o_orderdate, '%y-%m-%d') || ' or in 20' || strftime(o_orderdate, '%y') AS t FROM orders) x""")
+def _said(s: SparkSession, d: str, *parts: Column) -> DataFrame:
+    """Orders with a text made of parts."""
+    return _table(s, d, "orders").select("o_orderkey", F.concat(*parts).alias("t"))
+
+
+@_query("X14_extract_dates", """WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%m') AS m, strftime(o_orderdate, '%d') AS dd, '20' || strftime(o_orderdate, '%y') AS y FROM orders)
+ SELECT o_orderkey, array_to_string(list_sort(list_distinct([y || '-' || m || '-' || dd, y || '/' || m || '/' || dd, 'March 7, ' || y, 'Sept 21', 'June ' || y, y])), '|') AS found FROM o""")
 def _(s, d):
-    t = F.concat(F.lit("due 20"), F.date_format("o_orderdate", "yy-MM-dd"), F.lit(" or in 20"), F.date_format("o_orderdate", "yy"))
-    return _table(s, d, "orders").select("o_orderkey", F.array_join(F.array_sort(entities.extract_dates(t)), "|").alias("found"))
+    y, m, day = F.concat(F.lit("20"), F.date_format("o_orderdate", "yy")), F.date_format("o_orderdate", "MM"), F.date_format("o_orderdate", "dd")
+    t = _said(s, d, F.lit("due "), y, F.lit("-"), m, F.lit("-"), day, F.lit(" or "), y, F.lit("/"), m, F.lit("/"), day, F.lit(", (March 7, "), y, F.lit("), Sept 21; é"), y, F.lit("é, June "), y, F.lit("."))
+    # "June 20" is also a month with a day, of which a year is no part
+    return t.select("o_orderkey", F.array_join(F.array_sort(entities.extract_dates(F.col("t"))), "|").alias("found"))
 
 
-@_query("X15_extract_numbers")
+@_query("X15_extract_numbers", """SELECT o_orderkey, array_to_string(list_sort(list_distinct([cast(o_orderkey AS varchar), '$' || cast(o_custkey AS varchar) || 'k', cast(o_orderkey % 90 + 7 AS varchar) || ',5 %', '٣٤'])), '|') AS numbers FROM orders""")
 def _(s, d):
-    return _table(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(entities.extract_numbers(F.col("text"))), "|").alias("numbers"))
+    t = _said(s, d, F.lit("Über "), "o_orderkey", F.lit(" Züge, $"), "o_custkey", F.lit("k und "), F.col("o_orderkey") % 90 + 7, F.lit(",5 % in ٣٤ Städten; é"), "o_orderkey", F.lit(", "), "o_orderkey", F.lit("ж zählen nicht"))
+    return t.select("o_orderkey", F.array_join(F.array_sort(entities.extract_numbers(F.col("t"))), "|").alias("numbers"))
+
+
+_CITY = "CASE o_orderkey % 3 WHEN 0 THEN 'São Paulo' WHEN 1 THEN 'Müller FC' ELSE 'Zürich' END"
 
 
-@_query("X16_extract_proper_nouns")
+@_query("X16_extract_proper_nouns", f"SELECT o_orderkey, array_to_string(list_sort(list_distinct([{_CITY}, 'Ab' || cast(o_orderkey AS varchar), 'Côte', 'Ivoire'])), '|') AS names FROM orders")
 def _(s, d):
-    return _table(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(entities.extract_proper_nouns(F.col("text"))), "|").alias("names"))
+    city = F.when(F.col("o_orderkey") % 3 == 0, "São Paulo").when(F.col("o_orderkey") % 3 == 1, "Müller FC").otherwise("Zürich")
+    t = _said(s, d, F.lit("Will "), city, F.lit(" beat Ab"), "o_orderkey", F.lit("? The éAx and X lose to Đoković in Côte d'Ivoire."))
+    return t.select("o_orderkey", F.array_join(F.array_sort(entities.extract_proper_nouns(F.col("t"))), "|").alias("names"))
 
 
-@_query("X17_validate_paraphrase")
+@_query("X17_validate_paraphrase", """SELECT o_orderkey, o_orderkey % 6 = 5 AS ok, CASE o_orderkey % 6 WHEN 0 THEN 'missing date(s): [''2031-05-06'']' WHEN 1 THEN 'missing number(s): [''' || cast(o_orderkey + 100000 AS varchar) || ''', ''٣٤'']' WHEN 2 THEN 'missing proper noun(s): [''São Paulo'']'
+  WHEN 3 THEN 'missing date(s): [''2031'', ''2031-05-06'']' WHEN 4 THEN 'identical to original' ELSE '' END AS reason FROM orders""")
 def _(s, d):
-    b = _table(s, d, "benchmark")
-    made = F.when(F.col("item_id") % 3 == 0, F.col("text")).when(F.col("item_id") % 3 == 1, F.lower("text")).otherwise(F.substring("text", 1, 40))
-    return b.select("item_id", entities.validate_paraphrase(F.col("text"), made).alias("v")).select("item_id", "v.ok", "v.reason")
+    k = F.col("o_orderkey")
+    n = (k + 100000).cast("string")
+    was = F.concat(F.lit("Will São Paulo sell "), n, F.lit(" or ٣٤ by 2031-05-06?"))
+    now = (
+        F.when(k % 6 == 0, F.concat(F.lit("In 2031, does São Paulo sell "), n, F.lit(" or ٣٤?"))).when(k % 6 == 1, F.lit("By 2031-05-06, does São Paulo sell any?"))
+        .when(k % 6 == 2, F.concat(F.lit("By 2031-05-06, does it sell "), n, F.lit(" or ٣٤?"))).when(k % 6 == 3, F.lit("")).when(k % 6 == 4, F.concat(was, F.lit("  "))).otherwise(F.concat(F.lit("By 2031-05-06, does SÃO PAULO sell ٣٤ or "), n, F.lit("?")))
+    )
+    return _table(s, d, "orders").select("o_orderkey", entities.validate_paraphrase(was, now).alias("v")).select("o_orderkey", "v.ok", "v.reason")
 
 
-@_query("P8_flatten_richtext", "SELECT item_id, text || ' end' AS flat FROM benchmark")
+@_query("P8_flatten_richtext", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN text || ' end' WHEN 1 THEN 'a ' || text || ' b c d' ELSE text END AS flat FROM benchmark")
 def _(s, d):
-    node = lambda **f: F.struct(*[v.alias(k) for k, v in f.items()])
-    tree = F.to_json(node(type=F.lit("doc"), content=F.array(node(type=F.lit("p"), text=F.col("text")), node(type=F.lit("p"), text=F.lit("end")))))
+    leaf = lambda t: F.concat(F.lit('{"type": "p", "text": '), t, F.lit("}"))
+    quoted = F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")
+    two = F.concat(F.lit('{"type": "doc", "content": ['), leaf(quoted), F.lit(', {"x": 1}, {"text": ""}, '), leaf(F.lit('"end"')), F.lit("]}"))
+    deep = F.concat(F.lit('{"text": "a", "content": [{"children": [{"content": ['), leaf(quoted), F.lit(', "b"]}, {"children": [{"text": "c"}]}]}], "children": [{"text": "d"}]}'))
+    tree = F.when(F.col("item_id") % 3 == 0, two).when(F.col("item_id") % 3 == 1, deep).otherwise(F.concat(F.lit("["), leaf(quoted), F.lit("]")))
     return _table(s, d, "benchmark").select("item_id", X.flatten_richtext(tree).alias("flat"))
 
 
@@ -493,3 +535,6 @@ def _(s, d):
         day("o_orderdate").alias("endDate"), F.date_format(F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 9 - 2).cast("int")), "yyyy-MM-dd").alias("umaEndDate"), F.array(F.lit('{"label": "x"}')).alias("tags"),
     )
     return platforms.accepted(platforms.polymarket(m, CUTOFF)).select("id", "outcome", "freeze_date", "resolved_at")
+
+
+from augur.plans import catalog_more  # noqa: E402, F401  (adds to QUERIES and ORACLE_SQL)

@@ -30,11 +30,16 @@ def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return good, df.where("reject_reason is not null").select("value", "reject_reason")
 
 
+def line_order() -> Column:
+    """Order of the lines of a file: by the start of the part that a task reads, then in it."""
+    return F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("n"))
+
+
 def read_rows(spark: SparkSession, path: str, schema: str, ordered: bool = False) -> DataFrame:
     """Line JSON read leniently: missing fields are null, further ones ignored. ``ordered`` adds
     _file and _row, by which later lines follow earlier ones of a file."""
     rows = spark.read.schema(schema).json(path)
-    return rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id()) if ordered else rows
+    return rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", line_order()) if ordered else rows
 
 
 def read_present(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -84,7 +89,7 @@ def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_training_index(spark: SparkSession, path: str) -> DataFrame:
     """Training rows by (id, variant_index), the last of each; order is that of lines in a file."""
     rows = spark.read.schema(S.TRAINING).json(path).withColumn("variant_index", F.coalesce("variant_index", F.lit(0)))
-    rows = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", line_order())
     return last_by(rows, ["id", "variant_index"], ["_file", "_row"]).drop("_file", "_row")
 
 

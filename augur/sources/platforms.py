@@ -68,10 +68,17 @@ def _dates_checks(cutoff: str, clamp: bool) -> list[tuple[Column, str]]:
     return [(freeze.isNull() | resolved.isNull(), "unparseable_dates"), *late, (~S.is_post_cutoff(cutoff), "pre_cutoff")]
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator of one row each: what follows refers to the columns'
+    values. Else the optimiser would put a column's whole expression wherever it is named,
+    and dates, which the checks name again and again, would make plans of many thousand nodes."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def _finished(df: DataFrame, checks: list[tuple[Column, str]]) -> DataFrame:
-    df = df.withColumn("reason", _reasons(*checks))
-    df = df.withColumn("reason", F.when(F.col("reason") != "ok", F.col("reason")).otherwise(F.coalesce(F.concat(F.lit("schema_reject:"), S.reject_reason()), F.lit("ok"))))
-    return df.select("reason", *S.QUESTION.names)
+    rejected = F.coalesce(F.concat(F.lit("schema_reject:"), S.reject_reason()), F.lit("ok"))
+    df = settled(df).withColumn("reason", F.coalesce(F.nullif(_reasons(*checks), F.lit("ok")), rejected))
+    return settled(df).select("reason", *S.QUESTION.names)
 
 
 def accepted(mapped: DataFrame) -> DataFrame:
@@ -79,6 +86,14 @@ def accepted(mapped: DataFrame) -> DataFrame:
     return mapped.where("reason = 'ok'").drop("reason").orderBy(*ORDER)
 
 
+def pull(payload: DataFrame, platform: str, cutoff: str = S.CUTOFF, **options) -> tuple[DataFrame, DataFrame]:
+    """Of items as JSON (column ``value``, as the paged source gives them): accepted questions by
+    resolution date and id, and how many were skipped for what reason."""
+    schema, mapping = {"metaculus": (METACULUS, metaculus), "polymarket": (POLYMARKET, polymarket), "manifold": (MANIFOLD, manifold)}[platform]
+    mapped = mapping(payload.select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*"), cutoff, **options)
+    return accepted(mapped), skip_counts(mapped)
+
+
 def skip_counts(mapped: DataFrame) -> DataFrame:
     return S.reason_counts(mapped.where("reason <> 'ok'"))
 
@@ -192,7 +207,7 @@ def forecastbench(resolutions: DataFrame, questions: DataFrame, cutoff: str = S.
         (F.coalesce("_name", F.lit("")) == "", "resolution_set_missing_question_set"), (F.col("_set").isNull(), "question_set_file_missing"), (F.col("_open"), "not_resolved"),
         (F.col("outcome").isNull(), "non_binary_outcome"), (F.col("_combo"), "combo_question"), (F.col("_missing"), "question_missing_for_resolution"), *_dates_checks(cutoff, False),
     )
-    df = df.withColumn("_first", first)
+    df = settled(settled(df).withColumn("_first", first))
     # Only rows that passed so far compete for an id; the others, often without one, stay put.
     rank = F.row_number().over(Window.partitionBy("id").orderBy("_snapshot", "_pos"))
     good = df.where("_first = 'ok'").withColumn("_rank", rank)
