@@ -4,18 +4,21 @@ A document is cut into pre-tokens, and merges never cross pre-tokens. So the num
 pieces of a document is the sum, over its distinct pre-tokens, of frequency times pieces.
 
 One pass cuts the texts. Blocks of documents share a vocabulary of their distinct pre-tokens;
-a document keeps places in it and frequencies, packed into about a byte each. The
-vocabularies' distinct union is the table of pre-tokens, and the pieces of each of its
-members are counted once. They are joined to the vocabularies by pre-token, come back to the
-blocks as one row of numbers, and there meet the documents' frequencies. What is shuffled is
-vocabularies and packed frequencies, a part of the text's size.
+a document keeps places in it and frequencies, packed into about a byte each. The vocabularies
+are dealt by a hash of the pre-token into buckets, a row for each block and bucket. A bucket
+builds its table of distinct pre-tokens, counts the pieces of each member once and joins it to
+the blocks' rows as they pass, so it holds one bucket's table at a time; there are four buckets
+a shuffle partition. The pieces go back to the blocks and there meet the documents'
+frequencies. What is shuffled is vocabularies and packed numbers, a part of the text's size.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from augur.llm.common import cut, freed, nullable, slices, texts
 AGREED = re.compile("[\x00-ͷΑ-ΡΣ-ҁҊ-ԧא-תء-ي -⁣₠-₸℀-ↈ←-⏳─-⚽ぁ-ゖァ-ヺ一-龥가-힣\U0001f300-\U0001f320]*")
 BLOCK = 8 << 20  # bytes of text that share a vocabulary
 ENCODED = 20_000  # pre-tokens given to the tokenizer at once
+LONG = 64  # bytes from which a table holds a digest in place of the pre-token
 _held: dict[bytes, Cutter] = {}
 
 
@@ -100,10 +104,12 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_i
     """
     with open(tokenizer_file, "rb") as f:
         blob = docs.sparkSession.sparkContext.broadcast(f.read())
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     number = F.lit(0).cast("long")
     own = [number.alias("n_bytes"), number.alias("base"), F.lit(0).alias("n"), F.lit(b"").alias("places"), F.lit(b"").alias("counts")]
-    schema = nullable(rows.select("doc_id", number.alias("block"), *own, F.array(F.lit("")).alias("words")).schema)
+    schema = nullable(rows.select("doc_id", number.alias("block"), *own, F.lit(0).alias("bucket"), F.lit(b"").alias("words")).schema)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, block = _cutter(blob.value), TaskContext.get().partitionId() << 32
@@ -119,53 +125,69 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", doc_i
                 for o, v in zip(out, (len(t.encode()), base, len(at), pack(np.diff(at[order], prepend=0)), pack(many))):
                     o.append(v)
             n = batch.num_rows
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([block] * n, pa.int64()), *map(pa.array, out, kinds), pa.nulls(n, pa.list_(pa.string()))], schema.names)
-            words = list(place)
-            for a in range(0, len(words), ENCODED):
-                # The first place of a part stands in ``n``.
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, batch.column(0).type), pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([a], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([words[a : a + ENCODED]], pa.list_(pa.string()))],
-                    schema.names,
-                )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([block] * n, pa.int64()), *map(pa.array, out, kinds), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema.names)
+            parts: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+            for w, i in place.items():
+                raw = w.encode()
+                parts[zlib.crc32(raw) % buckets].append((i, raw))
+            n, own = len(parts), [[], [], [], []]
+            for members in parts.values():
+                at, raw = zip(*members)
+                # A vocabulary's row has the lengths of its pre-tokens in ``counts``.
+                for o, v in zip(own, (len(at), pack(np.diff(at, prepend=0)), pack(np.fromiter(map(len, raw), np.int64, len(raw))), zlib.compress(b"".join(raw), 1))):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, batch.column(0).type), pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *map(pa.array, own[:3], kinds[2:]), pa.array(list(parts), pa.int32()), pa.array(own[3], pa.binary())],
+                schema.names,
+            )
             block += 1
 
     both = cut(rows.mapInArrow(freed(run), schema))
-    vocabulary = both.where("words is not null").select("block", "n", F.posexplode("words").alias("i", "word")).select("block", (F.col("n") + F.col("i")).alias("place"), "word")
+    vocabulary = both.where("words is not null").select("bucket", "block", "n", "places", "counts", "words").repartition("bucket").sortWithinPartitions("bucket")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _cutter(blob.value)
+        cutter, bucket = _cutter(blob.value), None
+        table: dict[bytes, int] = {}
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cutter.pieces(batch.column(0).to_pylist()), pa.int32())], ["word", "pieces"])
-
-    table = vocabulary.select("word").distinct().mapInArrow(freed(count), "word string, pieces int")
-    known = vocabulary.join(table, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "pieces"))).alias("p"))
-    # The row of a block's pieces goes first, then its documents.
-    found = known.select("block", F.lit(0).alias("kind"), F.col("p.pieces").alias("pieces"))
-    ours = both.where("words is null").select("block", F.lit(1).alias("kind"), "doc_id", *[c for c in schema.names[2:7]])
-    ordered = found.unionByName(ours, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
+            found = []
+            for b, n, lengths, raw in zip(*(batch.column(i).to_pylist() for i in (0, 2, 4, 5))):
+                if b != bucket:
+                    bucket, table = b, {}
+                raw, ends = zlib.decompress(raw), np.cumsum(unpack(lengths, n)).tolist()
+                words = [raw[a:e] for a, e in zip([0, *ends], ends)]
+                keys = [w if len(w) < LONG else blake2b(w).digest() for w in words]
+                new = [i for i, k in enumerate(keys) if k not in table]
+                if new:
+                    table.update(zip((keys[i] for i in new), cutter.pieces([words[i].decode() for i in new])))
+                found.append(pack(np.fromiter((table[k] for k in keys), np.int64, n)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 2, 3)), pa.array(found, pa.binary())], ["block", "n", "places", "counts"])
+
+    # The rows of a block's pieces, which stand in ``counts``, go first, then its documents.
+    known = vocabulary.mapInArrow(freed(count), "block long, n int, places binary, counts binary").withColumn("kind", F.lit(0))
+    ours = both.where("words is null").select(*schema.names[:7], F.lit(1).alias("kind"))
+    ordered = ours.unionByName(known, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
     final = rows.select("doc_id", number.alias("n_bytes"), number.alias("n_tokens")).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, pieces = None, None
+        block, pieces = None, np.zeros(0, np.int64)
         for batch in slices(batches):
             cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            kind, where = cols["kind"].to_pylist(), cols["block"].to_pylist()
-            many, base, places, counts = (cols[c].to_pylist() for c in ("n", "base", "places", "counts"))
+            kind, where, many, base, places, counts = (cols[c].to_pylist() for c in ("kind", "block", "n", "base", "places", "counts"))
             mine, sums = [], []
-            for j, k in enumerate(kind):
-                if k == 0:
-                    block, pieces = where[j], cols["pieces"][j].values.to_numpy().astype(np.int64)
+            for j, n in enumerate(many):
+                at, values = np.cumsum(unpack(places[j], n)), unpack(counts[j], n)
+                if where[j] != block:
+                    block, pieces = where[j], np.zeros(0, np.int64)
+                if kind[j] == 0:
+                    if at[-1] >= len(pieces):
+                        pieces = np.concatenate([pieces, np.zeros(at[-1] + 1, np.int64)])
+                    pieces[at] = values
                     continue
-                n = many[j]
-                total = base[j]
-                if n:
-                    if where[j] != block:
-                        raise RuntimeError("a block without its vocabulary")
-                    total += int(pieces[np.cumsum(unpack(places[j], n))] @ unpack(counts[j], n))
+                if n and (at[-1] >= len(pieces) or not pieces[at].all()):
+                    raise RuntimeError("a document without its vocabulary")
                 mine.append(j)
-                sums.append(total)
-            at = pa.array(mine, pa.int64())
-            yield pa.RecordBatch.from_arrays([cols["doc_id"].take(at), cols["n_bytes"].take(at), pa.array(sums, pa.int64())], final.names)
+                sums.append(base[j] + int(pieces[at] @ values))
+            rest = pa.array(mine, pa.int64())
+            yield pa.RecordBatch.from_arrays([cols["doc_id"].take(rest), cols["n_bytes"].take(rest), pa.array(sums, pa.int64())], final.names)
 
     return ordered.mapInArrow(freed(add), final).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -58,7 +58,7 @@ def test_token_counts_over_blocks(spark, monkeypatch):
     rng = random.Random(12)
     long = "".join(rng.choice("abcdefghijklmnop") for _ in range(30_000))
     rows = [(i, " ".join(f"w{rng.randrange(40_000)}" for _ in range(9000))) for i in range(5)] + [(5, long), (6, "the " * 9000), (6, "the " * 9000), (7, None)]
-    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("block", "word", "n", "kind")}), path).collect())
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("block", "bucket", "words", "n", "kind")}), path).collect())
     assert got == Counter((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
 
 
