@@ -32,6 +32,7 @@ MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 3, 5, 7, 8), (0, 1, 2, 7, 8, 10))
 SHORT = (0, 1, 2, 3, 4)  # for items of fewer than OVERLAP tokens, which must occur unchanged
 OVERLAP = 12  # tokens of the shortest overlap
 SHARE = 0.8  # of its tokens that must be equal
+VERIFIED = 256  # pairs of a region and an item in an Arrow batch
 MARGIN = 64  # tokens kept on either side of hits
 GAP = 48  # hits further apart make separate regions
 BLOOM_BITS = (20, 27)  # smallest and largest size as powers of two
@@ -244,7 +245,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["region", "item_key", "from_region", "n_tokens", "n_equal"])
 
-    good = cut(pairs.select("region", "item_key", "tokens", "item", "met").mapInArrow(freed(verify), "region string, item_key string, from_region int, n_tokens int, n_equal int").join(named.select("item_key", "item_id").distinct(), "item_key"))
+    checked = pairs.select("region", "item_key", "tokens", "item", "met").mapInArrow(freed(verify), "region string, item_key string, from_region int, n_tokens int, n_equal int")
+    # Rows are of kilobytes here, so batches of the usual number of rows would be large.
+    conf, rows_a_batch = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(rows_a_batch)
+    conf.set(rows_a_batch, str(VERIFIED))
+    try:
+        good = cut(checked.join(named.select("item_key", "item_id").distinct(), "item_key"))
+    finally:
+        conf.set(rows_a_batch, before)
     # A passage that very many documents share is joined where they are.
     placed = regions.select("doc_id", "start", "region")
     shared = cut(placed.join(good.select("region").distinct(), "region", "left_semi").groupBy("region").agg(F.count("*").alias("n")))
