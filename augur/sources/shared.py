@@ -31,12 +31,13 @@ def new_path(spark: SparkSession, kind: str = "table") -> str:
     return path
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, group: int | None = None) -> DataFrame:
     """``df`` as a Parquet table of its own, so that a lost executor costs a re-read and not
-    the whole history."""
+    the whole history. Readers take up to thousands of rows of a row group at once, so tables
+    with large rows should have small row groups, of ``group`` bytes."""
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
+    (df.write if group is None else df.write.option("parquet.block.size", group)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
