@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []
+#: Where the calls of this thread note the tables that they make.
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,30 +31,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, kind: str = "table") -> str:
     path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    _made.append(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
-def written(df: DataFrame, group: int | None = None) -> DataFrame:
-    """``df`` as a Parquet table of its own, so that a lost executor costs a re-read and not
-    the whole history. Readers take up to thousands of rows of a row group at once, so tables
-    with large rows should have small row groups, of ``group`` bytes."""
+def written_at(df: DataFrame, group: int | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table of its own, and the table's path, which the caller may
+    :func:`remove`."""
     spark = df.sparkSession
     path = new_path(spark)
     (df.write if group is None else df.write.option("parquet.block.size", group)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def mark() -> int:
-    """A point in the list of intermediate tables, for :func:`discard`."""
-    return len(_made)
+def written(df: DataFrame, group: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table of its own, so that a lost executor costs a re-read and not
+    the whole history. Readers take up to thousands of rows of a row group at once, so tables
+    with large rows should have small row groups, of ``group`` bytes."""
+    return written_at(df, group)[0]
 
 
-def discard(spark: SparkSession, since: int, keep: int = 0) -> None:
-    """Deletes the intermediate tables made after ``since`` but for the last ``keep``. Frames
-    that still read them must be written before."""
-    end = len(_made) - keep
-    for path in _made[since:end]:
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of one's own; frames that still read them must be written before."""
+    for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    del _made[since:end]
+
+
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the intermediate tables that calls within it made in this thread, and
+    none of other threads or of the calls around it. What is to outlive it must be written to
+    a path that was made before."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        remove(spark, *made)

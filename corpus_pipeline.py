@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from augur.llm import decontam, langid_mix, secrets, sentencepiece_bpe, simhash
 from augur.llm.common import crc_mod
-from augur.sources.shared import discard, mark, new_path, written
+from augur.sources.shared import new_path, own_tables, remove, written
 
 
 def with_key(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -83,12 +83,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = new_path(spark, "pipeline")
-        out.write.parquet(path)
+        # What the stage made is no longer needed once its result is written.
+        with own_tables(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-        # What the stage made and read is no longer needed.
-        discard(spark, before, keep=1)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
