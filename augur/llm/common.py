@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from augur.sources.shared import discard, mark, written
+from augur.sources.shared import remove, written, written_at
 
 #: Deletes no byte and lower-cases A-Z only, as the word contracts ask.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -100,14 +100,13 @@ def components(edges: DataFrame) -> DataFrame:
     count and a checksum comes to the driver. Rows of a star's centre are split by AQE.
     """
     spark = edges.sparkSession
-    e = cut(
+    e, path = written_at(
         edges.where("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
     seen = None
     while True:
-        start = mark()
         # Large star: each node's larger neighbours go to its smallest neighbour.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -118,11 +117,12 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: each node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"), "u")
-        e = cut(
+        e, new = written_at(
             small.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         )
-        discard(spark, start - 1, keep=1)
+        remove(spark, path)
+        path = new
         row = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         now = (row["n"], row["h"])
         if now == seen:

@@ -70,3 +70,17 @@ def test_empty(spark, docs, tmp_path):
 def test_run(spark):
     got = cp.run(spark, SF)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 100
+
+
+def test_queries_in_threads(spark):
+    """Queries of one session at once leave each other's tables alone."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from augur.llm.queries import QUERIES
+    from augur.plans import catalog
+
+    calls = [cp.run, QUERIES["op7_simhash"], catalog.QUERIES["J6_fuzzy_pairs"]]
+    go = lambda f: sorted(map(repr, f(spark, SF).collect()))
+    alone = [go(f) for f in calls]
+    with ThreadPoolExecutor(3) as pool:
+        assert list(pool.map(go, calls)) == alone
