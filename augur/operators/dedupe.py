@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from augur.functions.text import canonical_url, normalize_text, token_set
+from augur.functions.text import canonical_url
+from augur.operators.similarity import either_way, near_in_time, similar_sets, token_sets
 from augur.sources.shared import written
 
 #: Sources from the most to the least trusted.
@@ -31,49 +32,35 @@ def url_arbitration(rows: DataFrame, ranks: dict[str, int] = PRIORITY) -> DataFr
     return kept.select(*rows.columns)
 
 
-def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(x, y, similarity) of different token sets (key, toks), x < y, of at least ``threshold``.
-
-    Prefix filter: if J(A, B) >= t, the sets share a token among the first
-    |A| - ceil(t |A|) + 1 of each in a common order. With the rarest tokens first, only rare
-    tokens are joined on, whatever the common ones; candidates are verified exactly."""
-    df = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-    ranked = sets.select("key", F.explode("toks").alias("tok")).join(df, "tok").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("s"))
-    # 0.7 * 10 must not become 8 by rounding, hence the tolerance.
-    keep = F.size("s") - F.ceil(F.size("s") * F.lit(threshold) - F.lit(1e-9)) + 1
-    prefix = written(ranked.select("key", F.size("s").alias("n"), F.explode(F.slice("s", F.lit(1), keep.cast("int"))["tok"]).alias("tok")))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    on = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.key") < F.col("b.key")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - F.lit(1e-9))
-    cand = a.join(b, on).select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct()
-    both = cand.join(sets.select(F.col("key").alias("x"), F.col("toks").alias("tx")), "x").join(sets.select(F.col("key").alias("y"), F.col("toks").alias("ty")), "y")
-    common = F.size(F.array_intersect("tx", "ty"))
-    sim = common / (F.size("tx") + F.size("ty") - common)
-    return both.select("x", "y", sim.alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def _token_sets(rows: DataFrame, text: str, min_len: int, columns: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows with the key of their token set, without texts, and the distinct sets (key, toks);
-    both are written, so texts are cut once. Rows without tokens are left out."""
-    toks = F.array_sort(token_set(normalize_text(F.col(text)), min_len))
-    base = written(rows.select(*columns, toks.alias("toks")).where(F.size("toks") > 0).withColumn("key", F.sha2(F.array_join("toks", " "), 256)))
-    return base.drop("toks"), written(base.groupBy("key").agg(F.first("toks").alias("toks")))
-
-
 def similar_pairs(rows: DataFrame, threshold: float = 0.7, min_len: int = 3, text: str = "question", same: tuple[str, ...] = (), window_days: int | None = None, date: str = "resolved_at") -> DataFrame:
     """(a, b, similarity): ids of different sources whose token sets have a Jaccard similarity of
-    at least ``threshold``, agreeing in the columns ``same`` and within ``window_days``. Equal
-    sets are compared once, whatever the number of rows that have them."""
+    at least ``threshold``, agreeing in the columns ``same`` and within ``window_days``. Every
+    pair of rows is given out; :func:`similar_links` counts them instead."""
     extra = [*same, *([date] if window_days is not None else [])]
-    base, sets = _token_sets(rows, text, min_len, [F.col(c) for c in ("id", "source", *extra)])
-    near = similar_sets(sets, threshold)
-    near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "similarity")).unionByName(sets.select(F.col("key").alias("x"), F.col("key").alias("y"), F.lit(1.0).alias("similarity")))
-    a, b = base.alias("a"), base.alias("b")
-    on = (F.col("b.key") == F.col("y")) & (F.col("a.source") < F.col("b.source"))
-    for c in same:
-        on &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    if window_days is not None:
-        on &= F.abs(F.datediff(f"a.{date}", f"b.{date}")) <= window_days
-    return a.join(near, F.col("a.key") == F.col("x")).join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "similarity")
+    base, sets = token_sets(rows, text, min_len, [F.col(c) for c in ("id", "source", *extra)])
+    left = base.join(either_way(similar_sets(sets, threshold), sets), base.key == F.col("x")).drop("key", "x")
+    right = base.select(F.col("id").alias("b"), F.col("source").alias("_source"), F.col("key").alias("y"), *same, *([F.col(date).alias("_day")] if window_days is not None else []))
+    met = left.join(right, ["y", *same]) if window_days is None else near_in_time(left, right, ["y", *same], date, "_day", window_days)
+    return met.where("source < _source").select(F.col("id").alias("a"), "b", "similarity")
+
+
+def similar_links(rows: DataFrame, threshold: float = 0.7, min_len: int = 3, text: str = "question", same: tuple[str, ...] = ()) -> DataFrame:
+    """(id, class_id, n_links) of every row: the smallest id of the rows with its token set, and
+    the number of rows of other sources that are similar and agree in ``same``. Rows are added up
+    by set, source and ``same`` before they meet, so equal rows are never paired. Rows without
+    tokens are classes of their own, without links."""
+    base, sets = token_sets(rows, text, min_len, [F.col(c) for c in ("id", "source", *same)])
+    gid = F.unhex(F.sha2(F.to_json(F.struct(F.hex("key").alias("key"), "source", *same)), 256))
+    base = written(base.withColumn("gid", gid))
+    groups = base.groupBy("gid", "key", "source", *same).agg(F.count("*").alias("n"))
+    near = either_way(similar_sets(sets, threshold), sets).select("x", "y")
+    other = groups.select(F.col("key").alias("y"), F.col("source").alias("_source"), *same, F.col("n").alias("_n"))
+    links = groups.join(near, groups.key == near.x).drop("x").join(other, ["y", *same]).where("source <> _source").groupBy("gid").agg(F.sum("_n").alias("n_links"))
+    classes = base.groupBy("key").agg(F.min("id").alias("class_id"))
+    known = groups.select("gid", "key").join(links, "gid", "left").join(classes, "key").drop("key")
+    found = base.join(known, "gid").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    bare = rows.select("id").join(base.select("id"), "id", "left_anti")
+    return found.unionByName(bare.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def quality_order(ranks: dict[str, int] = PRIORITY) -> Column:
@@ -88,21 +75,25 @@ def deduplicate(rows: DataFrame, threshold: float = 0.7, window_days: int = 14,
     Pairs are formed of groups of equal token set, source and date, by their best rows, so
     that many equal questions cost no more than one."""
     first = url_arbitration(rows, ranks)
+    return first.join(_losers(first, threshold, window_days, ranks), "id", "left_anti").orderBy("resolved_at", "id")
+
+
+def _losers(first: DataFrame, threshold: float, window_days: int, ranks: dict[str, int]) -> DataFrame:
     columns = [F.col("id"), F.col("source"), F.col("resolved_at").alias("day"), quality_order(ranks).alias("o")]
-    base, sets = _token_sets(first, "question", 3, columns)
+    base, sets = token_sets(first, "question", 3, columns)
     groups = written(base.groupBy("key", "source", "day").agg(F.min("o").alias("best")))
-    near = similar_sets(sets, threshold)
-    near = near.select("x", "y").unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(sets.select(F.col("key").alias("x"), F.col("key").alias("y")))
+    near = either_way(similar_sets(sets, threshold), sets).select("x", "y")
     other = groups.select(F.col("key").alias("y"), F.col("source").alias("_source"), F.col("day").alias("_day"), F.col("best").alias("_best"))
-    met = groups.join(near, groups.key == near.x).join(other, "y").where((F.col("source") != F.col("_source")) & (F.abs(F.datediff("day", "_day")) <= window_days))
+    met = near_in_time(groups.join(near, groups.key == near.x).drop("x"), other, ["y"], "day", "_day", window_days).where("source <> _source")
     rival = met.groupBy("key", "source", "day").agg(F.min("_best").alias("_best"))
-    lost = base.join(rival, ["key", "source", "day"]).where("_best < o").select("id").distinct()
-    return first.join(lost, "id", "left_anti").orderBy("resolved_at", "id")
+    return base.join(rival, ["key", "source", "day"]).where("_best < o").select("id").distinct()
 
 
 def dedupe_stats(rows: DataFrame, threshold: float = 0.7, window_days: int = 14, ranks: dict[str, int] = PRIORITY) -> DataFrame:
+    """One row: input, url_duplicates_dropped, text_duplicates_dropped, kept."""
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    first, kept = url_arbitration(rows, ranks), deduplicate(rows, threshold, window_days, ranks)
+    first = written(url_arbitration(rows, ranks))
+    kept = first.join(_losers(first, threshold, window_days, ranks), "id", "left_anti")
     row = n(rows, "input").join(n(first, "first"), F.lit(True)).join(n(kept, "kept"), F.lit(True))
     return row.select("input", (F.col("input") - F.col("first")).alias("url_duplicates_dropped"), (F.col("first") - F.col("kept")).alias("text_duplicates_dropped"), "kept")
 

@@ -537,4 +537,4 @@ def _(s, d):
     return platforms.accepted(platforms.polymarket(m, CUTOFF)).select("id", "outcome", "freeze_date", "resolved_at")
 
 
-from augur.plans import catalog_more  # noqa: E402, F401  (adds to QUERIES and ORACLE_SQL)
+from augur.plans import catalog_flows, catalog_more  # noqa: E402, F401  (add to QUERIES and ORACLE_SQL)

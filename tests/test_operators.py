@@ -302,3 +302,128 @@ def test_api_predictions(spark):
     rows = training(spark, [("test", 1), ("test", 0)], k=1).withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), F.col("id").alias("content"))))
     got = {r.id: r for r in generate.predictions(rows, Scripted([("q0", "Probability: 0.7")]), workers=1).collect()}
     assert got["q0"].prediction == 0.7 and got["q1"].prediction is None and got["q1"].completion.startswith("ERROR: ValueError")
+
+
+def visited(rows, ranks, similar, window):
+    """Ids that go when pairs are visited one after another. rows: (id, source, key, day, score)
+    in order of input."""
+    months = sorted({r[3][:7] for r in rows})
+    gone = set()
+    for i, m in enumerate(months):
+        cohort = [r for n in months[i : i + 2] for r in rows if r[3][:7] == n]
+        for j, a in enumerate(cohort):
+            if a[0] in gone:
+                continue
+            for b in cohort[j + 1 :]:
+                apart = abs((dt.date.fromisoformat(a[3]) - dt.date.fromisoformat(b[3])).days)
+                if b[0] in gone or a[1] == b[1] or apart > window or not similar(a[2], b[2]):
+                    continue
+                x, y = ((ranks.get(r[1], 99), -r[4]) for r in (a, b))
+                gone.add(b[0] if x <= y else a[0])
+    return gone
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_deduplicate_in_order(spark, seed):
+    """Many small worlds at once, each with words of its own, chains of similar questions, sources
+    of equal rank, urls, and several months."""
+    import random
+
+    from augur.operators import visits
+
+    rng, rows, want = random.Random(seed), [], set()
+    words = [f"w{i}" for i in range(10)]
+    sims = [set(words[i : i + 8]) for i in range(3)]  # neighbours are similar, the ends are not
+    similar = lambda x, y: len(x & y) / len(x | y) >= 0.7
+    assert similar(sims[0], sims[1]) and not similar(sims[0], sims[2])
+    n = 0
+    for world in range(60):
+        own = []
+        for _ in range(rng.randint(2, 14)):
+            day = str(dt.date(2025, 1, 1) + dt.timedelta(days=rng.randint(0, rng.choice([10, 75]))))
+            k, source, score = rng.randrange(3), rng.choice(["metaculus", "polymarket", "manifold", "x", "y"]), rng.randint(0, 2)
+            own.append((f"id{n}", source, k, day, score, n))
+            n += 1
+        rng.shuffle(own)
+        for pos, (i, source, k, day, score, _) in enumerate(own):
+            rows.append((i, source, " ".join(f"{w}of{world}" for w in sorted(sims[k])), dt.date.fromisoformat(day), "b" * score, world * 1000 + pos))
+        want |= visited([(i, s, frozenset(sims[k]), d, c) for i, s, k, d, c, _ in own], dedupe.PRIORITY, similar, 14)
+    df = spark.createDataFrame([(i, s, t, d, b, p) for i, s, t, d, b, p in rows], "id string, source string, question string, resolved_at date, background string, pos int")
+    df = df.withColumns({"url": F.lit(None).cast("string"), "resolution_criteria": F.lit(None).cast("string"), "categories": F.array().cast("array<string>")})
+    bare = [("none", "x", "some words here", None, None, -1), ("blank", "metaculus", "", dt.date(2025, 1, 1), None, -2), ("null", "manifold", None, dt.date(2025, 1, 1), None, -3)]
+    df = df.unionByName(spark.createDataFrame(bare, "id string, source string, question string, resolved_at date, background string, pos int"), allowMissingColumns=True)
+    kept = {r.id for r in visits.deduplicate_in_order(df, ["pos"]).collect()}
+    assert {r[0] for r in rows} - kept == want and {"none", "blank", "null"} <= kept
+    # the rule without order drops rows that are kept here
+    assert len({r.id for r in dedupe.deduplicate(df).collect()}) < len(kept)
+    assert visits.deduplicate_in_order(df.limit(0), ["pos"]).count() == 0
+
+
+def test_urls_give_the_order_of_visits(spark):
+    """Rows of one url are visited together, at the first of them, and those without url too."""
+    from augur.operators import visits
+
+    rows = [(1, None), (2, "http://a"), (3, None), (4, "https://a/"), (5, "b"), (6, None)]
+    df = spark.createDataFrame([(p, u, dt.date(2025, 1 + p % 2, 1)) for p, u in rows], "pos int, url string, resolved_at date")
+    got = visits.with_place(df, ["pos"]).orderBy("o").select("pos", "m").collect()
+    assert [r.pos for r in got] == [6, 2, 4, 1, 3, 5] and [r.m for r in got] == [0, 0, 0, 1, 1, 1]
+
+
+def test_equal_questions_over_years(spark):
+    """A hundred thousand equal questions of two sources over ten years meet only those near in time."""
+    from augur.operators import visits
+
+    n = 100_000
+    day = F.date_add(F.lit("2015-01-01").cast("date"), (F.col("id") % 3650).cast("int"))
+    df = spark.range(n).select(F.concat(F.lit("q"), "id").alias("id"), F.when(F.col("id") % 3 == 0, "metaculus").otherwise("manifold").alias("source"), F.lit("Will the same thing happen again").alias("question"), day.alias("resolved_at"), F.col("id").alias("pos"))
+    df = df.withColumns({c: F.lit(None).cast("string") for c in ("url", "background", "resolution_criteria")}).withColumn("categories", F.array().cast("array<string>"))
+    _, groups, pairs = visits._groups(visits.written(df), 0.7, 14, dedupe.PRIORITY, ["pos"])
+    assert pairs.count() <= 29 * groups.count() < 29 * 2 * 3650 + 1
+    for kept in (visits.deduplicate_in_order(df, ["pos"]), dedupe.deduplicate(df)):
+        assert kept.groupBy("source").count().collect() == [("metaculus", n // 3 + 1)]
+    links = dedupe.similar_links(df).groupBy("class_id", "n_links").count().collect()
+    assert sorted((r.class_id, r.n_links, r["count"]) for r in links) == [("q0", n // 3 + 1, n - n // 3 - 1), ("q0", n - n // 3 - 1, n // 3 + 1)]
+
+
+def test_similar_links_against_all_pairs(spark, monkeypatch):
+    import random
+
+    from augur.operators import similarity
+
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(25)]
+    texts = [" ".join(rng.sample(words, rng.randint(1, 12))) for _ in range(60)]
+    texts += [" ".join(t.split()[: max(1, len(t.split()) - 1)]) for t in texts] + [None, "", "a b"]
+    rows = [(i, rng.choice("abc"), rng.choice(["en", "de", None]), rng.choice(texts)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, source string, lang string, question string").withColumns({c: F.lit(1) for c in ("key", "n", "x")})
+    sets = {i: frozenset(w for w in (t or "").split() if len(w) > 2) for i, _, _, t in rows}
+    near = lambda x, y: sets[x] and sets[y] and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.7
+    want = {(i, min([j for j in sets if sets[i] and sets[j] == sets[i]] or [i]), sum(1 for j, t, m, _ in rows if t != s and g is not None and m == g and near(i, j))) for i, s, g, _ in rows}
+    for crowd in (2000, 3):  # few and many tokens are split by a second one
+        monkeypatch.setattr(similarity, "CROWD", crowd)
+        assert {tuple(r) for r in dedupe.similar_links(df, same=("lang",)).collect()} == want
+        pairs = {(r.a, r.b) for r in dedupe.similar_pairs(df, same=("lang",)).collect()}
+        assert pairs == {(i, j) for i, s, g, _ in rows for j, t, m, _ in rows if s < t and g is not None and g == m and near(i, j)}
+
+
+def test_cuts_by_ranges(spark):
+    """Parts by ranges of the hash are those of sorted rows: strata of any size, null among them,
+    fractions that add up to one, repeated and equal hashes."""
+    import random
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    rng = random.Random(6)
+    rows = [(f"i{i}", b, f"{rng.choice([rng.randrange(1 << 16), 77]):04x}") for i, b in enumerate(rng.choice(["a", "a", "b", None]) for _ in range(700))]
+    rows += [("x", "one", "0000"), ("y", "three", "ffff"), ("z", "three", "ffff"), ("w", "three", "0001")]
+    df = spark.createDataFrame(rows, "id string, bucket string, h string").withColumn("b", F.shiftright(F.conv("h", 16, 10).cast("int"), 2))
+    for fractions in ([0.8, 0.1], [0.5, 0.5], [0.0, 0.3], [1.0, 0.0], [0.1]):
+        want = {}
+        for b in {r[1] for r in rows}:
+            mine = sorted((r for r in rows if r[1] == b), key=lambda r: (r[2], r[0]))
+            ends, up = [], 0
+            for f in fractions:
+                up += int(Decimal(str(len(mine) * f)).quantize(Decimal(1), ROUND_HALF_EVEN))
+                ends.append(up)
+            want |= {r[0]: sum(k + 1 > e for e in ends) for k, r in enumerate(mine)}
+        assert {r.id: r.part for r in split.place_by_ranges(df, fractions).collect()} == want
+    assert split.place_by_ranges(df.limit(0), [0.8]).count() == 0
