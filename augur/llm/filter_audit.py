@@ -71,6 +71,7 @@ def replay(flags: DataFrame) -> DataFrame:
         F.count_if(gone & F.col("good")).alias("good_lost"),
         F.count_if(gone & F.col("toxic")).alias("toxic_lost"),
     )
+    out = cut(out)  # else the replay runs again for the shares
     share = out.groupBy("part", "letter").agg(F.sum("removed").alias("shapley"))
     return out.join(share, ["part", "letter"]).select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
