@@ -31,6 +31,8 @@ from augur.sources.shared import new_path, written
 
 #: Where a text is cut: a sign of this class is white space in no library, and more than the space follows.
 BORDER = re.compile(r"(?<=[\w!-~])(?= .)", re.S)
+CLOSED = re.compile(r"[\w!-~]\Z")
+TOGETHER = 1 << 15  # characters of segments that are encoded at once
 TABLE = 100_000  # segments of a generation; a worker keeps two
 LONG = 256  # longer segments are not kept
 HELD = 1_000_000  # links that a task gathers, and pairs that it holds, before it gives them on
@@ -39,8 +41,8 @@ GROUP = 8 << 20  # bytes of a row group of the table between the passes
 _held: dict[bytes, Aligner] = {}
 _maps: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-#: What a segment comes to: numbers of tokens of both, groups as text, links as keys; None where bytes differ.
-Entry = tuple[int, int, str, list[int]] | None
+#: What a segment comes to: numbers of tokens of both, groups as text, links as packed keys; None where bytes differ.
+Entry = tuple[int, int, str, bytes] | None
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -74,61 +76,67 @@ class Aligner:
         if self.b.encode("", out_type=int) or self.b.encode("a", out_type=str)[0][0] != "▁" or any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a model that adds a space in front, with white space only in front of pieces, is needed")
         sign = byte_of_sign()
-        self.a_bytes = {i: bytes(sign[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in sign for c in t)}
+        a_bytes = {i: bytes(sign[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in sign for c in t)}
+        self.a_bytes = [a_bytes.get(i, b"") for i in range(1 + max(a_bytes))]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_len, self.b_len = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.young: dict[str, Entry] = {}
         self.older: dict[str, Entry] = {}
 
-    def entry(self, seg: str, a: list[int], b: list[int]) -> Entry:
-        """Groups and links of one segment, which begins with a space."""
-        xs, ys, raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], seg.encode()
-        if b"".join(xs) != raw or b"".join(ys) != raw:
-            return None
-        groups, links = [], []
-        i = j = at_a = at_b = from_a = from_b = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += len(xs[i])
-                i += 1
-            else:
-                at_b += len(ys[j])
-                j += 1
-            if at_a == at_b:
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                links.append(b[j - 1] << 32 | a[i - 1])
-                from_a, from_b = i, j
-        return len(a), len(b), ";".join(groups), links
-
-    def segments(self, batch: list[str]) -> dict[str, Entry]:
-        """Entries of segments, those not met before encoded together."""
-        found: dict[str, Entry] = {}
-        new: list[str] = []
-        for s in dict.fromkeys(batch):
-            if s in self.young:
-                found[s] = self.young[s]
-            elif s in self.older:
-                # Segments that are still in use move to the young generation.
-                found[s] = self.young[s] = self.older[s]
-            else:
-                new.append(s)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            coded = self.a.encode_batch_fast(some, add_special_tokens=False)
-            for s, a, b in zip(some, coded, self.b.encode([s[1:] for s in some], num_threads=1)):
-                found[s] = self.entry(s, a.ids, b)
-                if len(s) <= LONG:
-                    self.young[s] = found[s]
-        if len(self.young) >= TABLE:
-            self.older, self.young = self.young, {}
-        return found
-
-    def align(self, text: str) -> list[tuple[int, int, str, list[int]]]:
-        """Entries of the segments of a text in order, none if its bytes don't come back."""
-        if not text:
-            return []
-        segs = BORDER.split(" " + text)
-        table = self.segments(segs)
-        return [] if None in table.values() else [table[s] for s in segs]
+    def _groups(self, a: list[int], b: list[int]) -> tuple[np.ndarray, ...]:
+        """Ends of all tokens of both, and the bytes and places at which both end."""
+        ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        both = np.intersect1d(*ends, assume_unique=True)
+        return *ends, both, np.searchsorted(ends[0], both), np.searchsorted(ends[1], both)
+
+    def learn(self, segs: list[str]) -> list[Entry]:
+        """Entries of segments of which none or one may be open: one whose end is no border. They are
+        encoded as one text, as tokens cross no border, and cut apart at their ends."""
+        text = "".join(segs)
+        raw = text.encode()
+        a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+            return [None] if len(segs) == 1 else [e for s in segs for e in self.learn([s])]
+        ends_a, ends_b, both, at_a, at_b = self._groups(a, b)
+        stop = np.cumsum([len(s.encode()) for s in segs])
+        n_a, n_b, n = (np.searchsorted(x, stop, "right") for x in (ends_a, ends_b, both))
+        if not np.array_equal(both[n - 1], stop):
+            raise RuntimeError("tokens across a border of segments")
+        links = np.array(b, np.int64)[at_b] << 32 | np.array(a, np.int64)[at_a]
+        names, groups, i, j = self.names, [], 0, 0
+        for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
+            left = names[a[i]] if p - i == 1 else ",".join([names[x] for x in a[i:p]])
+            groups.append(f"{left}|{names[b[j]] if q - j == 1 else ','.join([names[x] for x in b[j:q]])}")
+            i, j = p, q
+        out, i = [], 0
+        for x, y, k in zip(np.diff(n_a, prepend=0).tolist(), np.diff(n_b, prepend=0).tolist(), n.tolist()):
+            out.append((x, y, ";".join(groups[i:k]), links[i:k].tobytes()))
+            i = k
+        return out
+
+    def align(self, batch: list[str]) -> list[list[tuple[int, int, str, bytes]]]:
+        """Entries of the segments of each text in order, none if a text's bytes don't come back."""
+        cut = [BORDER.split(" " + t) if t else [] for t in batch]
+        young, older, new, size = self.young, self.older, [], 0
+        for s in set(chain.from_iterable(cut)).difference(young):
+            # Segments that are still in use move to the young generation.
+            if s in older:
+                young[s] = older[s]
+                continue
+            new.append(s)
+            size += len(s)
+            if not CLOSED.search(s) or size > TOGETHER:
+                young.update(zip(new, self.learn(new)))
+                new, size = [], 0
+        if new:
+            young.update(zip(new, self.learn(new)))
+        out = [[young[s] for s in segs] for segs in cut]
+        for s in [s for s in set(chain.from_iterable(cut)) if len(s) > LONG]:
+            del young[s]
+        if len(young) >= TABLE:
+            self.older, self.young = young, {}
+        return [[] if None in got else got for got in out]
 
 
 def _aligner(a: bytes, b: bytes) -> Aligner:
@@ -248,13 +256,13 @@ def links_of(docs: DataFrame, a_file: str, b_file: str, text: str = "text", doc_
         for batch in slices(batches):
             kind = batch.column(0).type
             out: list[list] = [[], [], [], [], [], []]
-            for t in texts(batch):
-                got = aligner.align(t or "")
-                links = np.fromiter(chain.from_iterable(g[3] for g in got), np.int64)
+            for got in aligner.align(texts(batch)):
+                n_a, n_b, groups, packed = zip(*got) if got else ((), (), (), ())
+                links = np.frombuffer(b"".join(packed), np.int64)
                 keys, times = np.unique(links, return_counts=True)
                 yield from chain.from_iterable(counted(*x) for x in partial.add(keys, times))
-                sha = hashlib.sha256(";".join([g[2] for g in got]).encode()).hexdigest() if got else ""
-                for o, v in zip(out, (sum(g[0] for g in got), sum(g[1] for g in got), len(links), sha, keys.tobytes(), times.astype("<u4").tobytes())):
+                sha = hashlib.sha256(";".join(groups).encode()).hexdigest() if got else ""
+                for o, v in zip(out, (sum(n_a), sum(n_b), len(links), sha, keys.tobytes(), times.astype("<u4").tobytes())):
                     o.append(v)
             n = batch.num_rows
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
