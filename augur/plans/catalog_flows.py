@@ -1,12 +1,18 @@
-"""Queries of whole flows: duplicates in order of visits, links of similar texts, cuts of one stratum."""
+"""Queries of whole flows: duplicates in order of visits, links of similar texts, cuts of one
+stratum, paged sources."""
 
 from __future__ import annotations
 
+import json
+import urllib.parse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augur.operators import dedupe, split, visits
 from augur.plans.catalog import _NORM, _query, _questions, _table
+from augur.sources import paged
+from augur.sources.shared import new_path
 
 _TOKENS = f"list_distinct(list_filter(string_split({_NORM.format('text')}, ' '), lambda t: length(t) >= 3))"
 
@@ -57,3 +63,60 @@ def _(s, d):
  FROM (SELECT id, row_number() OVER (ORDER BY md5('17::all::' || id), id) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT id FROM {Q}) i) r""")
 def _(s, d):
     return split.split_ids(_questions(s, d), split.SplitConfig(stratify_by="none"))
+
+
+# Paged sources, read from pages that stand in the cache as the servers would have given them.
+
+_SITE = "https://pages.invalid/x"
+
+
+def _paged(s: SparkSession, d: str, preset: str, size: int, wrap: str, next_field: bool = False, keyset: bool = False, partitions: int = 1, stream: bool = False) -> DataFrame:
+    """Orders through pages of a preset and back. Order keys run from 0 without gaps."""
+    o = _table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    n = F.lit(o.count())
+    page = F.floor((n - 1 - F.col("id") if keyset else F.col("id")) / size)
+    item = F.struct(F.when(F.lit(keyset), -F.col("id")).otherwise(F.col("id")).alias("place"), F.struct("id", "status").alias("item"))
+    rows = o.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(item))["item"].alias("items"))
+    # Behind the last page there is an empty one, which scans in parts and full last pages come to.
+    ends = s.range(1).select(F.explode(F.sequence(F.ceil(n / size), F.ceil(n / size) + partitions)).alias("page"), F.array().cast(rows.schema["items"].dataType).alias("items"))
+    rows = rows.unionByName(ends)
+    more = {"next": F.when((F.col("page") + 1) * size < n, "more")} if next_field else {}
+    body = F.to_json(F.struct(F.col("items").alias(wrap), *(v.alias(k) for k, v in more.items()))) if wrap else F.to_json("items")
+    o_ = {**paged.PRESETS[preset], "url": _SITE, "page_size": str(size), "throttle": "0"}
+    fixed = urllib.parse.urlencode({**json.loads(o_.get("params", "{}")), "limit": size})
+    if keyset:
+        at = F.when(F.col("page") == 0, "").otherwise(F.concat(F.lit("&before="), F.greatest(n - F.col("page") * size, F.lit(0)).cast("string")))
+    else:
+        at = F.concat(F.lit("&offset="), (F.col("page") * size).cast("string"))
+    folder = new_path(s, "pages")
+    paged.store_pages(rows.select(F.concat(F.lit(f"{_SITE}?{fixed}"), at).alias("url"), body.alias("body")), folder)
+    if stream:
+        out, mark = new_path(s, "items"), new_path(s, "offsets")
+        paged.scan_into(s, out, mark, cache=folder, batch_pages=7, **o_)
+        got = s.read.text(out)
+    else:
+        got = paged.scan(s, cache=folder, partitions=partitions, **o_)
+    return got.select(F.from_json("value", "id long, status string").alias("v")).select("v.id", "v.status")
+
+
+_ORDERS = "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders"
+
+
+@_query("S5_offset_pages", _ORDERS)
+def _(s, d):
+    return _paged(s, d, "metaculus", 100, "results", next_field=True, partitions=8)
+
+
+@_query("S6_short_page_ends", _ORDERS)
+def _(s, d):
+    return _paged(s, d, "polymarket", 500, "markets", partitions=3)
+
+
+@_query("S7_keyset_pages", _ORDERS)
+def _(s, d):
+    return _paged(s, d, "manifold", 1000, "", keyset=True)
+
+
+@_query("S7_resumable_stream", _ORDERS)
+def _(s, d):
+    return _paged(s, d, "manifold", 1000, "", keyset=True, stream=True)

@@ -169,6 +169,134 @@ def test_paging(spark, tmp_path):
     assert [json.loads(r.value)["id"] for r in df.collect()] == [0, 1]
 
 
+class Api:
+    """A local server of ``items`` with offset and keyset pages, which fails as it is told to."""
+
+    def __init__(self, n, fail=None):
+        import threading
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+        from urllib.parse import parse_qs, urlparse
+
+        api = self
+        self.items, self.seen, self.fail = [{"id": i, "text": f"é{i}"} for i in range(n)], [], fail or (lambda k: None)
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_GET(self):
+                q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+                api.seen.append(q)
+                bad = api.fail(len(api.seen))
+                self.send_response(bad[0] if bad else 200)
+                for k, v in (bad[1] if bad else {}).items():
+                    self.send_header(k, v)
+                self.end_headers()
+                if "offset" in q:
+                    found = api.items[int(q["offset"]) :]
+                else:
+                    found = [x for x in reversed(api.items) if "before" not in q or x["id"] < int(q["before"])]
+                if not bad:
+                    self.wfile.write(json.dumps(found[: int(q["limit"])]).encode())
+
+            def log_message(self, *args):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_port}/x"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *args):
+        self.server.shutdown()
+        self.server.server_close()
+
+
+def ids(df):
+    return sorted(json.loads(r.value)["id"] for r in df.collect())
+
+
+def test_offset_pages_in_partitions(spark):
+    with Api(95) as api:
+        for n in (1, 4):
+            api.seen.clear()
+            df = paged.scan(spark, url=api.url, page_size=10, until_short="true", partitions=n)
+            assert df.rdd.getNumPartitions() == n and ids(df) == list(range(95))
+            assert len(api.seen) <= 10 + n
+        assert ids(paged.scan(spark, url=api.url, page_size=10, until_short="true", partitions=4, max_pages=3)) == list(range(30))
+        assert ids(paged.scan(spark, url=api.url, page_size=10, style="keyset", until_short="true", partitions=4)) == list(range(95))
+    scan = paged.Scan({"url": "u", "page_size": "10"}, lambda url, token: [{"id": 1}])
+    with pytest.raises(ValueError, match="one partition"):
+        next(scan.share(0, 2))
+    naps = []
+    list(paged.Scan({"url": "u", "page_size": "1", "throttle": "0.5"}, lambda url, token: [{"id": 1}] if "offset=0" in url else [], naps.append).share(0, 4))
+    assert naps == [2.0]
+
+
+@pytest.mark.parametrize("style", ["offset", "keyset"])
+def test_a_stopped_scan_goes_on(spark, tmp_path, style):
+    """The server breaks down in the middle: pages of finished batches are not asked for again,
+    and no item is lost or doubled; items added later are found by the next run."""
+    out, mark = str(tmp_path / "out"), str(tmp_path / "ck")
+    options = {"page_size": 10, "style": style, "until_short": "true", "batch_pages": 2, "attempts": 1}
+    with Api(75, fail=lambda k: (500, {}) if k == 6 else None) as api:
+        with pytest.raises(Exception, match="500"):
+            paged.scan_into(spark, out, mark, url=api.url, **options)
+        done = spark.read.text(out).count()
+        assert 0 < done < 75
+        before = len(api.seen)
+        paged.scan_into(spark, out, mark, url=api.url, **options)
+        assert ids(spark.read.text(out)) == list(range(75))
+        places = [q.get("offset", q.get("before")) for q in api.seen]
+        first = places[before]
+        assert int(first) == (done if style == "offset" else 75 - done)
+        if style == "offset":
+            api.items += [{"id": i} for i in range(75, 78)]
+            paged.scan_into(spark, out, mark, url=api.url, **options)
+            assert ids(spark.read.text(out)) == list(range(78))
+
+
+def test_throttled_pages_are_tried_again(spark):
+    import email.utils
+
+    answers = {1: (429, {"Retry-After": "0"}), 2: (503, {}), 4: (429, {"Retry-After": email.utils.formatdate(0, usegmt=True)})}
+    with Api(25, fail=answers.get) as api:
+        naps = []
+        got = [x["id"] for p in paged.pages({"url": api.url, "page_size": "10", "until_short": "true"}, sleep=naps.append) for x in p]
+        assert got == list(range(25)) and len(api.seen) == 6
+        assert naps[0] == 0 and 1 <= naps[1] <= 2 and naps[3] == 0
+    with Api(5, fail=lambda k: (502, {})) as api:
+        with pytest.raises(paged.Throttled, match="502"):
+            list(paged.pages({"url": api.url, "attempts": "3"}, sleep=naps.append))
+        assert len(api.seen) == 3
+    for code, kind in ((401, paged.PermissionRefused), (403, paged.PermissionRefused), (404, ValueError)):
+        with Api(5, fail=lambda k, code=code: (code, {})) as api, pytest.raises(kind):
+            list(paged.pages({"url": api.url}))
+        assert len(api.seen) == 1
+    with pytest.raises(paged.Throttled):
+        list(paged.pages({"url": "http://127.0.0.1:9/x", "attempts": "2"}, sleep=naps.append))
+    assert paged.retry_after("3") == 3 and paged.retry_after("soon") is None and paged.retry_after(None) is None
+    assert 8 < paged.retry_after(email.utils.formatdate(110, usegmt=True), lambda: 100) < 11
+
+
+def test_pages_are_kept_in_the_shared_folder(spark, tmp_path):
+    from augur.sources.shared_files import read_bytes, write_bytes
+
+    with Api(25) as api:
+        options = {"url": api.url, "page_size": 10, "until_short": "true", "partitions": 3}
+        for _ in range(2):
+            assert ids(paged.scan(spark, cache="shared", **options)) == list(range(25))
+        assert len(api.seen) == 5  # three pages and two ends; all from the cache at the second time
+        assert ids(paged.scan(spark, cache=f"file:{tmp_path}/c", **options)) == list(range(25)) and len(api.seen) == 10
+    path = paged.page_file(str(tmp_path / "c"), f"{api.url}?limit=10&offset=0")
+    assert len(json.loads(read_bytes(path))) == 10
+    write_bytes(path, b"[{")  # a page that was cut off is got again
+    with pytest.raises(paged.Throttled):
+        list(paged.pages({"url": api.url, "page_size": "10", "cache": str(tmp_path / "c"), "attempts": "1"}))
+    found = spark.createDataFrame([(f"{api.url}?limit=10&offset=0", '[{"id": 7}]')], "url string, body string")
+    assert paged.store_pages(found, str(tmp_path / "c")) == 1 and read_bytes(str(tmp_path / "none")) is None
+    assert ids(paged.scan(spark, cache=str(tmp_path / "c"), url=api.url, page_size=10, until_short="true")) == [7]
+
+
 def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("# run\nname: x\ntraining:\n  seed: 3\n  lambda_invariance: 0.5\n  split: train\n  other: {}\n".replace("  other: {}\n", ""))
     c = config.load_config(str(tmp_path / "c.yaml"))
