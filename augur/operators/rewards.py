@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from augur.functions.scores import brier
 from augur.functions.text import has_punctuation_loop, parse_probability
+from augur.sources.files import exists, write_csv
 
 
 @dataclass(frozen=True)
@@ -76,9 +77,9 @@ def safety_reason(config: SafetyConfig) -> Column:
         (F.coalesce("frac_reward_zero_std", F.lit(0.0)) > config.max_zero_std_frac, "zero-std reward fraction"),
     ]
     if config.max_ppo_kl is not None:
-        checks.append((F.col("ppo_kl").try_cast("double") > config.max_ppo_kl, "PPO KL"))
+        checks.append((metric("ppo_kl") > config.max_ppo_kl, "PPO KL"))
     if config.max_ppo_clip_frac is not None:
-        checks.append((F.col("ppo_clip_frac").try_cast("double") > config.max_ppo_clip_frac, "PPO clipped fraction"))
+        checks.append((metric("ppo_clip_frac") > config.max_ppo_clip_frac, "PPO clipped fraction"))
     out = F.lit(None).cast("string")
     for bad, name in reversed(checks):
         out = F.when(bad, name).otherwise(out)
@@ -104,30 +105,70 @@ def select_batch(groups: DataFrame, step: int, seed: int, n: int) -> DataFrame:
     return groups.orderBy(F.md5(F.concat_ws("::", F.lit(str(seed + step)), "id")), "id").limit(n)
 
 
+#: Columns of a rollout, in order.
+ROLLOUT = ["id", "variant_index", "outcome", "prediction", "parseable", "reward", "advantage", "stop_reason", "completion"]
+
+
 def rollout_rows(scored: DataFrame) -> DataFrame:
-    return scored.select("id", "variant_index", "outcome", "prediction", "parseable", "reward", "advantage", "stop_reason", "completion")
+    return scored.select(*ROLLOUT)
+
+
+def metric(metrics: Column | str) -> Column:
+    """A trainer's metric as a number; null for what is none, and for NaN, which is above nothing."""
+    value = (F.col(metrics) if isinstance(metrics, str) else metrics).try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def export_rollouts(folder: str, spark: SparkSession, path: str) -> None:
+    """All rollouts of a run as CSV, whatever they were appended in; header in every file."""
+    write_csv(spark.read.parquet(f"{folder}/rollouts"), path, ["step", *ROLLOUT])
+
+
+def run_state(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """The last finished step of a run, 0 before the first, and why it stopped, if it did."""
+    at = f"{folder}/metrics"
+    if not exists(spark, at):
+        return 0, None
+    last = spark.read.option("basePath", at).schema("stop string, step int").json(f"{at}/step=*").orderBy(F.desc("step")).first()
+    return (last["step"], last["stop"]) if last else (0, None)
 
 
 def train(rows: DataFrame, split: str, steps: int, groups_per_step: int, seed: int, sample, learn, folder: str, reward: RewardConfig = RewardConfig(), safety: SafetyConfig = SafetyConfig(), clip: float | None = 5.0, scale: float = 1.0, save_every: int = 0) -> str | None:
     """The step loop around a remote trainer: ``sample`` turns rows into rollouts (adds
     completion, stop_reason), ``learn`` takes scored rollouts and returns a dict of loss
-    metrics, or a checkpoint's path when called with None. Rollouts and metrics are appended
-    under ``folder``; returns the reason of a safety stop."""
+    metrics, or a checkpoint's path when called with None. Rollouts, metrics and checkpoints are
+    kept by step under ``folder``; returns the reason of a safety stop.
+
+    What is there is the state of the run. Called again, it goes on after the last step with
+    metrics; a step that broke off before is done again, but with the rollouts that it has, so
+    none is sampled twice, and a stopped run stays stopped."""
     spark = rows.sparkSession
     mine = rows.where(F.col("split") == split)
     sizes = mine.groupBy("id").count().where("count >= 2").select("id")
-    for step in range(1, steps + 1):
-        batch = mine.join(select_batch(sizes, step, seed, groups_per_step), "id", "left_semi")
-        scored = advantages(group_rewards(sample(batch), reward), clip=clip, scale=scale).withColumn("step", F.lit(step))
+    if sizes.isEmpty():
+        raise ValueError(f"no groups of the split {split!r} to train on")
+    last, stop = run_state(spark, folder)
+    if stop:
+        return stop
+    if last and save_every and last % save_every == 0 and not exists(spark, f"{folder}/checkpoints/step={last}/_SUCCESS"):
+        _save(spark, folder, last, learn)
+    for step in range(last + 1, steps + 1):
         at = f"{folder}/rollouts/step={step}"
-        scored.drop("step").write.mode("overwrite").parquet(at)  # read back, so that a rollout is sampled once
+        if not exists(spark, f"{at}/_SUCCESS"):
+            batch = mine.join(select_batch(sizes, step, seed, groups_per_step), "id", "left_semi")
+            scored = advantages(group_rewards(sample(batch), reward), clip=clip, scale=scale)
+            scored.drop("step").write.mode("overwrite").parquet(at)  # read back, so that a rollout is sampled once
         scored = spark.read.parquet(at).withColumn("step", F.lit(step))
         loss = learn(scored) or {}
         row = summary(scored, ("step",)).withColumns({k: F.lit(v) for k, v in loss.items()}).withColumn("stop", safety_reason(safety))
-        row.write.mode("append").json(f"{folder}/metrics")
+        row.drop("step").write.mode("overwrite").json(f"{folder}/metrics/step={step}")
         stop = row.first()["stop"]
+        if save_every and step % save_every == 0 and not stop:
+            _save(spark, folder, step, learn)
         if stop:
             return stop
-        if save_every and step % save_every == 0:
-            spark.createDataFrame([(step, str(learn(None)))], "step int, path string").write.mode("append").json(f"{folder}/checkpoints")
     return None
+
+
+def _save(spark: SparkSession, folder: str, step: int, learn) -> None:
+    spark.createDataFrame([(str(learn(None)),)], "path string").write.mode("overwrite").json(f"{folder}/checkpoints/step={step}")

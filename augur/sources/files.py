@@ -137,6 +137,24 @@ def read_cache(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(f"r is not null and r.{CORRUPT} is null").select("key", F.struct("r.text", "r.usage", "r.stop_reason").alias("response"), "modified")
 
 
+def store_cache(rows: DataFrame, folder: str) -> int:
+    """Puts responses (key, body: JSON) into a folder of JSON files, each task its own, and counts them."""
+    from augur.sources.shared import qualified
+    from augur.sources.shared_files import write_bytes
+
+    root = qualified(rows.sparkSession, folder)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for key, body in zip(*(c.to_pylist() for c in batch.columns)):
+                write_bytes(f"{root}/{key}.json", body.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select("key", "body").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 # Sinks. Spark's commit protocol makes each write atomic; row order carries no meaning.
 
 
@@ -180,15 +198,43 @@ def write_report(df: DataFrame, path: str) -> None:
     report_json(df).coalesce(1).write.mode("overwrite").text(path)
 
 
-def drop_templated(spark: SparkSession, path: str, out: str, placeholders: tuple[str, ...] = ("{resolution_date}", "{forecast_due_date}")) -> DataFrame:
+PLACEHOLDERS = ("{resolution_date}", "{forecast_due_date}")
+
+
+def _marked(spark: SparkSession, path: str, placeholders: tuple[str, ...]) -> DataFrame:
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
+    return lines.withColumn("hit", placeholder_in_values(F.col("value"), placeholders))
+
+
+def drop_templated(spark: SparkSession, path: str, out: str, placeholders: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:
     """Writes the lines of ``path`` without those whose JSON holds a placeholder in any value
-    to ``out``, and returns counts (total, dropped). Lines that are no JSON stay. Reading the
-    original again and again gives the same, so nothing is changed in place."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r"\S")).withColumn("hit", placeholder_in_values(F.col("value"), placeholders))
+    to ``out``, and returns counts (total, dropped). Lines that are no JSON stay."""
+    lines = _marked(spark, path, placeholders)
     lines.where(~F.col("hit")).select("value").write.mode("overwrite").text(out)
     return lines.agg(F.count("*").alias("total"), F.count_if("hit").alias("dropped"))
 
 
+def drop_templated_in_place(spark: SparkSession, path: str, placeholders: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:
+    """As :func:`drop_templated`, on ``path`` itself; a path that is not there gives zeros.
+
+    The original is kept beside it as ``.bak``, by a rename that copies nothing, and every run
+    reads from there, so a second run changes nothing. The rest is written under another name and
+    moved at the end; a run that dies before leaves the original, and the next one begins anew."""
+    home = spark._jvm.org.apache.hadoop.fs.Path
+    backup, draft = f"{path}.bak", f"{path}.draft"
+    system = home(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not exists(spark, backup):
+        if not exists(spark, path):
+            return spark.createDataFrame([(0, 0)], "total long, dropped long")
+        if not system.rename(home(path), home(backup)):
+            raise OSError(f"{path} cannot be moved to {backup}")
+    counts = drop_templated(spark, backup, draft, placeholders)
+    system.delete(home(path), True)
+    if not system.rename(home(draft), home(path)):
+        raise OSError(f"{draft} cannot be moved to {path}")
+    return counts
+
+
 def placeholder_in_values(json: Column, placeholders: tuple[str, ...]) -> Column:
     """Whether a value (not a key) of valid JSON holds a placeholder: keys with one are erased first."""
     import re

@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found or context.getCheckpointDir().get()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, as tasks need it that don't know Spark's default one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def new_path(spark: SparkSession, kind: str = "table") -> str:
     path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     made = _made.get()

@@ -257,7 +257,7 @@ def test_cache_and_retry(spark):
 def test_cache_is_written(spark, tmp_path):
     req = spark.createDataFrame([(str(i), "s", f"ask {i % 4}") for i in range(8)] + [("x", "s", "fails")], "id string, system string, user string")
     path = str(tmp_path / "cache")
-    first = generate.ask(req, Scripted([("ask", "yes")]), "m", 10, 0.0, path, workers=2, commits=3).collect()
+    first = generate.ask(req, Scripted([("ask", "yes")]), "m", 10, 0.0, path, workers=2, batch=1).collect()
     assert spark.read.parquet(path).count() == 4 and sum(r.error is None for r in first) == 8
     again = {r.id: r for r in generate.ask(req, Scripted([("fails", "now")]), "m", 10, 0.0, path, workers=1).collect()}
     assert len(again) == 9 and all(again[str(i)].text == "yes" and again[str(i)].cached for i in range(8)) and again["x"].text == "now" and not again["x"].cached
@@ -427,3 +427,81 @@ def test_cuts_by_ranges(spark):
             want |= {r[0]: sum(k + 1 > e for e in ends) for k, r in enumerate(mine)}
         assert {r.id: r.part for r in split.place_by_ranges(df, fractions).collect()} == want
     assert split.place_by_ranges(df.limit(0), [0.8]).count() == 0
+
+
+class Dies:
+    """Notes what it is asked in a folder, and dies, not with an answer, at one request."""
+
+    def __init__(self, folder, at=None):
+        self.folder, self.at = folder, at
+
+    def complete(self, system, user):
+        import os
+        import uuid
+
+        if user == self.at:
+            os._exit(3)
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(user)
+        return f"to {user}", 1, 1
+
+
+def test_stored_answers_are_not_asked_again(spark, tmp_path):
+    """A worker that dies half way loses the batch at hand; all else is in the cache."""
+    asked, path = tmp_path / "asked", str(tmp_path / "cache")
+    asked.mkdir()
+    req = spark.createDataFrame([(str(i), "s", f"ask {i}") for i in range(60)], "id string, system string, user string")
+    with pytest.raises(Exception):
+        generate.ask(req, Dies(str(asked), "ask 31"), "m", 10, 0.0, path, workers=2, batch=5).collect()
+    stored = spark.read.schema(generate.CACHE).parquet(path).count()
+    first = [f.read_text() for f in asked.iterdir()]
+    assert 0 < stored < 60 and len(first) - stored <= 2 * 5
+    got = generate.ask(req, Dies(str(asked)), "m", 10, 0.0, path, workers=3, batch=7)
+    assert {(r.id, r.text) for r in got.collect()} == {(str(i), f"to ask {i}") for i in range(60)}
+    assert got.where("cached").count() == stored
+    every = [f.read_text() for f in asked.iterdir()]
+    assert len(every) == len(first) + 60 - stored
+    # a repeated task finds the batches that it stored itself
+    key, uri = "k", f"file:{tmp_path}/cache/answers-x.parquet"
+    generate.store_batch(uri, {key: ("a", 1, 2)})
+    assert generate.stored_batch(uri) == {key: ("a", 1, 2)} and generate.stored_batch(uri + "-none") == {}
+
+
+def test_a_broken_run_goes_on(spark, tmp_path):
+    rows = training(spark, [("train", 1)] * 6, k=2).withColumn("messages", F.lit("m"))
+    folder, sampled, learned, saved = str(tmp_path / "run"), [], [], []
+
+    def sample(b):
+        sampled.append(1)
+        return b.withColumn("completion", F.lit("Probability: 0.3")).withColumn("stop_reason", F.lit("stop"))
+
+    def learn(fail_at=None):
+        def f(scored):
+            if scored is None:
+                saved.append(1)
+                return f"path{len(saved)}"
+            step = scored.first()["step"]
+            if step == fail_at:
+                raise RuntimeError("lost")
+            learned.append(step)
+            return {"ppo_kl": "nan" if step == 2 else 0.1}
+
+        return f
+
+    go = lambda f, steps=4, **k: rewards.train(rows, "train", steps, 3, 1, sample, f, folder, safety=rewards.SafetyConfig(max_ppo_kl=0.7), save_every=2, **k)
+    assert rewards.run_state(spark, folder) == (0, None)
+    with pytest.raises(RuntimeError):
+        go(learn(3))
+    assert rewards.run_state(spark, folder) == (2, None) and learned == [1, 2] and len(sampled) == 3
+    assert go(learn()) is None
+    # the rollouts of the broken step were kept; finished steps were not repeated
+    assert learned == [1, 2, 3, 4] and len(sampled) == 4 and len(saved) == 2
+    assert spark.read.json(f"{folder}/metrics").count() == 4 and sorted(r.step for r in spark.read.json(f"{folder}/checkpoints").collect()) == [2, 4]
+    assert spark.read.parquet(f"{folder}/rollouts").groupBy("step").count().collect() and go(learn()) is None and learned == [1, 2, 3, 4]
+    rewards.export_rollouts(folder, spark, str(tmp_path / "csv"))
+    out = spark.read.csv(str(tmp_path / "csv"), header=True)
+    assert out.columns == ["step", *rewards.ROLLOUT] and out.count() == 4 * 3 * 2
+    # a run that stopped stays stopped
+    stop = rewards.train(rows, "train", 3, 3, 1, sample, lambda s: {"ppo_kl": float("inf")}, str(tmp_path / "b"), safety=rewards.SafetyConfig(max_ppo_kl=0.7))
+    n = len(sampled)
+    assert stop == "PPO KL" == rewards.train(rows, "train", 3, 3, 1, sample, learn(), str(tmp_path / "b")) and len(sampled) == n

@@ -319,3 +319,25 @@ def test_streams(spark, tmp_path):
     q = incremental.windowed_rates(rows).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("rates").agg(F.max("n")).first()[0] == 3
+
+
+def test_drop_templated_in_place(spark, tmp_path):
+    lines = ['{"a": ["by {resolution_date}"]}', '{"{resolution_date}": 1}', "{broken {resolution_date}", '{"a": 1}', ""]
+    path = tmp_path / "in.jsonl"
+    assert tuple(files.drop_templated_in_place(spark, str(path)).first()) == (0, 0)
+    path.write_text("\n".join(lines))
+    for _ in range(2):  # the second run reads the original again
+        assert tuple(files.drop_templated_in_place(spark, str(path)).first()) == (4, 1)
+        assert [x.value for x in spark.read.text(str(path)).collect()] == lines[1:4]
+        assert (tmp_path / "in.jsonl.bak").read_text() == "\n".join(lines)
+    # a run that died before the end left only the original
+    import shutil
+
+    shutil.rmtree(path)
+    assert tuple(files.drop_templated_in_place(spark, str(path)).first()) == (4, 1) and spark.read.text(str(path)).count() == 3
+
+
+def test_cache_entries_of_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}", json.dumps({"text": f"t{i}", "usage": {"input_tokens": i, "output_tokens": 1}})) for i in range(9)] + [("bad", "{broken")], "key string, body string")
+    assert files.store_cache(rows.repartition(3), str(tmp_path / "c")) == 10
+    assert {(r.key, r.response.text) for r in files.read_cache(spark, str(tmp_path / "c")).collect()} == {(f"k{i}", f"t{i}") for i in range(9)}
