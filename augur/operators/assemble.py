@@ -77,7 +77,12 @@ def checked(questions: DataFrame, contexts: DataFrame, paraphrases: DataFrame, s
 def assemble(questions: DataFrame, contexts: DataFrame, paraphrases: DataFrame, splits: DataFrame, k: int) -> DataFrame:
     """Training rows, one for each kept question and variant with text; indices follow the order
     of variants, and a variant without text leaves a gap."""
-    rows = checked(questions, contexts, paraphrases, splits, k).where("reason = 'ok'")
+    return training_rows(checked(questions, contexts, paraphrases, splits, k))
+
+
+def training_rows(checked_rows: DataFrame) -> DataFrame:
+    """Training rows from the output of ``checked``."""
+    rows = checked_rows.where("reason = 'ok'")
     rows = rows.select("*", F.posexplode("variants").alias("variant_index", "_v")).withColumn("_text", strip(F.coalesce(F.col("_v")["text"], F.lit("")))).where("_text <> ''")
     cols = {c: F.col(c) for c in ("freeze_date", "resolved_at", "source", "background", "resolution_criteria", "base_rate", "news")}
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -85,7 +90,7 @@ def assemble(questions: DataFrame, contexts: DataFrame, paraphrases: DataFrame,
     original = F.coalesce(F.col("_v")["is_original"], F.col("variant_index") == 0)
     return rows.select(
         "id", "variant_index", original.alias("is_original"), "split", F.col("_text").alias("question"), "outcome", "freeze_date", "resolved_at", "source", messages.alias("messages"), "base_rate",
-        F.coalesce("news", F.array().cast(contexts.schema["news_snapshot"].dataType)).alias("news_snapshot"), "categories",
+        F.coalesce("news", F.array().cast(checked_rows.schema["news"].dataType)).alias("news_snapshot"), "categories",
     )
 
 

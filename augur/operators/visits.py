@@ -124,6 +124,10 @@ def deduplicate_in_order(rows: DataFrame, order: list[str], threshold: float = 0
     which the columns ``order`` give; they must tell rows apart. Rows without resolution date stay;
     rows without tokens are similar to none; pairs are of one month or of two that follow
     each other among those that occur."""
-    dated = written(url_arbitration(rows, ranks))
-    gone = losers(dated.where("resolved_at is not null"), order, threshold, window_days, ranks)
-    return dated.join(gone, "id", "left_anti").orderBy("resolved_at", "id")
+    return without_losers(written(url_arbitration(rows, ranks)), order, threshold, window_days, ranks).orderBy("resolved_at", "id")
+
+
+def without_losers(first: DataFrame, order: list[str], threshold: float = 0.7, window_days: int = 14, ranks: dict[str, int] = PRIORITY) -> DataFrame:
+    """The second pass alone: of rows that urls were judged of, those that similar ones leave."""
+    gone = losers(first.where("resolved_at is not null"), order, threshold, window_days, ranks)
+    return first.join(gone, "id", "left_anti")

@@ -1,5 +1,5 @@
 """Queries of whole flows: duplicates in order of visits, links of similar texts, cuts of one
-stratum, paged sources."""
+stratum, paged sources, a broken training run, and runs from files to files."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ import urllib.parse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from augur.operators import dedupe, split, visits
-from augur.plans.catalog import _NORM, _query, _questions, _table
-from augur.sources import paged
+from augur.operators import dedupe, rewards, split, visits
+from augur import flows
+from augur.plans import views as V
+from augur.plans.catalog import _ADV, _NORM, _query, _questions, _rounded, _table
+from augur.sources import files, paged
 from augur.sources.shared import new_path
 
 _TOKENS = f"list_distinct(list_filter(string_split({_NORM.format('text')}, ' '), lambda t: length(t) >= 3))"
@@ -120,3 +122,87 @@ def _(s, d):
 @_query("S7_resumable_stream", _ORDERS)
 def _(s, d):
     return _paged(s, d, "manifold", 1000, "", keyset=True, stream=True)
+
+
+# A training run that was cut in two.
+
+_PICKED = f"""WITH g AS (SELECT id FROM {{C}} WHERE split = 'train' GROUP BY id HAVING count(*) >= 2),
+ picked AS (SELECT step, id FROM (SELECT step, id, row_number() OVER (PARTITION BY step ORDER BY md5(cast(17 + step AS varchar) || '::' || id), id) AS rn FROM g, (SELECT unnest([1, 2, 3]) AS step) s) r WHERE rn <= 60),
+ scored AS (SELECT a.*, step FROM ({_ADV}) a JOIN picked USING (id) WHERE split = 'train')"""
+
+
+def _broken_run(s: SparkSession, d: str) -> str:
+    """Folder of a run of three steps whose trainer was lost in the second one, and which went on."""
+    rows, folder = V.view(s, d, V.COMPLETIONS).withColumnRenamed("completion", "said"), new_path(s, "run")
+
+    def learn(lost: bool):
+        def run(scored: DataFrame | None) -> dict:
+            if lost and scored.first()["step"] == 2:
+                raise ConnectionError("the trainer is gone")
+            return {"ppo_kl": 0.01}
+
+        return run
+
+    sample = lambda b: b.withColumn("completion", F.col("said")).withColumn("stop_reason", F.lit("stop"))
+    for lost in (True, False):
+        try:
+            rewards.train(rows, "train", 3, 60, 17, sample, learn(lost), folder, rewards.RewardConfig(lambda_invariance=0.5), rewards.SafetyConfig(max_ppo_kl=0.5))
+        except ConnectionError:
+            pass
+    return folder
+
+
+@_query("C13_K7_metrics_of_a_broken_run", f"""{_PICKED} SELECT cast(r.step AS int) AS step, round(avg(reward), 9) AS reward_mean, round(count(*) FILTER (parseable) / cast(count(*) AS double), 9) AS reward_parse_rate, round(any_value(z.z), 9) AS frac_reward_zero_std, 1e-2 AS ppo_kl, NULL AS stop
+ FROM scored r JOIN (SELECT step, avg(m) AS z FROM (SELECT step, id, max(cast(zero_std AS int)) AS m FROM scored GROUP BY step, id) y GROUP BY step) z ON r.step = z.step GROUP BY r.step""")
+def _(s, d):
+    rows = s.read.schema("reward_mean double, reward_parse_rate double, frac_reward_zero_std double, ppo_kl string, stop string, step int").json(f"{_broken_run(s, d)}/metrics")
+    return _rounded(rows.withColumn("ppo_kl", rewards.metric("ppo_kl"))).select("step", "reward_mean", "reward_parse_rate", "frac_reward_zero_std", "ppo_kl", F.col("stop").cast("int").alias("stop"))
+
+
+@_query("K6_P17_rollouts_csv", f"{_PICKED} SELECT cast(step AS int) AS step, id, variant_index, outcome, round(prediction, 9) AS prediction, parseable, round(reward, 9) AS reward, round(advantage, 9) AS advantage, 'stop' AS stop_reason, completion, count(*) AS n FROM scored GROUP BY ALL")
+def _(s, d):
+    path = new_path(s, "csv")
+    rewards.export_rollouts(_broken_run(s, d), s, path)
+    rows = s.read.schema("step int, id string, variant_index int, outcome int, prediction double, parseable boolean, reward double, advantage double, stop_reason string, completion string").csv(path, header=True, escape='"', quote='"')
+    return _rounded(rows).groupBy("step", *rewards.ROLLOUT).agg(F.count("*").alias("n"))
+
+
+@_query("X26_metric", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN 25e-1 END AS m FROM events")
+def _(s, d):
+    e = _table(s, d, "events")
+    said = F.when(F.col("event_id") % 4 == 0, F.col("value").cast("string")).when(F.col("event_id") % 4 == 1, "2.5").when(F.col("event_id") % 4 == 2, "NaN").otherwise("much")
+    return e.select("event_id", rewards.metric(said).alias("m"))
+
+
+# From files to files.
+
+@_query("flow_unify", "SELECT source, count(*) AS n, cast(sum(outcome) AS bigint) AS yes FROM {Q} WHERE outcome IS NOT NULL AND resolved_at IS NOT NULL AND freeze_date <= resolved_at GROUP BY source")
+def _(s, d):
+    """Two files of questions and one that is missing, to one pool: the texts differ in a number that
+    counts as a token, and urls are of one source each, so all valid questions stay."""
+    q = _questions(s, d).withColumns({"raw": F.lit(None).cast("string"), "url": F.concat("url", F.lit("&s="), "source"), "question": F.concat(F.lit("Order number"), F.regexp_extract("id", "[0-9]+", 0))})
+    q = q.withColumn("url", F.concat(F.lit("http://host/"), F.md5(F.concat_ws("|", "url", "source"))))
+    paths = [new_path(s, "lines") for _ in range(2)]
+    for i, p in enumerate(paths):
+        files.write_jsonl(q.where(F.pmod(F.xxhash64("id"), F.lit(2)) == i), p)
+    out = new_path(s, "pool")
+    flows.unify(s, [*paths, paths[0] + "-none"], out, new_path(s, "report"))
+    return files.read_questions(s, out)[0].groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("outcome").cast("long")).alias("yes"))
+
+
+@_query("C10_modes", """WITH r AS (SELECT id, variant_index, outcome, CASE WHEN base_rate BETWEEN 0 AND 1 THEN base_rate END AS b, (SELECT avg(outcome) FROM (SELECT id, max_by(outcome, variant_index) AS outcome FROM {P} WHERE split = 'train' GROUP BY id) g) AS t FROM {P} WHERE split = 'test'),
+ m AS (SELECT 'constant' AS mode, id, outcome, 25e-2 AS p FROM r UNION ALL SELECT 'context-base-rate', id, outcome, b FROM r UNION ALL SELECT 'train-base-rate', id, outcome, t FROM r)
+ SELECT mode, id, count(*) AS n_variants, count(p) AS n_parseable, round(avg((p - outcome) * (p - outcome)), 6) AS mean_brier FROM m GROUP BY mode, id""")
+def _(s, d):
+    """Training rows as a file, evaluated in every mode that needs no model; group metrics read back."""
+    path, out = new_path(s, "lines"), None
+    none = F.lit(None).cast
+    rows = V.view(s, d, V.PREDICTIONS).select("id", "variant_index", "split", F.lit("q").alias("question"), "outcome", F.struct(F.col("base_rate").alias("value"), none("int").alias("n_reference_events")).alias("base_rate"))
+    files.write_jsonl(rows, path)
+    for mode in ("constant", "context-base-rate", "train-base-rate"):
+        folder = new_path(s, "evaluation")
+        flows.evaluate(s, path, folder, "test", mode, constant=0.25)
+        back = s.read.csv(f"{folder}/group_metrics", header=True)
+        got = back.select(F.lit(mode).alias("mode"), "id", F.col("n_variants").cast("long").alias("n_variants"), F.col("n_parseable").cast("long").alias("n_parseable"), F.round(F.col("mean_brier").cast("double"), 6).alias("mean_brier"))
+        out = got if out is None else out.unionByName(got)
+    return out

@@ -17,6 +17,11 @@ from augur.sources import files, platforms, schema
 from augur.sources.shared import new_path
 
 
+def _set_of_order() -> Column:
+    """Orders lie in sets of their priority and of a range of keys, so that a set is of bounded size."""
+    return F.floor(F.col("o_orderkey") / 4000)
+
+
 def _iso(c: Column | str) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -53,7 +58,7 @@ def _(s, d):
 @_query("S2_last_line_wins", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def _(s, d):
     path = new_path(s, "lines")
-    files.write_jsonl(_table(s, d, "events").select("user_id", "event_id").repartition(1).sortWithinPartitions("event_id"), path)
+    files.write_jsonl(_table(s, d, "events").select("user_id", "event_id").repartition("user_id").sortWithinPartitions("event_id"), path)
     return assemble.last_row(files.read_rows(s, path, "user_id long, event_id long, missing string", ordered=True), "user_id").select("user_id", "event_id")
 
 
@@ -62,7 +67,7 @@ def _(s, d):
     path = new_path(s, "set")
     o = _table(s, d, "orders").withColumn("copy", F.explode(F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     q = F.struct(F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("q"), "o_orderkey")).alias("id"), F.when(F.col("copy") == 1, "second").otherwise("only").alias("question"), F.col("o_orderpriority").alias("source"))
-    listed = o.groupBy("o_orderpriority").agg(F.array_sort(F.collect_list(F.struct("copy", "o_orderkey", q.alias("q"))))["q"].alias("questions"))
+    listed = o.groupBy("o_orderpriority", _set_of_order()).agg(F.array_sort(F.collect_list(F.struct("copy", "o_orderkey", q.alias("q"))))["q"].alias("questions"))
     listed.select(F.to_json(F.struct("questions"))).write.option("maxRecordsPerFile", 1).text(path)
     return files.read_question_sets(s, path).select("id", "question", "source")
 
@@ -74,7 +79,7 @@ def _(s, d):
     raw = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('{"id": ["a", "b"], "resolved_to": '), F.when(F.col("o_orderstatus") == "F", "1").when(F.col("o_orderstatus") == "O", '"no"').otherwise("true"), F.lit("}")))
     raw = F.coalesce(raw, F.when(F.col("o_orderstatus") == "O", plain), F.concat(F.lit('{"id": "q'), "o_orderkey", F.lit('", "resolved_to": '), F.when(F.col("o_orderstatus") == "F", "1").otherwise("true"), F.lit("}")))
     doc = F.concat(F.lit('{"question_set": "set'), "o_orderpriority", F.lit('", "resolutions": ['), F.array_join(F.collect_list(raw), ","), F.lit("]}"))
-    _table(s, d, "orders").groupBy("o_orderpriority").agg(doc.alias("v")).select("v").write.option("maxRecordsPerFile", 1).text(path)
+    _table(s, d, "orders").groupBy("o_orderpriority", _set_of_order()).agg(doc.alias("v")).select("v").write.option("maxRecordsPerFile", 1).text(path)
     rows = files.read_resolution_sets(s, path)
     return rows.groupBy("set_name", "id", "resolved_to").agg(F.count("*").alias("n"))
 
@@ -89,7 +94,7 @@ def _(s, d):
             ids.select(F.lit("").alias("id"), F.col("id").alias("question_id")).write.csv(path, header=True)
         elif kind == "json":
             both = F.array_agg(F.struct(F.when(F.col("id").cast("long") % 2 == 0, F.col("id")).alias("id"), F.col("id").alias("post_id")))
-            ids.agg(F.to_json(F.struct(both.alias("questions")))).coalesce(1).write.text(path)
+            ids.groupBy(F.floor(F.col("id").cast("long") / 4000)).agg(F.to_json(F.struct(both.alias("questions"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
         elif kind == "jsonl":
             ids.select(F.to_json(F.struct(F.lit("").alias("id"), F.col("id").alias("post_id")))).write.text(path)
         else:
@@ -111,32 +116,28 @@ def _(s, d):
 @_query("S11_training_index", "SELECT id, variant_index, max_by(cast(event_id AS varchar), event_id) AS question FROM {P} GROUP BY id, variant_index")
 def _(s, d):
     path = new_path(s, "lines")
-    rows = _predictions(s, d).repartition(1).sortWithinPartitions("event_id")
+    rows = _predictions(s, d).repartition("id").sortWithinPartitions("event_id")
     files.write_jsonl(rows.select("id", F.when(F.col("variant_index") > 0, F.col("variant_index")).alias("variant_index"), F.col("event_id").cast("string").alias("question")), path)
     return files.read_training_index(s, path).select("id", "variant_index", "question")
 
 
-@_query("S12_read_cache", "SELECT n_name AS text, n_nationkey AS input_tokens FROM nation WHERE n_nationkey % 5 > 0")
+@_query("S12_read_cache", "SELECT s_name AS text, s_nationkey AS input_tokens, count(*) AS n FROM supplier WHERE s_suppkey % 5 > 0 GROUP BY ALL")
 def _(s, d):
     path = new_path(s, "cache")
-    usage = F.struct(F.col("n_nationkey").alias("input_tokens"), F.lit(1).alias("output_tokens"))
-    body = F.to_json(F.struct(F.col("n_name").alias("text"), usage.alias("usage"), F.lit("end").alias("stop_reason")))
-    rows = _table(s, d, "nation").select(F.when(F.col("n_nationkey") % 5 > 0, body).otherwise("{broken").alias("value"))
-    rows.coalesce(1).write.option("maxRecordsPerFile", 1).text(path)
-    folder = s._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(s._jsc.hadoopConfiguration())
-    for f in system.listStatus(folder):
-        name = f.getPath().getName()
-        if name.endswith(".txt"):
-            system.rename(f.getPath(), s._jvm.org.apache.hadoop.fs.Path(folder, name.replace(".txt", ".json")))
-    return files.read_cache(s, path).where("length(key) > 9 and modified is not null").select("response.text", "response.usage.input_tokens")
+    usage = F.struct(F.col("s_nationkey").alias("input_tokens"), F.lit(1).alias("output_tokens"))
+    body = F.to_json(F.struct(F.col("s_name").alias("text"), usage.alias("usage"), F.lit("end").alias("stop_reason")))
+    rows = _table(s, d, "supplier").select(F.concat(F.lit("key-"), "s_suppkey").alias("key"), F.when(F.col("s_suppkey") % 5 > 0, body).otherwise("{broken").alias("body"))
+    files.store_cache(rows, path)
+    kept = files.read_cache(s, path).where("key like 'key-%' and modified is not null")
+    return kept.groupBy("response.text", F.col("response.usage.input_tokens").cast("int").alias("input_tokens")).agg(F.count("*").alias("n"))
 
 
 @_query("S13_count_lines", "SELECT count(*) AS n, 0 AS missing FROM orders")
 def _(s, d):
     path = new_path(s, "lines")
     _table(s, d, "orders").select(F.explode(F.array(F.lit(" \t"), F.col("o_orderkey").cast("string")))).write.text(path)
-    return s.createDataFrame([(files.count_lines(s, path), files.count_lines(s, path + "-none"))], "n long, missing int")
+    there = F.col("path") == path
+    return files.line_counts(s, [path, path + "-none"]).agg(F.sum(F.when(there, F.col("n"))).alias("n"), F.sum(F.when(~there, F.col("n"))).cast("int").alias("missing"))
 
 
 @_query("K3_append_new", "SELECT 'added' AS what, count(*) AS n FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT 'all', count(*) FROM orders")
@@ -144,9 +145,9 @@ def _(s, d):
     path, fields = new_path(s, "lines"), "o_orderkey long, o_orderstatus string"
     o = _table(s, d, "orders").select("o_orderkey", "o_orderstatus")
     files.append_new(o.where("o_orderkey % 3 = 0"), path, "o_orderkey", fields)
-    added = o.join(s.read.schema(fields).json(path), "o_orderkey", "left_anti").count()
-    files.append_new(o, path, "o_orderkey", fields)
-    return s.createDataFrame([("added", added), ("all", s.read.schema(fields).json(path).dropDuplicates(["o_orderkey"]).count())], "what string, n long")
+    added = files.append_new(o, path, "o_orderkey", fields)
+    n = F.count("*").alias("n")
+    return added.agg(F.lit("added").alias("what"), n).unionByName(s.read.schema(fields).json(path).agg(F.lit("all").alias("what"), n))
 
 
 @_query("K8_report_json", """SELECT '{' || chr(10) || '  "a" : null,' || chr(10) || '  "n" : ' || count(*) || chr(10) || '}' AS value FROM orders""")
@@ -162,6 +163,32 @@ def _(s, d):
     return files.drop_templated(s, path, new_path(s, "lines"))
 
 
+@_query("K10_in_place", """SELECT CASE WHEN o_orderkey % 4 = 0 THEN '{"{resolution_date}": 1, "k": ' || o_orderkey || '}' WHEN o_orderkey % 4 = 2 THEN '{broken {forecast_due_date} ' || o_orderkey ELSE '{"x": "{other}", "k": ' || o_orderkey || '}' END AS value, count(*) AS n FROM orders WHERE o_orderkey % 4 <> 1 GROUP BY 1""")
+def _(s, d):
+    """Filtered twice: the second run reads the backup and leaves the same lines."""
+    path, k = new_path(s, "lines"), F.col("o_orderkey")
+    own = lambda a, b: F.concat(F.lit(a), k.cast("string"), F.lit(b))
+    value = F.when(k % 4 == 0, own('{"{resolution_date}": 1, "k": ', "}")).when(k % 4 == 1, own('{"x": [{"y": "until {resolution_date}"}], "k": ', "}")).when(k % 4 == 2, own("{broken {forecast_due_date} ", "")).otherwise(own('{"x": "{other}", "k": ', "}"))
+    _table(s, d, "orders").select(value).write.text(path)
+    for _ in range(2):
+        files.drop_templated_in_place(s, path)
+    return s.read.text(path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@_query("K5_csv_columns", "SELECT 'all' AS what, 'event_id,user_id,value' AS columns, count(*) AS n FROM events UNION ALL SELECT 'none', 'event_id,user_id,value', count(*) FROM events WHERE event_id < 0")
+def _(s, d):
+    """Columns come from the data, also where no row is left."""
+    e = _table(s, d, "events").select("event_id", "user_id", "value")
+    out = None
+    for what, rows in (("all", e), ("none", e.where("event_id < 0"))):
+        path = new_path(s, "csv")
+        files.write_csv(rows, path)
+        back = s.read.csv(path, header=True)
+        got = back.agg(F.lit(what).alias("what"), F.lit(",".join(back.columns)).alias("columns"), F.count("*").alias("n"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @_query("U1_read_present", "SELECT source, count(*) * 2 AS n FROM {Q} WHERE " + _VALID + " GROUP BY source")
 def _(s, d):
     one = _question_lines(s, d)
@@ -388,3 +415,42 @@ def _(s, d):
     m = F.filter("messages", lambda x: x["content"].isNotNull())
     rows = _messages(s, d).select(F.col("conv_id").cast("string").alias("id"), F.lit(0).alias("variant_index"), F.lit("test").alias("split"), F.lit(1).alias("outcome"), F.lit("q").alias("question"), m.alias("messages")).where(X.usable_messages(F.col("messages")).isNotNull())
     return generate.predictions(rows, Says()).select("id", "prediction", "parseable", "completion")
+
+
+class OutOfRange:
+    """Contexts whose base rate is no probability, or no number, in two of three cases."""
+
+    def complete(self, system: str, user: str) -> tuple[str, int, int]:
+        key = int(user.split("#")[1].split("#")[0])
+        value = (0.25, 1 + key / 100, "likely")[key % 3]
+        return json.dumps({"base_rate": {"value": value, "n_reference_events": "4"}, "news_snapshot": []}), 1, 1
+
+
+@_query("F14_base_rate_range", """SELECT 'o::' || cast(o_orderkey AS varchar) AS question_id, CASE o_orderkey % 3 WHEN 0 THEN 25e-2 WHEN 1 THEN CASE WHEN o_orderkey = 0 THEN 1e0 END END AS value,
+  CASE o_orderkey % 3 WHEN 1 THEN 'base_rate.value outside [0, 1]' WHEN 2 THEN 'base_rate is not numeric' END AS error FROM orders""")
+def _(s, d):
+    q = _table(s, d, "orders").select(F.concat(F.lit("o::"), "o_orderkey").alias("id"), F.concat(F.lit("Ask #"), "o_orderkey", F.lit("#?")).alias("question"), F.to_date("o_orderdate").alias("freeze_date"), F.lit("").alias("background"), F.lit("").alias("resolution_criteria"))
+    return generate.contexts(q, OutOfRange(), "m").select("question_id", F.col("base_rate")["value"].alias("value"), "error")
+
+
+class RewordsBadly:
+    """Six rewordings that lose the number and one that is fine twice; then as many as were named
+    as rejected, and a good one that says how many."""
+
+    def complete(self, system: str, user: str) -> tuple[str, int, int]:
+        key = int(user.split("#")[1].split(" ")[0])
+        if "Rejected:" in user:
+            named = user.split("Rejected:")[1].count("  - ")
+            return json.dumps([f"Could order #{key} ship{'!' * named}"]), 1, 1
+        return json.dumps([f"Does it ship, case {'abcdef'[i]}?" for i in range(6)] + [f"Does order #{key} ship?"] * 2), 1, 1
+
+
+@_query("T7_U6_rejected_samples", """SELECT 'o::' || cast(o_orderkey AS varchar) AS question_id, 'Will order #' || o_orderkey || ' ship?|Does order #' || o_orderkey || ' ship?|Could order #' || o_orderkey || ' ship!!!!!' AS texts,
+  cast(6 AS int) AS rejected, 'Does it ship, case a?|Does it ship, case b?|Does it ship, case c?|Does it ship, case d?|Does it ship, case e?' AS samples, cast(2 AS int) AS rounds FROM orders""")
+def _(s, d):
+    """Equal candidates count once; the second request names the last five that were rejected, the
+    result keeps the first five."""
+    q = _table(s, d, "orders").select(F.concat(F.lit("o::"), "o_orderkey").alias("id"), F.concat(F.lit("Will order #"), "o_orderkey", F.lit(" ship?")).alias("question"))
+    got = generate.paraphrases(q, RewordsBadly(), k=3)
+    first = F.transform("rejected_samples", lambda x: x[0])
+    return got.select("question_id", F.array_join("paraphrases.text", "|").alias("texts"), F.col("rejected_count").alias("rejected"), F.array_join(first, "|").alias("samples"), "rounds")

@@ -8,17 +8,22 @@ from pyspark.sql import types as T
 
 from augur.functions.text import strip
 from augur.sources import schema as S
+from augur.sources.shared import qualified, written
+from augur.sources.shared_files import write_bytes
 
 CORRUPT = "_corrupt_record"
 
 
-def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_questions(spark: SparkSession, path: str | list[str], ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """Canonical questions from line JSON: valid rows, and rejected ones with a reason
-    (``json`` for lines that are none, ``unknown_column`` for fields outside the schema)."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
+    (``json`` for lines that are none, ``unknown_column`` for fields outside the schema).
+    ``ordered`` adds _file and _row, by which later lines follow earlier ones of a file."""
+    place = [F.col("_metadata.file_path").alias("_file"), line_order().alias("_row")] if ordered else []
+    lines = spark.read.text(path).select("value", *place).where(F.col("value").rlike(r"\S"))
     ddl = T.StructType([*S.QUESTION.fields[:3], T.StructField("freeze_date", T.StringType()), T.StructField("resolved_at", T.StringType()), *S.QUESTION.fields[5:], T.StructField(CORRUPT, T.StringType())])
     row = F.from_json("value", ddl, {"columnNameOfCorruptRecord": CORRUPT})
-    df = lines.select("value", row.alias("r"), F.json_object_keys("value").alias("k")).select("value", "k", "r.*")
+    at = ["_file", "_row"] if ordered else []
+    df = lines.select("value", *at, row.alias("r"), F.json_object_keys("value").alias("k")).select("value", *at, "k", "r.*")
     from augur.functions.dates import is_iso_date
 
     for c in ("freeze_date", "resolved_at"):
@@ -26,7 +31,7 @@ def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     known = F.array(*[F.lit(f.name) for f in S.QUESTION.fields])
     reason = F.when(F.col(CORRUPT).isNotNull() | F.col("k").isNull(), "json").when(F.size(F.array_except("k", known)) > 0, "unknown_column").otherwise(S.reject_reason())
     df = df.withColumn("categories", F.coalesce("categories", F.array().cast("array<string>"))).withColumn("reject_reason", reason).drop("k", CORRUPT)
-    good = df.where("reject_reason is null").select(*S.QUESTION.names)
+    good = df.where("reject_reason is null").select(*S.QUESTION.names, *at)
     return good, df.where("reject_reason is not null").select("value", "reject_reason")
 
 
@@ -42,16 +47,30 @@ def read_rows(spark: SparkSession, path: str, schema: str, ordered: bool = False
     return rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", line_order()) if ordered else rows
 
 
-def read_present(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+def read_present(spark: SparkSession, paths: list[str], ordered: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
     """Questions of all files that are there, as valid and rejected rows, and the paths that are
-    missing."""
+    missing, in one scan however many there are; a path that is listed twice is read twice.
+    ``ordered`` adds _input, _file and _row: the first place of the path in the list, its file,
+    and the line in it."""
     there = [p for p in paths if exists(spark, p)]
-    good = spark.createDataFrame([], S.QUESTION)
-    bad = spark.createDataFrame([], "value string, reject_reason string")
-    for path in there:
-        a, b = read_questions(spark, path)
-        good, bad = good.unionByName(a), bad.unionByName(b)
-    return good, bad, [p for p in paths if p not in there]
+    missing = [p for p in paths if p not in there]
+    if not there:
+        at = "_input int, _file string, _row struct<part: long, n: long>" if ordered else ""
+        empty = T.StructType([*S.QUESTION.fields, *(T.StructType.fromDDL(at).fields if at else [])])
+        return spark.createDataFrame([], empty), spark.createDataFrame([], "value string, reject_reason string"), missing
+    good, bad = read_questions(spark, there, ordered)
+    if ordered:
+        starts = F.array(*(F.lit(scheme_free(qualified(spark, p))) for p in there))
+        path = F.regexp_replace("_file", "^[a-z0-9]+:/+", "/")
+        good = good.withColumn("_input", F.array_position(F.transform(starts, lambda p: (path == p) | path.startswith(F.concat(p, F.lit("/")))), True).cast("int"))
+    return good, bad, missing
+
+
+def scheme_free(address: str) -> str:
+    """An address without its file system."""
+    import re
+
+    return re.sub("^[a-z0-9]+:/+", "/", address)
 
 
 def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -125,6 +144,14 @@ def count_lines(spark: SparkSession, path: str) -> int:
         raise
 
 
+def line_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, n): lines that are not blank; 0 where there is no file."""
+    out = spark.createDataFrame([(p, 0) for p in paths], "path string, n long")
+    for p in (p for p in paths if exists(spark, p)):
+        out = out.unionByName(spark.read.text(p).where(F.col("value").rlike(r"\S")).agg(F.lit(p).alias("path"), F.count("*").alias("n")))
+    return out.groupBy("path").agg(F.sum("n").alias("n"))
+
+
 def read_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Cached responses of a folder of JSON files: key, response, modified; files that hold no
     JSON object are left out."""
@@ -139,9 +166,6 @@ def read_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 def store_cache(rows: DataFrame, folder: str) -> int:
     """Puts responses (key, body: JSON) into a folder of JSON files, each task its own, and counts them."""
-    from augur.sources.shared import qualified
-    from augur.sources.shared_files import write_bytes
-
     root = qualified(rows.sparkSession, folder)
 
     def run(batches):
@@ -175,6 +199,7 @@ def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, mode: s
 def append_new(df: DataFrame, path: str, key: str, schema: str) -> DataFrame:
     """Appends the rows whose key is not in ``path`` yet, and returns them."""
     new = not_done(df, df.sparkSession.read.schema(schema).json(path), key, key) if exists(df.sparkSession, path) else df
+    new = written(new)  # else it would be compared with what it has added
     append_jsonl(new, path)
     return new
 
