@@ -9,40 +9,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augur.functions.text import normalize_text, token_set
 from augur.sources.shared import written
 
 #: Tokens with more than this share of all, of which there are at most so many, are broadcast.
 HOT = 20_000
+#: Bytes under which a dictionary of tokens is broadcast whole.
+BROADCAST = 64 << 20
+#: Bytes of a row group of intermediate tables, so that tables of few files are read by many tasks.
+GROUP = 4 << 20
 #: Prefix tokens under which more sets than this meet are split by a second shared token.
 CROWD = 2_000
 
 
+def tokens_of(text: Column, min_len: int) -> Column:
+    """The set of tokens of the normalised text, in order: what stands between signs that are neither
+    letters, numbers nor underscores. One pass over the text, as blanks are such signs too."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= min_len)))
+
+
 def token_sets(rows: DataFrame, text: str, min_len: int, columns: list[Column]) -> tuple[DataFrame, DataFrame]:
     """Rows with the key of their token set, without texts, and the distinct sets (key, toks);
-    both are written, so texts are cut once. Rows without tokens are left out."""
-    toks = F.array_sort(token_set(normalize_text(F.col(text)), min_len))
-    all_rows = written(rows.select(*columns, toks.alias("toks")))
-    keyed = all_rows.where(F.size("toks") > 0).withColumn("key", F.unhex(F.sha2(F.array_join("toks", " "), 256)))
-    return keyed.drop("toks"), written(keyed.groupBy("key").agg(F.first("toks").alias("toks")))
+    texts are cut once and written. Rows without tokens are left out."""
+    toks = tokens_of(F.col(text), min_len)
+    key = F.unhex(F.sha2(F.array_join("toks", " "), 256))
+    all_rows = written(rows.select(*columns, toks.alias("toks")).withColumn("key", key), GROUP).where(F.size("toks") > 0)
+    return all_rows.drop("toks"), written(all_rows.groupBy("key").agg(F.first("toks").alias("toks")), GROUP)
 
 
 def ranked_sets(sets: DataFrame) -> DataFrame:
     """(key, s, n): sets as sorted arrays of ranks. Rarer tokens have lower ranks; those of one set
     alone have negative ones, as nothing is found by them. Ranks are places in a range
-    partition, so no task numbers all tokens; the most frequent tokens are broadcast, so that no
-    task gets all rows of one."""
+    partition, so no task numbers all tokens. A small dictionary is broadcast whole; of a larger
+    one the most frequent tokens are, so that no task gets all rows of one."""
     words = sets.select("key", F.explode("toks").alias("tok"))
     counts = words.groupBy("tok").agg(F.count("*").alias("df"))
     place = F.monotonically_increasing_id()
-    ranks = written(counts.repartitionByRange("df", "tok").sortWithinPartitions("df", "tok").select("tok", "df", F.when(F.col("df") == 1, -1 - place).otherwise(place).alias("rank")))
-    total = ranks.agg(F.sum("df")).first()[0] or 0
-    often = F.col("df") > max(CROWD, total / HOT)
-    hot = F.broadcast(ranks.where(often).select("tok", F.col("rank").alias("hot")))
-    met = words.join(hot, "tok", "left")
-    rest = met.where("hot is null").select("key", "tok").join(ranks.where(~often).select("tok", "rank"), "tok").select("key", "rank")
-    both = rest.unionByName(met.where("hot is not null").select("key", F.col("hot").alias("rank")))
-    return written(both.groupBy("key").agg(F.array_sort(F.collect_list("rank")).alias("s")).withColumn("n", F.size("s")))
+    ranks = written(counts.repartitionByRange("df", "tok").sortWithinPartitions("df", "tok").select("tok", "df", F.when(F.col("df") == 1, -1 - place).otherwise(place).alias("rank")), GROUP)
+    size = ranks.agg(F.sum("df").alias("total"), F.sum(F.length("tok") + 40).alias("bytes")).first()
+    if (size["bytes"] or 0) < BROADCAST:
+        both = words.join(F.broadcast(ranks.select("tok", "rank")), "tok").select("key", "rank")
+    else:
+        often = F.col("df") > max(CROWD, size["total"] / HOT)
+        hot = F.broadcast(ranks.where(often).select("tok", F.col("rank").alias("hot")))
+        met = words.join(hot, "tok", "left")
+        rest = met.where("hot is null").select("key", "tok").join(ranks.where(~often).select("tok", "rank"), "tok").select("key", "rank")
+        both = rest.unionByName(met.where("hot is not null").select("key", F.col("hot").alias("rank")))
+    return written(both.groupBy("key").agg(F.array_sort(F.collect_list("rank")).alias("s")).withColumn("n", F.size("s")), GROUP)
 
 
 def candidates(ranked: DataFrame, threshold: float) -> DataFrame:
