@@ -209,6 +209,13 @@ def score(docs: DataFrame, machine: Machine | None, text: str = "text", doc_id:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """Learns from labels of rows whose crc32(doc_id) mod 4 is not 2 and scores every row."""
+    """doc_id, held_out, score, predicted of every row; learns from labels of rows whose
+    crc32(doc_id) mod 4 is not 2.
+
+    Null texts are empty ones, which are scored too; null labels, and labels of ids that have no
+    document, teach nothing; repeated ids and rows are scored again, while an id teaches once,
+    by the larger of its labels; a null id counts as the empty text in the crc. Without a
+    labelled document every score is 0.5. A score of exactly the threshold is a 1. Further columns are not read,
+    but for n_chars; an empty table gives no rows."""
     machine = fit(docs, labels.where(crc_mod(doc_id, 4) != 2), text, doc_id, label)
     return score(docs, machine, text, doc_id).withColumn("held_out", crc_mod("doc_id", 4) == 2).select("doc_id", "held_out", "score", "predicted")

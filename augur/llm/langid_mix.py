@@ -231,6 +231,12 @@ def keep_known(docs: DataFrame, model: Mixture, text: str = "text") -> DataFrame
 
 
 def predict_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """Learns from rows whose crc32(doc_id) mod 3 is not 1 and predicts every row."""
+    """doc_id, held_out, lang_pred, score, gain, languages of every row; learns from rows whose
+    crc32(doc_id) mod 3 is not 1.
+
+    Null texts and texts without a letter are ``und`` with score 0; rows without text or lang teach
+    nothing; repeated ids and rows are judged again; a null id counts as the empty text in
+    the crc. Of languages of equal share the first by name is predicted. Without a learned
+    language every row is ``und``. Further columns are not read; an empty table gives no rows."""
     model = fit(docs.where(crc_mod(doc_id, 3) != 1), text, lang)
     return identify(docs, model, text, doc_id).withColumn("held_out", crc_mod("doc_id", 3) == 1)

@@ -137,6 +137,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", page_id: st
     listed with both actions. Without a rule the verdict is ``default``: the cascades say
     that no key of the url is listed. Null urls have empty host and path; equal rows are
     judged alike; rules without host and nulls in rules are ignored; other columns are not read.
+    Urls' hosts are lower-cased within A-Z, rules' hosts in all scripts, so a rule should be
+    given with the other letters as urls have them.
     Rules that need filters of more than 2 ** ``most`` bits are found by a join instead.
     """
     rules = rules.where("action in ('allow', 'block') and host <> '' and path is not null").select("action", F.lower("host").alias("host"), "path")
