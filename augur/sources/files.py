@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from augur.functions.text import strip
 from augur.sources import schema as S
+from augur.sources.json_parts import document_keys, read_array
 from augur.sources.shared import qualified, written
 from augur.sources.shared_files import write_bytes
 
@@ -79,25 +80,32 @@ def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def _document(column: str = "file") -> Column:
+    """The name of a document's file."""
+    return F.element_at(F.split(F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B"))), "/"), -1)
+
+
 def read_question_sets(spark: SparkSession, pattern: str) -> DataFrame:
     """Question-set documents, one row a question: set_name and the question's fields; of equal
-    ids in a set the last stays, entries that are no objects or lack an id go."""
+    ids in a set the last stays, entries that are no objects or lack an id go. A large
+    document is read by many tasks."""
     fields = (
         "id string, source string, question string, background string, resolution_criteria string, freeze_datetime string, url string, "
         "freeze_datetime_value string, market_info_open_datetime string, market_info_close_datetime string, market_info_resolution_criteria string"
     )
-    doc = spark.read.text(pattern, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("set_name"), F.from_json("value", "questions array<string>").alias("d"))
-    rows = doc.select("set_name", F.posexplode("d.questions").alias("pos", "q")).select("set_name", "pos", F.from_json("q", fields).alias("q")).select("set_name", "pos", "q.*")
+    found = read_array(spark, pattern, "questions")
+    rows = found.select(_document().alias("set_name"), F.struct("part", "n").alias("pos"), F.from_json("value", fields).alias("q")).select("set_name", "pos", "q.*")
     return last_by(rows.where("id <> ''"), ["set_name", "id"], ["pos"]).drop("pos")
 
 
 def read_resolution_sets(spark: SparkSession, pattern: str) -> DataFrame:
-    """Resolution-set documents, one row a resolution: snapshot (file name), set_name, pos and
-    fields. Fields of changing type arrive as text, a list as its JSON."""
+    """Resolution-set documents, one row a resolution: snapshot (file name), set_name, pos (place
+    in the document) and fields. Fields of changing type arrive as text, a list as its JSON. A large
+    document is read by many tasks."""
     fields = "id string, source string, resolution_date string, resolved_to string, resolved string"
-    doc = spark.read.text(pattern, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1).alias("snapshot"), F.from_json("value", "question_set string, resolutions array<string>").alias("d"))
-    rows = doc.select("snapshot", F.col("d.question_set").alias("set_name"), F.posexplode("d.resolutions").alias("pos", "r"))
-    return rows.select("snapshot", "set_name", "pos", F.from_json("r", fields).alias("r")).select("snapshot", "set_name", "pos", "r.*")
+    names = document_keys(spark, pattern).where("key = 'question_set'").groupBy("file").agg(F.max_by(F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"], F.struct("part", "n")).alias("set_name"))
+    rows = read_array(spark, pattern, "resolutions").join(names, "file", "left").withColumn("pos", F.struct("part", "n"))
+    return rows.select(_document().alias("snapshot"), "set_name", "pos", F.from_json("value", fields).alias("r")).select("snapshot", "set_name", "pos", "r.*")
 
 
 def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -117,9 +125,8 @@ def read_drop_in_ids(spark: SparkSession, path: str, kind: str | None = None) ->
     ``questions``), jsonl, csv (the first filled of four columns) or lines of text."""
     kind = kind or path.rsplit(".", 1)[-1].lower()
     if kind == "json":
-        doc = spark.read.text(path, wholetext=True)
-        listed = F.coalesce(F.from_json("value", "array<string>"), F.from_json("value", "questions array<string>")["questions"])
-        rows = doc.select(F.explode(listed).alias("v"))
+        # Texts arrive in quotes, objects and numbers as they are.
+        rows = read_array(spark, path, "questions").select(F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"].alias("v"))
         obj = F.from_json("v", "id string, post_id string")
         ids = F.when(F.col("v").startswith("{"), F.coalesce(F.nullif(obj["id"], F.lit("")), obj["post_id"])).otherwise(F.col("v"))
     elif kind == "jsonl":

@@ -341,3 +341,56 @@ def test_cache_entries_of_tasks(spark, tmp_path):
     rows = spark.createDataFrame([(f"k{i}", json.dumps({"text": f"t{i}", "usage": {"input_tokens": i, "output_tokens": 1}})) for i in range(9)] + [("bad", "{broken")], "key string, body string")
     assert files.store_cache(rows.repartition(3), str(tmp_path / "c")) == 10
     assert {(r.key, r.response.text) for r in files.read_cache(spark, str(tmp_path / "c")).collect()} == {(f"k{i}", f"t{i}") for i in range(9)}
+
+
+def odd_json(rng, depth=0):
+    """A random JSON value with strings full of structure, quotes and backslashes."""
+    kind = rng.randrange(7 if depth < 4 else 4)
+    if kind < 2:
+        return "".join(rng.choice(['"', "\\", "[", "]", "{", "}", ",", ":", "a", "é", " ", "\n", "questions"]) for _ in range(rng.randrange(9)))
+    if kind == 2:
+        return rng.choice([None, True, -1.5e3, 7])
+    if kind == 3:
+        return rng.choice([[], {}, ""])
+    if kind < 6:
+        return {f'k"{i}\\' if rng.random() < 0.5 else "questions": odd_json(rng, depth + 1) for i in range(rng.randrange(4))}
+    return [odd_json(rng, depth + 1) for _ in range(rng.randrange(4))]
+
+
+def test_arrays_of_cut_documents(spark, tmp_path):
+    """Cut at every few bytes, a document has the elements that it has as a whole."""
+    import random
+
+    from augur.sources import json_parts
+
+    rng, want, heads = random.Random(8), {}, {}
+    for i in range(12):
+        items = [odd_json(rng) for _ in range(rng.randrange(12))]
+        doc = items if i % 3 == 0 else {'odd"\\': odd_json(rng), "set": f'n"{i}', "other": [odd_json(rng) for _ in range(3)], "questions": items, "more": {"questions": [1, 2]}, "last": [[3]]}
+        text = json.dumps(doc, ensure_ascii=i % 2 == 0, indent=None if i % 4 else 2)
+        (tmp_path / f"{i}.json").write_text(text)
+        want[f"{i}.json"] = items
+        heads[f"{i}.json"] = {} if isinstance(doc, list) else {k: None if isinstance(v, list | dict) else v for k, v in doc.items()}
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "text.json").write_text('"questions"')
+    for size in (7, 61, 1 << 20):
+        rows = json_parts.read_array(spark, f"{tmp_path}/*.json", "questions", size).collect()
+        got = {f: [json.loads(r.value) for r in sorted((r for r in rows if r.file.endswith("/" + f)), key=lambda r: (r.part, r.n))] for f in want}
+        assert got == want and len(rows) == sum(map(len, want.values()))
+        keys = json_parts.document_keys(spark, f"{tmp_path}/*.json", size).collect()
+        for f, head in heads.items():
+            assert {r.key: None if r.value is None else json.loads(r.value) for r in keys if r.file.endswith("/" + f)} == head
+    assert json_parts.read_array(spark, f"{tmp_path}/none*.json", "questions").count() == 0
+
+
+def test_a_large_document_is_read_by_many_tasks(spark, tmp_path):
+    from augur.sources import json_parts
+
+    with open(tmp_path / "big.json", "w") as f:
+        f.write('{"question_set": "s", "questions": [')
+        f.write(",".join(json.dumps({"id": i, "question": "x, [\"" * 40}) for i in range(60_000)))
+        f.write("]}")
+    rows = json_parts.read_array(spark, str(tmp_path / "big.json"), "questions", 1 << 20)
+    n = rows.groupBy("part").count().collect()
+    assert len(n) >= 16 and sum(r["count"] for r in n) == 60_000 and max(r["count"] for r in n) < 6_000
+    assert rows.select(F.get_json_object("value", "$.id").alias("id")).distinct().count() == 60_000
