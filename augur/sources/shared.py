@@ -14,9 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 _made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, as tasks need it that don't know Spark's default one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, else the context's checkpoint folder. Where
-    neither is set a session on one machine gets a temporary folder; a cluster is refused."""
+    """``spark.checkpoint.dir`` of the session, else the context's checkpoint folder, with its file
+    system, so that tasks and driver mean the same. Where neither is set a session on one machine
+    gets a temporary folder; a cluster is refused."""
     sc = spark.sparkContext
     context = sc._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -26,13 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not context.getCheckpointDir().isDefined():
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="augur-"))
-    return found or context.getCheckpointDir().get()
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """``path`` with its file system, as tasks need it that don't know Spark's default one."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return qualified(spark, found or context.getCheckpointDir().get())
 
 
 def new_path(spark: SparkSession, kind: str = "table") -> str:

@@ -394,3 +394,20 @@ def test_a_large_document_is_read_by_many_tasks(spark, tmp_path):
     n = rows.groupBy("part").count().collect()
     assert len(n) >= 16 and sum(r["count"] for r in n) == 60_000 and max(r["count"] for r in n) < 6_000
     assert rows.select(F.get_json_object("value", "$.id").alias("id")).distinct().count() == 60_000
+
+
+def test_intermediate_tables_belong_to_calls(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from augur.sources import shared
+
+    assert shared.shared_dir(spark).startswith("file:")
+    kept = shared.written(spark.range(3))
+    with shared.own_tables(spark) as outer:
+        mine = shared.written(spark.range(4))
+        with shared.own_tables(spark) as inner, ThreadPoolExecutor(1) as pool:
+            other = pool.submit(lambda: shared.written(spark.range(5))).result()
+            shared.written(spark.range(6))
+            assert len(inner) == 1
+        assert len(outer) == 1 and mine.count() == 4 and not files.exists(spark, inner[0])
+    assert not files.exists(spark, outer[0]) and kept.count() == 3 and other.count() == 5
