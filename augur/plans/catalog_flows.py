@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from augur.operators import dedupe, rewards, split, visits
 from augur import flows
+from augur.functions.text import has_punctuation_loop
 from augur.plans import views as V
 from augur.plans.catalog import _ADV, _NORM, _query, _questions, _rounded, _table
 from augur.sources import files, paged
@@ -53,6 +54,26 @@ def _(s, d):
     return visits.deduplicate_in_order(_in_order(s, d), ["doc_id"]).select("id", "source")
 
 
+_STATS = f"""{_IN_ORDER[:_IN_ORDER.index(" placed AS")].replace("WITH RECURSIVE", "WITH").rstrip().rstrip(",")},
+ e AS (SELECT id, source, day, rank, bg, len(ts) AS n, unnest(ts) AS tok FROM kept),
+ c AS (SELECT a.id AS x, any_value((b.rank, -b.bg, b.id) < (a.rank, -a.bg, a.id)) AS better, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.tok = b.tok AND a.source <> b.source AND abs(a.day - b.day) <= 14 GROUP BY a.id, b.id),
+ lost AS (SELECT DISTINCT x FROM c WHERE better AND k / cast(na + nb - k AS double) >= 7e-1)
+ SELECT (SELECT count(*) FROM q0) AS input, (SELECT count(*) FROM q0) - (SELECT count(*) FROM kept) AS url_duplicates_dropped, (SELECT count(*) FROM lost) AS text_duplicates_dropped, (SELECT count(*) FROM kept) - (SELECT count(*) FROM lost) AS kept"""
+
+
+@_query("A12_dedupe_stats_with_urls", _STATS)
+def _(s, d):
+    return dedupe.dedupe_stats(_in_order(s, d))
+
+
+@_query("X21_punctuation_loops", "SELECT event_id, event_id % 2 = 1 AS looping FROM events")
+def _(s, d):
+    """Each of the eleven signs, fifteen times and sixteen times in a row."""
+    sign = F.substring(F.lit("!?.;,:-_=*#"), (F.col("event_id") % 11 + 1).cast("int"), F.lit(1))
+    said = F.concat(F.lit("so "), F.repeat(sign, (15 + F.col("event_id") % 2).cast("int")), F.lit(" it ends"))
+    return _table(s, d, "events").select("event_id", has_punctuation_loop(said).alias("looping"))
+
+
 @_query("J6_fuzzy_links", f"""WITH t AS (SELECT doc_id, lang, source, list_sort({_TOKENS}) AS ts FROM documents), k AS (SELECT *, CASE WHEN len(ts) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY ts) END AS class_id FROM t),
  e AS (SELECT doc_id, lang, source, len(ts) AS n, unnest(ts) AS tok FROM t), c AS (SELECT a.doc_id AS x, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.tok = b.tok AND a.lang = b.lang AND a.source <> b.source GROUP BY a.doc_id, b.doc_id)
  SELECT doc_id AS id, class_id, count(x) AS n_links FROM k LEFT JOIN (SELECT x FROM c WHERE k / cast(na + nb - k AS double) >= 7e-1) l ON x = doc_id GROUP BY doc_id, class_id""")
