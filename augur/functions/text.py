@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,42 +115,32 @@ def fmt_cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out:
     return F.format_string("$%.2f", tokens_in / 1e6 * price_in + tokens_out / 1e6 * price_out)
 
 
-#: Signs of structure, strings and other scalars of JSON.
-JSON_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^\s\[\]{},:"]++'
-_STACK = "array<struct<kind: string, path: string, live: boolean, key: string, n: int>>"
+def flatten_richtext_py(node: object) -> str:
+    """Text of a rich-text tree, depth first over ``text``, ``content`` and ``children``."""
+    stack, found = [node], []
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            found.append(x)
+        elif isinstance(x, list):
+            stack.extend(reversed(x))
+        elif isinstance(x, dict):
+            stack.extend(x[k] for k in ("children", "content") if k in x)
+            if isinstance(x.get("text"), str):
+                stack.append(x["text"])
+    return " ".join(t for t in found if t)
 
 
 def flatten_richtext(tree_json: Column) -> Column:
-    """The texts of a rich-text tree as JSON, depth first, joined by blanks: an object's ``text``, then
-    what is in its ``content``, then in its ``children``, whatever their order; lists in order; texts
-    in lists and in place of those two count as well. Null for what is no JSON.
-
-    One fold over the tokens, with the open objects and lists as a stack, so that any depth is read
-    without leaving the JVM. A text's path (0, 1, 2 for the three keys, places in lists) is its
-    place in the order. Of a key that occurs twice in an object both are read."""
-
-    def step(acc: Column, t: Column) -> Column:
-        stack, c = acc["stack"], F.substring(t, 1, 1)
-        top, n = F.try_element_at(stack, F.lit(-1)), F.size(stack)
-        below = F.slice(stack, F.lit(1), F.greatest(n - 1, F.lit(0)))
-        in_list = top["kind"] == "["
-        # Where a value stands here, and whether texts in it count.
-        path = F.when(n == 0, "").when(in_list, F.concat(top["path"], F.lpad(top["n"].cast("string"), 9, "0"))).otherwise(F.concat(top["path"], F.when(top["key"] == "text", "0").when(top["key"] == "content", "1").otherwise("2")))
-        deeper = F.when(n == 0, True).when(in_list, top["live"]).otherwise(top["live"] & F.coalesce(top["key"].isin("content", "children"), F.lit(False)))
-        counts = deeper | F.coalesce((top["kind"] == "{") & top["live"] & (top["key"] == "text"), F.lit(False))
-        said = F.from_json(F.concat(F.lit('{"v":'), t, F.lit("}")), "v string")["v"]
-        is_key = (c == '"') & F.coalesce((top["kind"] == "{") & top["key"].isNull(), F.lit(False))
-        entry = lambda kind, path, live, key, k: F.array(F.struct(kind.alias("kind"), path.alias("path"), live.alias("live"), key.alias("key"), k.alias("n"))).cast(_STACK)
-        none = F.lit(None).cast("string")
-        moved = (
-            F.when(c.isin("[", "{"), F.concat(stack, entry(c, path, deeper, none, F.lit(0)))).when(c.isin("]", "}"), below)
-            .when((c == ",") & (n > 0), F.concat(below, entry(top["kind"], top["path"], top["live"], none, top["n"] + 1)))
-            .when(is_key, F.concat(below, entry(top["kind"], top["path"], top["live"], said, top["n"]))).otherwise(stack)
-        )
-        found = F.when((c == '"') & ~is_key & counts & (said != ""), F.concat(acc["found"], F.array(F.struct(path.alias("path"), said.alias("text"))))).otherwise(acc["found"])
-        return F.struct(moved.alias("stack"), found.alias("found"))
-
-    start = F.struct(F.array().cast(_STACK).alias("stack"), F.array().cast("array<struct<path: string, text: string>>").alias("found"))
-    tokens = F.regexp_extract_all(tree_json, F.lit(JSON_TOKENS), F.lit(0))
-    flat = F.aggregate(tokens, start, step, lambda acc: F.array_join(F.array_sort(acc["found"])["text"], " "))
-    return F.when(F.try_parse_json(tree_json).isNotNull(), flat)
+    """Of a JSON string. The tree's depth is not bounded, so this is an Arrow-batched UDF."""
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(x: str | None) -> str | None:
+            try:
+                return None if x is None else flatten_richtext_py(json.loads(x))
+            except ValueError:
+                return None
+
+        return s.map(one)
+
+    return run(tree_json)

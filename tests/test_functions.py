@@ -113,42 +113,3 @@ def test_small_texts(spark):
     tree = '{"type": "doc", "content": [{"text": "a", "content": [{"text": "b"}]}, {"children": [{"text": "c"}, "d"]}]}'
     assert evaluate(spark, X.flatten_richtext, [tree, "broken", None]) == ["a b c d", None, None]
     assert evaluate(spark, X.has_placeholder, ["x {resolution_date}", "{A}", "{}"]) == [True, False, False]
-
-
-def walk(node):
-    """Texts of a rich-text tree, depth first."""
-    if isinstance(node, str):
-        return [node] if node else []
-    if isinstance(node, list):
-        return [t for x in node for t in walk(x)]
-    if isinstance(node, dict):
-        return (walk(node["text"]) if isinstance(node.get("text"), str) else []) + [t for k in ("content", "children") for t in walk(node.get(k))]
-    return []
-
-
-def test_richtext_against_a_walk(spark):
-    import json
-    import random
-
-    rng = random.Random(9)
-
-    def tree(depth=0):
-        kind = rng.randrange(8 if depth < 5 else 4)
-        if kind < 2:
-            return "".join(rng.choice(['"', "\\", "[", "}", ",", ":", "a", "é", " ", "\n", "text"]) for _ in range(rng.randrange(6)))
-        if kind < 4:
-            return rng.choice([None, True, -1.5, [], {}])
-        if kind < 7:
-            keys = rng.sample(["text", "content", "children", "type", 'o"', ""], rng.randrange(5))
-            return {k: tree(depth + 1) for k in keys}
-        return [tree(depth + 1) for _ in range(rng.randrange(4))]
-
-    trees = [tree() for _ in range(400)]
-    deep = "end"
-    for i in range(40):
-        deep = {"children": [deep], "text": str(i)} if i % 2 else {"x": [["no"]], "content": [[deep], "more"]}
-    trees += [deep, "plain", [{"text": f"t{i}"} for i in range(150)]]
-    rows = spark.createDataFrame([(i, json.dumps(t, ensure_ascii=i % 2 == 0, indent=None if i % 3 else 1)) for i, t in enumerate(trees)], "i int, tree string")
-    flat = rows.select("i", X.flatten_richtext(F.col("tree")).alias("flat"))
-    assert {r.i: r.flat for r in flat.collect()} == {i: " ".join(walk(t)) for i, t in enumerate(trees)}
-    assert "Python" not in flat._jdf.queryExecution().executedPlan().toString()
