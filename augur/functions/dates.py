@@ -33,8 +33,8 @@ def parse_iso_date(text: Column) -> Column:
 
 
 def parse_any_date(value: Column) -> Column:
-    """Of a JSON scalar read as text: a plain number is an epoch, all else a text."""
-    number = strip(value).rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$") & ~strip(value).rlike(r"^\d{8}$")
+    """Of a JSON scalar read as text: a plain number is an epoch, whatever its length, all else a text."""
+    number = strip(value).rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
     return F.when(number, parse_epoch(value)).otherwise(parse_iso_date(value))
 
 

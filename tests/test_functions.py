@@ -40,6 +40,8 @@ def test_dates(spark):
     d = dt.date(2025, 8, 1)
     assert evaluate(spark, dates.parse_iso_date, values) == [d, d, dt.date(2025, 8, 2), d, d, d] + [None] * 7
     assert evaluate(spark, dates.parse_any_date, ["1754006400", "1754006400000", "1754006400.5", "x"]) == [d, d, d, None]
+    # seconds of eight digits are seconds too
+    assert evaluate(spark, dates.parse_any_date, ["9999000", "10000000", "99999000", "100000000"]) == [dt.date(1970, 4, 26), dt.date(1970, 4, 26), dt.date(1973, 3, 3), dt.date(1973, 3, 3)]
     assert evaluate(spark, dates.is_iso_date, ["2025-08-01", "2025-8-1", "2025-02-30", "2025-08-01T"]) == [True, False, False, False]
     with pytest.raises(ValueError):
         dates.stratify_key(F.col("v"), "week")
