@@ -74,13 +74,14 @@ def deduplicate(rows: DataFrame, threshold: float = 0.7, window_days: int = 14,
     is better in ``quality_order``; the rule looks at all pairs and not at an order of visits.
     Pairs are formed of groups of equal token set, source and date, by their best rows, so
     that many equal questions cost no more than one."""
-    first = url_arbitration(rows, ranks)
-    return first.join(_losers(first, threshold, window_days, ranks), "id", "left_anti").orderBy("resolved_at", "id")
+    return url_arbitration(rows, ranks).join(_losers(rows, threshold, window_days, ranks), "id", "left_anti").orderBy("resolved_at", "id")
 
 
-def _losers(first: DataFrame, threshold: float, window_days: int, ranks: dict[str, int]) -> DataFrame:
-    columns = [F.col("id"), F.col("source"), F.col("resolved_at").alias("day"), quality_order(ranks).alias("o")]
-    base, sets = token_sets(first, "question", 3, columns)
+def _losers(rows: DataFrame, threshold: float, window_days: int, ranks: dict[str, int]) -> DataFrame:
+    """Of the rows that urls leave. Urls are judged once texts are cut, so that no text is shuffled."""
+    columns = [F.col("id"), F.col("source"), F.col("url"), F.col("resolved_at").alias("day"), quality_order(ranks).alias("o")]
+    every, sets = token_sets(rows, "question", 3, columns, bare=True)
+    base = written(url_arbitration(every, ranks).where("key is not null"))
     groups = written(base.groupBy("key", "source", "day").agg(F.min("o").alias("best")))
     near = either_way(similar_sets(sets, threshold), sets).select("x", "y")
     other = groups.select(F.col("key").alias("y"), F.col("source").alias("_source"), F.col("day").alias("_day"), F.col("best").alias("_best"))
@@ -92,8 +93,8 @@ def _losers(first: DataFrame, threshold: float, window_days: int, ranks: dict[st
 def dedupe_stats(rows: DataFrame, threshold: float = 0.7, window_days: int = 14, ranks: dict[str, int] = PRIORITY) -> DataFrame:
     """One row: input, url_duplicates_dropped, text_duplicates_dropped, kept."""
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    first = written(url_arbitration(rows, ranks))
-    kept = first.join(_losers(first, threshold, window_days, ranks), "id", "left_anti")
+    first = written(url_arbitration(rows, ranks).select("id"))
+    kept = first.join(_losers(rows, threshold, window_days, ranks), "id", "left_anti")
     row = n(rows, "input").join(n(first, "first"), F.lit(True)).join(n(kept, "kept"), F.lit(True))
     return row.select("input", (F.col("input") - F.col("first")).alias("url_duplicates_dropped"), (F.col("first") - F.col("kept")).alias("text_duplicates_dropped"), "kept")
 

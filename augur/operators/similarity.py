@@ -2,96 +2,223 @@
 
 Equal sets are compared once, whatever the number of rows that have them: the join yields
 pairs of distinct sets, and rows meet them by the key of their set.
+
+Tokens become numbers within the tasks that hold their rows, by a dictionary that is sent to
+them, so that no token is shuffled by itself and each set is shuffled once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augur.sources.shared import written
+from augur.sources.shared import remove, written, written_at
 
-#: Tokens with more than this share of all, of which there are at most so many, are broadcast.
-HOT = 20_000
-#: Bytes under which a dictionary of tokens is broadcast whole.
-BROADCAST = 64 << 20
+#: Tokens of the dictionary, at most. The most frequent ones are taken; all others are known by their hash.
+DICTIONARY = 4 << 20
+#: Bytes of sketches that are broadcast, at most, so that candidates are sifted before they are shuffled.
+SKETCHED = 64 << 20
 #: Bytes of a row group of intermediate tables, so that tables of few files are read by many tasks.
 GROUP = 4 << 20
 #: Prefix tokens under which more sets than this meet are split by a second shared token.
 CROWD = 2_000
 
-
 def tokens_of(text: Column, min_len: int) -> Column:
-    """The set of tokens of the normalised text, in order: what stands between signs that are neither
-    letters, numbers nor underscores. One pass over the text, as blanks are such signs too."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= min_len)))
+    """The set of tokens of the normalised text, in order: runs of letters, numbers and
+    underscores. One pass over the text, as all else stands between them."""
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}_]{{{min_len},}}"), F.lit(0))))
 
 
-def token_sets(rows: DataFrame, text: str, min_len: int, columns: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows with the key of their token set, without texts, and the distinct sets (key, toks);
-    texts are cut once and written. Rows without tokens are left out."""
+def token_sets(rows: DataFrame, text: str, min_len: int, columns: list[Column], bare: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows with the key of their token set, without texts, and the distinct sets (key, sid, n, s, k)
+    as :func:`similar_sets` takes them; texts are cut once. Rows without tokens are left out, or
+    with ``bare`` have no key."""
+    spark = rows.sparkSession
     toks = tokens_of(F.col(text), min_len)
-    key = F.unhex(F.sha2(F.array_join("toks", " "), 256))
-    all_rows = written(rows.select(*columns, toks.alias("toks")).withColumn("key", key), GROUP).where(F.size("toks") > 0)
-    return all_rows.drop("toks"), written(all_rows.groupBy("key").agg(F.first("toks").alias("toks")), GROUP)
-
-
-def ranked_sets(sets: DataFrame) -> DataFrame:
-    """(key, s, n): sets as sorted arrays of ranks. Rarer tokens have lower ranks; those of one set
-    alone have negative ones, as nothing is found by them. Ranks are places in a range
-    partition, so no task numbers all tokens. A small dictionary is broadcast whole; of a larger
-    one the most frequent tokens are, so that no task gets all rows of one."""
-    words = sets.select("key", F.explode("toks").alias("tok"))
-    counts = words.groupBy("tok").agg(F.count("*").alias("df"))
-    place = F.monotonically_increasing_id()
-    ranks = written(counts.repartitionByRange("df", "tok").sortWithinPartitions("df", "tok").select("tok", "df", F.when(F.col("df") == 1, -1 - place).otherwise(place).alias("rank")), GROUP)
-    size = ranks.agg(F.sum("df").alias("total"), F.sum(F.length("tok") + 40).alias("bytes")).first()
-    if (size["bytes"] or 0) < BROADCAST:
-        both = words.join(F.broadcast(ranks.select("tok", "rank")), "tok").select("key", "rank")
-    else:
-        often = F.col("df") > max(CROWD, size["total"] / HOT)
-        hot = F.broadcast(ranks.where(often).select("tok", F.col("rank").alias("hot")))
-        met = words.join(hot, "tok", "left")
-        rest = met.where("hot is null").select("key", "tok").join(ranks.where(~often).select("tok", "rank"), "tok").select("key", "rank")
-        both = rest.unionByName(met.where("hot is not null").select("key", F.col("hot").alias("rank")))
-    return written(both.groupBy("key").agg(F.array_sort(F.collect_list("rank")).alias("s")).withColumn("n", F.size("s")), GROUP)
-
-
-def candidates(ranked: DataFrame, threshold: float) -> DataFrame:
-    """(x, y), x < y: pairs of sets that may reach ``threshold``, and all that do.
+    cut, path = written_at(rows.select(*columns, toks.alias("toks")).withColumn("key", F.when(F.size("toks") > 0, F.unhex(F.sha2(F.array_join("toks", " "), 256)))), GROUP)
+    coded, coded_path = written_at(_encoded(cut), GROUP)
+    remove(spark, path)
+    known = coded if bare else coded.where("key is not null")
+    slim = written(known.drop("n", "s", "k"))
+    own = coded.where("key is not null").groupBy("key").agg(F.first(F.struct("n", "s", "k")).alias("v"))
+    sets = written(own.select("key", F.monotonically_increasing_id().alias("sid"), "v.*"), GROUP)
+    remove(spark, coded_path)
+    return slim, sets
+
+
+def _hash(token: Column, seed: int) -> Column:
+    return F.xxhash64(token, F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def _dictionary(cut: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray, bool] | None:
+    """(hashes in order, their ranks, whether it has all tokens of more than one row) of at most
+    DICTIONARY tokens; rarer ones have lower ranks. None if two tokens have the same hash, which
+    a second hash tells."""
+    words = cut.select(F.explode("toks").alias("t")).select(_hash(F.col("t"), seed).alias("h"), F.xxhash64("t").alias("g"))
+    counts, path = written_at(words.groupBy("h").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi")))
+    try:
+        if not counts.where("lo <> hi").isEmpty():
+            return None
+        # As many rows as there are different frequencies.
+        often = sorted(((r.df, r.n) for r in counts.where("df > 1").groupBy("df").agg(F.count("*").alias("n")).collect()), reverse=True)
+        least, room = 2, DICTIONARY
+        for df, n in often:
+            if n > room:
+                least = df + 1
+                break
+            room -= n
+        got = counts.where(F.col("df") >= least).select("h", "df").toArrow()
+    finally:
+        remove(cut.sparkSession, path)
+    h, df = got["h"].to_numpy(), got["df"].to_numpy()
+    rank = np.empty(len(h), np.int32)
+    rank[np.lexsort((h, df))] = np.arange(len(h), dtype=np.int32)
+    order = np.argsort(h)
+    if not len(h):
+        return np.array([-1]), np.zeros(1, np.int32), least == 2  # no hash is negative
+    return h[order], rank[order], least == 2
+
+
+def _encoded(cut: DataFrame) -> DataFrame:
+    """``cut`` with n, the number of its tokens; s, their ranks in order; and k, a sketch of them, in
+    place of ``toks``. A sketch has at least two bits a token, of which each token turns over one. Tokens of one row alone are not in s, as nothing is found by them. Those that
+    a full dictionary has no room for are as rare as any and stand first, as negative hashes."""
+    seed = 1
+    while (made := _dictionary(cut, seed)) is None:
+        seed += 1
+    held = cut.sparkSession.sparkContext.broadcast(made)
+    hashed = cut.withColumn("toks", F.transform("toks", lambda t: _hash(t, seed)))
+    kind = "int" if made[2] else "long"
+    own = [c for c in cut.columns if c != "toks"]
+    schema = hashed.select(*own, F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("s"), F.lit(b"").alias("k")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, ranks, whole = held.value
+        for full in batches:
+            for at in range(0, full.num_rows, 2_000):
+                batch = full.slice(at, 2_000)
+                toks = batch.column("toks")
+                n = np.diff(toks.offsets.to_numpy()).astype(np.int64)
+                h = toks.flatten().to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, 2 * n))).astype(np.int64))
+                starts = np.cumsum(width) - width
+                bits = np.bincount(starts[row] + (h & (width[row] - 1)), minlength=int(width.sum())) & 1
+                packed = np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+                k = pa.array([packed[a : a + w] for a, w in zip((starts // 8).tolist(), (width // 8).tolist())], pa.binary())
+                place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                known = hashes[place] == h
+                if whole:
+                    row, ids = row[known], ranks[place[known]]
+                else:
+                    ids = np.where(known, ranks[place], -1 - h)
+                ids = ids[np.lexsort((ids, row))]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))]).astype(np.int32)
+                s = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32() if whole else pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n.astype(np.int32)), s, k], [*own, "n", "s", "k"])
+
+    return hashed.mapInArrow(run, schema)
+
+
+def _words(sketches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches as words of 64 bits, where each begins, and how many words each has."""
+    size = np.fromiter((len(x) // 8 for x in sketches.to_pylist()), np.int64, len(sketches))
+    return np.frombuffer(b"".join(sketches.to_pylist()), "<u8"), np.cumsum(size) - size, size
+
+
+def _apart(words: np.ndarray, starts: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits sketches ``x`` and ``y`` differ; the sets differ in at least as many tokens.
+    A sketch that is wider is folded to the other's width."""
+    out = np.zeros(len(x), np.int64)
+    both = np.minimum(size[x], size[y])
+    for w in np.unique(both):
+        at = np.flatnonzero(both == w)
+        for part in np.array_split(at, 1 + len(at) * int(w) // (1 << 20)):
+            bits = np.zeros((len(part), w), np.uint64)
+            for side in (x[part], y[part]):
+                for fold in range(int((size[side] // w).max(initial=0))):
+                    some = np.flatnonzero(size[side] // w > fold)
+                    bits[some] ^= words[(starts[side[some]] + fold * w)[:, None] + np.arange(w)]
+            out[part] = np.bitwise_count(bits).sum(1)
+    return out
+
+
+def _sifted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y) of ``pairs`` (x, y, most) whose sketches differ in at most ``most`` bits, once each."""
+    if (sets.agg(F.sum(F.length("k") + 16)).first()[0] or 0) > SKETCHED:
+        side = lambda c: sets.select(F.col("sid").alias(c), F.col("k").alias(f"k{c}"))
+        met = pairs.distinct().join(side("x"), "x").join(side("y"), "y")
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                i = np.arange(batch.num_rows)
+                far = _apart(*_words(pa.concat_arrays([batch.column("kx"), batch.column("ky")])), i, i + batch.num_rows)
+                yield batch.select(["x", "y"]).filter(pa.array(far <= batch.column("most").to_numpy()))
+
+        return met.select("x", "y", "most", "kx", "ky").mapInArrow(own, "x long, y long")
+    got = sets.select("sid", "k").orderBy("sid").toArrow()
+    held = sets.sparkSession.sparkContext.broadcast((got["sid"].to_numpy(), *_words(got["k"].combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sids, words, starts, size = held.value
+        for batch in batches:
+            x, y = (np.searchsorted(sids, batch.column(c).to_numpy()) for c in ("x", "y"))
+            yield batch.select(["x", "y"]).filter(pa.array(_apart(words, starts, size, x, y) <= batch.column("most").to_numpy()))
+
+    return pairs.mapInArrow(run, "x long, y long").distinct()
+
+
+def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(x, y), x < y: pairs of sets (sid) that may reach ``threshold``, and all that do.
 
     If J(A, B) >= t, the sets share a token among the first |A| - ceil(t |A|) + 1 of each. They
     are joined on those tokens if their sizes fit and if what stands behind the shared tokens
     can still make up the overlap. A token that is in very many prefixes is joined on together
-    with a second one: with prefixes longer by one, two tokens are shared."""
+    with a second one: with prefixes longer by one, two tokens are shared. Pairs whose
+    sketches differ in more bits than similar sets have different tokens are left out,
+    before they are shuffled if all sketches fit a task; long sets have wide sketches."""
     t, tiny = F.lit(threshold), F.lit(1e-9)  # 0.7 * 10 must not become 8 by rounding
     keep = (F.col("n") - F.ceil(F.col("n") * t - tiny) + 1).cast("int")
-    entries = written(ranked.where("n > 1").select("key", "n", F.posexplode(F.slice("s", F.lit(1), keep)).alias("pos", "rank")).where("rank >= 0"))
+    # Tokens of a set alone stand before the others.
+    alone = F.col("n") - F.size("s")
+    some = sets.where("n > 1").withColumns({"keep": F.greatest(F.lit(0), keep - alone), "alone": alone})
+    entries = some.select("sid", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("keep"))).alias("i", "rank")).select("sid", "n", (F.col("i") + F.col("alone")).alias("pos"), "rank")
     crowded = written(entries.groupBy("rank").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("rank"))
-    fits = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * t - tiny
+    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    fits = small >= large * t - tiny
     behind = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))  # places count from 0
     enough = behind >= F.ceil((F.col("a.n") + F.col("b.n")) * t / (1 + t) - tiny)
-    pair = [F.col("a.key").alias("x"), F.col("b.key").alias("y")]
-    few = entries.join(crowded, "rank", "left_anti") if not crowded.isEmpty() else entries
+    # |A xor B| = |A| + |B| - 2 |A and B|
+    most = F.floor((F.col("a.n") + F.col("b.n")) * (1 - t) / (1 + t) + tiny).cast("int")
+    pair = [F.col("a.sid").alias("x"), F.col("b.sid").alias("y"), most.alias("most")]
+    few = entries.join(F.broadcast(crowded), "rank", "left_anti") if not crowded.isEmpty() else entries
     a, b = few.alias("a"), few.alias("b")
-    out = a.join(b, (F.col("a.rank") == F.col("b.rank")) & (F.col("a.key") < F.col("b.key")) & fits & enough).select(*pair)
+    out = a.join(b, (F.col("a.rank") == F.col("b.rank")) & (F.col("a.sid") < F.col("b.sid")) & fits & enough).select(*pair)
     if few is not entries:
-        many = entries.join(crowded, "rank").select("key", "rank").join(ranked.select("key", "n", F.slice("s", F.lit(1), keep + 1).alias("more")), "key")
-        two = many.select("key", "n", "rank", F.explode("more").alias("other")).where("other >= 0 and other <> rank")
-        two = written(two.select("key", "n", F.least("rank", "other").alias("lo"), F.greatest("rank", "other").alias("hi")).distinct())
+        many = some.withColumn("lead", F.slice("s", F.lit(1), F.col("keep"))).select("sid", "n", F.slice("s", F.lit(1), F.greatest(F.lit(0), keep + 1 - F.col("alone"))).alias("more"), F.explode("lead").alias("rank")).join(F.broadcast(crowded), "rank")
+        two = many.select("sid", "n", "rank", F.explode("more").alias("other")).where("other <> rank")
+        two = two.select("sid", "n", F.least("rank", "other").alias("lo"), F.greatest("rank", "other").alias("hi")).distinct()
         a, b = two.alias("a"), two.alias("b")
-        out = out.unionByName(a.join(b, (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi")) & (F.col("a.key") < F.col("b.key")) & fits).select(*pair))
-    return out.distinct()
+        out = out.unionByName(a.join(b, (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi")) & (F.col("a.sid") < F.col("b.sid")) & fits).select(*pair))
+    return _sifted(out, sets)
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(x, y, similarity) of different token sets (key, toks), x < y, of at least ``threshold``.
-    Candidates are verified exactly, on arrays of numbers."""
-    ranked = ranked_sets(sets)
-    both = candidates(ranked, threshold).join(ranked.select(F.col("key").alias("x"), F.col("s").alias("sx")), "x").join(ranked.select(F.col("key").alias("y"), F.col("s").alias("sy")), "y")
+    """(x, y, similarity) of different token sets, by their keys, x before y in number, of at least
+    ``threshold``. Candidates are verified exactly, on arrays of numbers; only sets that are in
+    some are shuffled for it."""
+    pairs = written(candidates(sets, threshold))
+    named = written(pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct())
+    own = sets.select("sid", "key", "n", "s").join(named, "sid")
+    side = lambda c: own.select(F.col("sid").alias(c), F.col("key").alias(f"{c}_key"), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
     common = F.size(F.array_intersect("sx", "sy"))
-    sim = common / (F.size("sx") + F.size("sy") - common)
-    return both.select("x", "y", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    sim = common / (F.col("nx") + F.col("ny") - common)
+    return both.select(F.col("x_key").alias("x"), F.col("y_key").alias("y"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def either_way(near: DataFrame, sets: DataFrame) -> DataFrame:

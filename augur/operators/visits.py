@@ -58,12 +58,14 @@ def standing(ranks: dict[str, int]) -> Column:
     return F.struct(q["rank"].alias("rank"), *(F.when(both, q[c]).otherwise(0).alias(c) for c in ("bg", "rc", "cats")))
 
 
-def _groups(first: DataFrame, threshold: float, window_days: int, ranks: dict[str, int], order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _groups(rows: DataFrame, threshold: float, window_days: int, ranks: dict[str, int], order: list[str], urls: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (id, gid, o, m), groups (gid, m, first, last), and pairs (u, v, tie, um, vm) of
-    groups that are similar, of different sources and near in time, u the better one."""
-    placed = with_place(first, order)
-    q = standing(ranks).alias("q")
-    base, sets = token_sets(placed, "question", 3, [F.col("id"), F.col("source"), F.col("resolved_at").alias("day"), F.col("m"), F.col("o"), q])
+    groups that are similar, of different sources and near in time, u the better one. With ``urls``
+    they are of the rows that urls leave. Texts are cut first, so that none is shuffled."""
+    columns = [F.col(c) for c in dict.fromkeys(["id", "source", "url", "resolved_at", *order])]
+    every, sets = token_sets(rows, "question", 3, [*columns, standing(ranks).alias("q")], bare=True)
+    first = written((url_arbitration(every, ranks) if urls else every).where("resolved_at is not null"))
+    base = with_place(first, order).where("key is not null").select("id", "source", F.col("resolved_at").alias("day"), "m", "o", "q", "key")
     gid = F.unhex(F.sha2(F.to_json(F.struct(F.hex("key").alias("key"), "source", "day", "q")), 256))
     members = written(base.withColumn("gid", gid))
     groups = written(members.groupBy("gid", "key", "source", "day", "m", "q").agg(F.min("o").alias("first"), F.max("o").alias("last")))
@@ -97,10 +99,10 @@ def _decide(pairs: DataFrame, known: DataFrame, groups: DataFrame, members: Data
     return out.select("gid", "a", "t", "same", F.when(F.col("plain"), F.col("same")).otherwise(F.col("late")).alias("next"), "top")
 
 
-def losers(first: DataFrame, order: list[str], threshold: float = 0.7, window_days: int = 14, ranks: dict[str, int] = PRIORITY) -> DataFrame:
-    """Ids of the rows that go."""
-    spark = first.sparkSession
-    members, groups, pairs = _groups(first, threshold, window_days, ranks, order)
+def losers(rows: DataFrame, order: list[str], threshold: float = 0.7, window_days: int = 14, ranks: dict[str, int] = PRIORITY, urls: bool = False) -> DataFrame:
+    """Ids of the rows that go, with ``urls`` of those that urls leave."""
+    spark = rows.sparkSession
+    members, groups, pairs = _groups(rows, threshold, window_days, ranks, order, urls)
     # Groups without a better neighbour drop whatever they meet and lose nothing.
     free = pairs.select(F.col("u").alias("gid")).distinct().join(pairs.select(F.col("v").alias("gid")), "gid", "left_anti").join(groups, "gid")
     none = F.lit(None).cast(groups.schema["first"].dataType)
@@ -124,10 +126,10 @@ def deduplicate_in_order(rows: DataFrame, order: list[str], threshold: float = 0
     which the columns ``order`` give; they must tell rows apart. Rows without resolution date stay;
     rows without tokens are similar to none; pairs are of one month or of two that follow
     each other among those that occur."""
-    return without_losers(written(url_arbitration(rows, ranks)), order, threshold, window_days, ranks).orderBy("resolved_at", "id")
+    return url_arbitration(rows, ranks).join(losers(rows, order, threshold, window_days, ranks, urls=True), "id", "left_anti").orderBy("resolved_at", "id")
 
 
 def without_losers(first: DataFrame, order: list[str], threshold: float = 0.7, window_days: int = 14, ranks: dict[str, int] = PRIORITY) -> DataFrame:
     """The second pass alone: of rows that urls were judged of, those that similar ones leave."""
-    gone = losers(first.where("resolved_at is not null"), order, threshold, window_days, ranks)
+    gone = losers(first, order, threshold, window_days, ranks)
     return first.join(gone, "id", "left_anti")

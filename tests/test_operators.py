@@ -406,6 +406,31 @@ def test_similar_links_against_all_pairs(spark, monkeypatch):
         assert pairs == {(i, j) for i, s, g, _ in rows for j, t, m, _ in rows if s < t and g is not None and g == m and near(i, j)}
 
 
+def test_similar_sets_are_sifted_before_they_are_shuffled(spark, monkeypatch):
+    """Long sets that share rare tokens and little else are no candidates; the pairs found are the same
+    where sketches are not broadcast and where the dictionary has no room for rare tokens."""
+    import random
+
+    from augur.operators import similarity
+
+    rng = random.Random(5)
+    rare = [f"rare{i}" for i in range(40)]
+    texts = [" ".join([*rng.sample(rare, 20), *(f"common{i}" for i in rng.sample(range(4000), 700))]) for _ in range(20)]
+    texts += [" ".join(t.split()[: len(t.split()) - rng.randint(1, 250)]) for t in texts]
+    df = spark.createDataFrame([(i, "ab"[i % 3 % 2], t) for i, t in enumerate(texts)], "id long, source string, question string")
+    sets = [frozenset(t.split()) for t in texts]
+    j = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(40) for b in range(40) if a < b}
+    near = {p for p, v in j.items() if v >= 0.7}
+    want = {tuple(sorted(p)) for p in near if "ab"[p[0] % 3 % 2] != "ab"[p[1] % 3 % 2]}
+    assert len(near) > 10 and len(want) > 3
+    for room, sent in ((similarity.DICTIONARY, similarity.SKETCHED), (similarity.DICTIONARY, 0), (3000, 0), (0, similarity.SKETCHED)):
+        monkeypatch.setattr(similarity, "DICTIONARY", room)
+        monkeypatch.setattr(similarity, "SKETCHED", sent)
+        _, own = similarity.token_sets(df, "question", 3, [F.col("id")])
+        assert len(near) <= similarity.candidates(own, 0.7).count() <= len(near) + 2
+        assert {tuple(sorted((r.a, r.b))) for r in dedupe.similar_pairs(df).collect()} == want
+
+
 def test_cuts_by_ranges(spark):
     """Parts by ranges of the hash are those of sorted rows: strata of any size, null among them,
     fractions that add up to one, repeated and equal hashes."""
