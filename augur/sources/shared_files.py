@@ -38,3 +38,12 @@ def write_bytes(uri: str, data: bytes) -> None:
     with system.open_output_stream(draft) as f:
         f.write(data)
     system.move(draft, path)
+
+
+def remove_file(uri: str) -> None:
+    """Deletes a file, which another task may have done."""
+    system, path = place(uri)
+    try:
+        system.delete_file(path)
+    except FileNotFoundError:
+        pass

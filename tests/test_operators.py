@@ -492,6 +492,18 @@ def test_stored_answers_are_not_asked_again(spark, tmp_path):
     assert generate.stored_batch(uri) == {key: ("a", 1, 2)} and generate.stored_batch(uri + "-none") == {}
 
 
+def test_batches_become_few_files(spark, tmp_path):
+    """The driver lists the files of a cache, so they must not grow with the batches."""
+    asked, path = tmp_path / "asked", str(tmp_path / "cache")
+    asked.mkdir()
+    req = spark.createDataFrame([(str(i), "s", f"ask {i}") for i in range(300)], "id string, system string, user string")
+    for most in (2, 2, 4):  # other batches find the same answers
+        got = generate.ask(req, Dies(str(asked)), "m", 10, 0.0, path, workers=most, batch=4 + most)
+        assert {(r.id, r.text) for r in got.collect()} == {(str(i), f"to ask {i}") for i in range(300)}
+        assert len([f for f in (tmp_path / "cache").iterdir() if f.name.endswith(".parquet")]) <= 2
+    assert len(list(asked.iterdir())) == 300 and spark.read.schema(generate.CACHE).parquet(path).count() == 300
+
+
 def test_a_broken_run_goes_on(spark, tmp_path):
     rows = training(spark, [("train", 1)] * 6, k=2).withColumn("messages", F.lit("m"))
     folder, sampled, learned, saved = str(tmp_path / "run"), [], [], []
