@@ -72,20 +72,38 @@ def extract_proper_nouns(text: Column) -> Column:
     return F.filter(spans, lambda x: ~F.array_contains(openers, x) & ~dated(x) & (F.length(x) > 1))
 
 
-def validate_paraphrase(original: Column, candidate: Column) -> Column:
-    """struct(ok, reason): the first of dates, numbers, names, empty, identical that fails."""
+def _but_years(numbers: Column) -> Column:
+    return F.filter(numbers, lambda x: ~x.rlike(all_scripts(r"^20\d{2}$")))
+
+
+def parts_to_keep(original: Column) -> Column:
+    """struct(dates, numbers, names) that a paraphrase must have."""
+    return F.struct(extract_dates(original).alias("dates"), _but_years(extract_numbers(original)).alias("numbers"), extract_proper_nouns(original).alias("names"))
+
+
+def validate_paraphrase(original: Column, candidate: Column, parts: Column | None = None) -> Column:
+    """struct(ok, reason): the first of dates, numbers, names, empty, identical that fails. ``parts``:
+    :func:`parts_to_keep` of the original, where several candidates are held against it."""
     listed = lambda what, xs: F.concat(F.lit(f"missing {what}: ["), F.array_join(F.transform(F.array_sort(xs), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
-    years = lambda xs: F.filter(xs, lambda x: ~x.rlike(all_scripts(r"^20\d{2}$")))
-    dates = F.array_except(extract_dates(original), extract_dates(candidate))
-    numbers = F.array_except(years(extract_numbers(original)), years(extract_numbers(candidate)))
+    parts = parts_to_keep(original) if parts is None else parts
     low = F.lower(candidate)
-    names = F.filter(extract_proper_nouns(original), lambda p: ~F.contains(low, F.lower(p)))
-    reason = (
-        F.when(F.size(dates) > 0, listed("date(s)", dates))
-        .when(F.size(numbers) > 0, listed("number(s)", numbers))
-        .when(F.size(names) > 0, listed("proper noun(s)", names))
-        .when(F.length(strip(candidate)) == 0, "empty")
-        .when(strip(candidate) == strip(original), "identical to original")
-        .otherwise("")
-    )
-    return F.struct((reason == "").alias("ok"), reason.alias("reason"))
+    # What the original has none of is not looked for.
+    lacking = lambda xs, found: F.when(F.size(xs) > 0, F.array_except(xs, found)).otherwise(F.array().cast("array<string>"))
+
+    def judge(p: Column) -> Column:
+        return (
+            F.when(F.size(p["dates"]) > 0, listed("date(s)", p["dates"]))
+            .when(F.size(p["numbers"]) > 0, listed("number(s)", p["numbers"]))
+            .when(F.size(p["names"]) > 0, listed("proper noun(s)", p["names"]))
+            .when(F.length(strip(candidate)) == 0, "empty")
+            .when(strip(candidate) == strip(original), "identical to original")
+            .otherwise("")
+        )
+
+    missing = F.struct(
+        lacking(parts["dates"], extract_dates(candidate)).alias("dates"), lacking(parts["numbers"], _but_years(extract_numbers(candidate))).alias("numbers"),
+        F.filter(parts["names"], lambda p: ~F.contains(low, F.lower(p))).alias("names"),
+    )
+    # An array of one binds what is missing to a name, so that it is found once.
+    reason = F.transform(F.array(missing), judge)[0]
+    return F.transform(F.array(reason), lambda r: F.struct((r == "").alias("ok"), r.alias("reason")))[0]

@@ -492,6 +492,26 @@ def test_stored_answers_are_not_asked_again(spark, tmp_path):
     assert generate.stored_batch(uri) == {key: ("a", 1, 2)} and generate.stored_batch(uri + "-none") == {}
 
 
+class SaysWhere:
+    """Answers with the number of the task that asks."""
+
+    def complete(self, system, user):
+        from pyspark import TaskContext
+
+        return str(TaskContext.get().partitionId()), 1, 1
+
+
+def test_requests_go_to_all_workers(spark):
+    """Also where Spark has as many shuffle partitions as there are workers."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        req = spark.createDataFrame([(str(i), "s", f"ask {i}") for i in range(60)], "id string, system string, user string")
+        assert {r.text for r in generate.ask(req, SaysWhere(), "m", 10, 0.0, workers=4).collect()} == {"0", "1", "2", "3"}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_batches_become_few_files(spark, tmp_path):
     """The driver lists the files of a cache, so they must not grow with the batches."""
     asked, path = tmp_path / "asked", str(tmp_path / "cache")
