@@ -8,7 +8,7 @@ page shorter than asked ends the scan) or ``next`` (the scan ends without this f
 (further ones, JSON), ``token_env`` (name of the variable that holds a token), ``attempts`` and
 ``patience`` (tries of a page, and the most seconds between two), ``timeout``, ``cache`` (folder of
 raw pages, by address, which must be shared by all tasks), ``partitions`` and, for streams,
-``batch_pages`` (pages of a batch).
+``batch_pages`` (pages of a batch; with a cache, of the first one).
 
 Rows are the items' JSON. Pages of the ``keyset`` style depend on each other, so a scan of them is
 one partition. Those of the ``offset`` style do not: ``partitions`` tasks take every so many-th
@@ -247,27 +247,39 @@ class PagedReader(DataSourceReader):
             yield from _lines(items)
 
 
+#: Bytes of items behind which a batch of more than ``batch_pages`` pages ends.
+BATCH_BYTES = 4 << 20
+
+
 class PagedStream(SimpleDataSourceStreamReader):
     """Reads ``batch_pages`` pages at a time. At the end of a scan the place stays, so later
-    polls ask for its page again and find what the server has added behind it."""
+    polls ask for its page again and find what the server has added behind it.
+
+    With a cache a batch that fails costs no request, as its pages stay there. Then batches
+    become twice as long, one after another, until the scan ends or they hold BATCH_BYTES, so that the
+    work of a commit does not come with every few pages of a long scan."""
 
     def __init__(self, options: dict[str, str]):
-        self.scan, self.most = Scan(options), int(options.get("batch_pages", 10))
+        self.scan, self.least = Scan(options), int(options.get("batch_pages", 10))
+        self.most = self.least
 
     def initialOffset(self) -> dict:
         return dict(START)
 
     def _batch(self, start: dict, end: dict | None) -> tuple[list[tuple], dict]:
         rows: list[tuple] = []
-        place = start
+        place, size, ended = start, 0, False
         for i in range(self.most if end is None else 1 << 30):
-            if place == end:
+            if place == end or (end is None and i >= self.least and size >= BATCH_BYTES):
                 break
             if i:
                 self.scan.sleep(self.scan.throttle)
             page = self.scan.page(place)
-            rows += _lines(page.items)
-            if page.next is not None:
+            lines = list(_lines(page.items))
+            rows += lines
+            size += sum(len(x) for x, in lines)
+            ended = page.next is None
+            if not ended:
                 place = page.next
             elif not page.items or (self.scan.most and place["page"] >= self.scan.most):
                 break
@@ -276,6 +288,8 @@ class PagedStream(SimpleDataSourceStreamReader):
                 last = page.items[-1].get("id")
                 place = {"page": place["page"] + 1, "offset": place["offset"] + len(page.items), "after": "" if last is None else last}
                 break
+        if end is None and self.scan.o.get("cache"):
+            self.most = self.least if ended else self.most if size >= BATCH_BYTES else 2 * self.most
         return rows, place
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:

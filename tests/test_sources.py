@@ -255,6 +255,30 @@ def test_a_stopped_scan_goes_on(spark, tmp_path, style):
             assert ids(spark.read.text(out)) == list(range(78))
 
 
+def test_batches_grow_with_a_cache(spark, tmp_path):
+    """A long scan has few batches; a run that is stopped asks for no page again."""
+    out, mark = str(tmp_path / "out"), str(tmp_path / "ck")
+    options = {"page_size": 1, "style": "keyset", "until_short": "true", "batch_pages": 1, "attempts": 1, "cache": str(tmp_path / "pages")}
+    with Api(60, fail=lambda k: (500, {}) if k == 20 else None) as api:
+        with pytest.raises(Exception, match="500"):
+            paged.scan_into(spark, out, mark, url=api.url, **options)
+        assert 0 < spark.read.text(out).count() < 20
+        assert paged.scan_into(spark, out, mark, url=api.url, **options) <= 12
+        assert ids(spark.read.text(out)) == list(range(60))
+        places = [q.get("before") for q in api.seen]
+        assert len(places) == len(set(places)) + 1  # the one that failed
+    paged.BATCH_BYTES, was = 10, paged.BATCH_BYTES
+    try:
+        stream = paged.PagedStream({**options, "url": api.url, "batch_pages": "2"})
+        place, sizes = stream.initialOffset(), []
+        for _ in range(3):
+            rows, place = stream.read(place)
+            sizes.append(len(list(rows)))
+        assert sizes == [2, 2, 2]
+    finally:
+        paged.BATCH_BYTES = was
+
+
 def test_throttled_pages_are_tried_again(spark):
     import email.utils
 
