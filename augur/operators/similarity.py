@@ -20,12 +20,16 @@ from augur.sources.shared import remove, written, written_at
 
 #: Tokens of the dictionary, at most. The most frequent ones are taken; all others are known by their hash.
 DICTIONARY = 4 << 20
-#: Bytes of sketches that are broadcast, at most, so that candidates are sifted before they are shuffled.
+#: Bytes of sketches that are broadcast at once, at most, so that candidates are sifted before they are shuffled.
 SKETCHED = 64 << 20
+#: Parts of sets at most, two of which have their sketches broadcast; more sketches are joined to the pairs.
+PARTS = 24
+#: Pairs that a task looks at together.
+TOGETHER = 1 << 19
 #: Bytes of a row group of intermediate tables, so that tables of few files are read by many tasks.
 GROUP = 4 << 20
 #: Prefix tokens under which more sets than this meet are split by a second shared token.
-CROWD = 2_000
+CROWD = 20_000
 
 def tokens_of(text: Column, min_len: int) -> Column:
     """The set of tokens of the normalised text, in order: runs of letters, numbers and
@@ -147,9 +151,97 @@ def _apart(words: np.ndarray, starts: np.ndarray, size: np.ndarray, x: np.ndarra
     return out
 
 
+def _room(sets: DataFrame) -> int:
+    """Bytes that all sketches take."""
+    return sets.agg(F.sum(F.length("k") + 16)).first()[0] or 0
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns rank, n, sid and pos of whole groups of a rank, of rows sorted by rank. Holds a group and a batch."""
+    held = None
+    for batch in batches:
+        now = [batch.column(c).to_numpy().astype(np.int64) for c in ("rank", "n", "sid", "pos")]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        if len(held[0]):
+            end = np.searchsorted(held[0], held[0][-1])
+            if end:
+                yield [x[:end] for x in held]
+                held = [x[end:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _fitting(rank: np.ndarray, n: np.ndarray, pos: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of a rank, rows sorted by rank and size, whose sizes fit and whose overlap can
+    still be reached by what stands behind the shared token: a set of n with the token in place
+    pos meets none of more than (n - pos) (1 + t) / t - n tokens. Partners of a set are a run of rows."""
+    tiny = 1e-9
+    cap = np.floor((n - pos + tiny) * (1 + threshold) / threshold + tiny).astype(np.int64) - n
+    large = np.minimum(np.floor((n + tiny) / threshold + tiny).astype(np.int64), cap)
+    group = np.cumsum(np.diff(rank, prepend=rank[0]) != 0) * (n.max() + 2)
+    count = np.maximum(0, np.searchsorted(group + n, group + np.minimum(large, n.max()), "right") - np.arange(1, len(n) + 1))
+    ends = np.cumsum(count)
+    a = 0
+    while a < len(n):
+        done = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + TOGETHER, "right")))
+        some = count[a:b]
+        left = np.repeat(np.arange(a, b), some)
+        right = left + 1 + np.arange(len(left)) - np.repeat(ends[a:b] - some - done, some)
+        ok = n[left] <= cap[right]
+        yield left[ok], right[ok]
+        a = b
+
+
+def _met(entries: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(x, y) of ``entries`` (sid, n, pos, rank) that fit under a rank and whose sketches do not tell them
+    apart. Pairs are made by the task that has the rank's entries and sifted there, so that only
+    those that pass are shuffled. Where all sketches take more than SKETCHED, sets are dealt into
+    parts, and any two parts meet with their sketches alone; each pair of sets meets once."""
+    room = _room(sets)
+    parts = 1 if room <= SKETCHED else -(-2 * room // max(1, SKETCHED))
+    whole = parts <= PARTS
+    t = threshold
+
+    def meet(entries: DataFrame, held, two: bool, schema: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rank, n, sid, pos in _groups(batches):
+                if held is not None:
+                    sids, words, starts, size = held.value
+                    at = np.searchsorted(sids, sid)
+                for left, right in _fitting(rank, n, pos, t):
+                    if two:
+                        ok = sid[left] % parts != sid[right] % parts
+                        left, right = left[ok], right[ok]
+                    most = np.floor((n[left] + n[right]) * (1 - t) / (1 + t) + 1e-9).astype(np.int64)
+                    if held is not None:
+                        ok = _apart(words, starts, size, at[left], at[right]) <= most
+                        left, right = left[ok], right[ok]
+                    x, y = sid[left], sid[right]
+                    cols = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))]
+                    yield pa.RecordBatch.from_arrays(cols, ["x", "y"]) if held is not None else pa.RecordBatch.from_arrays([*cols, pa.array(most.astype(np.int32))], ["x", "y", "most"])
+
+        return entries.repartition("rank").sortWithinPartitions("rank", "n").mapInArrow(run, schema)
+
+    if not whole:
+        return _sifted(meet(entries, None, False, "x long, y long, most int"), sets)
+    found = None
+    for i in range(parts):
+        for j in range(i, parts):
+            own = F.col("sid") % parts
+            got = sets.where(own.isin(i, j)).select("sid", "k").orderBy("sid").toArrow()
+            held = sets.sparkSession.sparkContext.broadcast((got["sid"].to_numpy(), *_words(got["k"].combine_chunks())))
+            met = meet(entries.where(own.isin(i, j)), held, i != j, "x long, y long").distinct()
+            if parts > 1:
+                met = written(met)
+                held.destroy()
+            found = met if found is None else found.unionByName(met)
+    return found
+
+
 def _sifted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y) of ``pairs`` (x, y, most) whose sketches differ in at most ``most`` bits, once each."""
-    if (sets.agg(F.sum(F.length("k") + 16)).first()[0] or 0) > SKETCHED:
+    if _room(sets) > SKETCHED:
         side = lambda c: sets.select(F.col("sid").alias(c), F.col("k").alias(f"k{c}"))
         met = pairs.distinct().join(side("x"), "x").join(side("y"), "y")
 
@@ -176,11 +268,11 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(x, y), x < y: pairs of sets (sid) that may reach ``threshold``, and all that do.
 
     If J(A, B) >= t, the sets share a token among the first |A| - ceil(t |A|) + 1 of each. They
-    are joined on those tokens if their sizes fit and if what stands behind the shared tokens
+    meet under those tokens if their sizes fit and if what stands behind the shared tokens
     can still make up the overlap. A token that is in very many prefixes is joined on together
     with a second one: with prefixes longer by one, two tokens are shared. Pairs whose
     sketches differ in more bits than similar sets have different tokens are left out,
-    before they are shuffled if all sketches fit a task; long sets have wide sketches."""
+    before they are shuffled up to PARTS / 2 times SKETCHED; long sets have wide sketches."""
     t, tiny = F.lit(threshold), F.lit(1e-9)  # 0.7 * 10 must not become 8 by rounding
     keep = (F.col("n") - F.ceil(F.col("n") * t - tiny) + 1).cast("int")
     # Tokens of a set alone stand before the others.
@@ -188,23 +280,20 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     some = sets.where("n > 1").withColumns({"keep": F.greatest(F.lit(0), keep - alone), "alone": alone})
     entries = some.select("sid", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("keep"))).alias("i", "rank")).select("sid", "n", (F.col("i") + F.col("alone")).alias("pos"), "rank")
     crowded = written(entries.groupBy("rank").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("rank"))
-    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    fits = small >= large * t - tiny
-    behind = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))  # places count from 0
-    enough = behind >= F.ceil((F.col("a.n") + F.col("b.n")) * t / (1 + t) - tiny)
-    # |A xor B| = |A| + |B| - 2 |A and B|
-    most = F.floor((F.col("a.n") + F.col("b.n")) * (1 - t) / (1 + t) + tiny).cast("int")
-    pair = [F.col("a.sid").alias("x"), F.col("b.sid").alias("y"), most.alias("most")]
     few = entries.join(F.broadcast(crowded), "rank", "left_anti") if not crowded.isEmpty() else entries
-    a, b = few.alias("a"), few.alias("b")
-    out = a.join(b, (F.col("a.rank") == F.col("b.rank")) & (F.col("a.sid") < F.col("b.sid")) & fits & enough).select(*pair)
+    out = _met(few, sets, threshold)
     if few is not entries:
+        small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+        fits = small >= large * t - tiny
+        # |A xor B| = |A| + |B| - 2 |A and B|
+        most = F.floor((F.col("a.n") + F.col("b.n")) * (1 - t) / (1 + t) + tiny).cast("int")
         many = some.withColumn("lead", F.slice("s", F.lit(1), F.col("keep"))).select("sid", "n", F.slice("s", F.lit(1), F.greatest(F.lit(0), keep + 1 - F.col("alone"))).alias("more"), F.explode("lead").alias("rank")).join(F.broadcast(crowded), "rank")
         two = many.select("sid", "n", "rank", F.explode("more").alias("other")).where("other <> rank")
         two = two.select("sid", "n", F.least("rank", "other").alias("lo"), F.greatest("rank", "other").alias("hi")).distinct()
         a, b = two.alias("a"), two.alias("b")
-        out = out.unionByName(a.join(b, (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi")) & (F.col("a.sid") < F.col("b.sid")) & fits).select(*pair))
-    return _sifted(out, sets)
+        met = a.join(b, (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi")) & (F.col("a.sid") < F.col("b.sid")) & fits)
+        out = out.unionByName(_sifted(met.select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y"), most.alias("most")), sets)).distinct()
+    return out
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:

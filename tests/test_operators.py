@@ -431,6 +431,35 @@ def test_similar_sets_are_sifted_before_they_are_shuffled(spark, monkeypatch):
         assert {tuple(sorted((r.a, r.b))) for r in dedupe.similar_pairs(df).collect()} == want
 
 
+def test_candidates_are_sifted_where_they_meet(spark, monkeypatch):
+    """Sketches beyond what is broadcast at once meet by parts of the sets: no pair is shuffled that they
+    tell apart, and the pairs are those of one part."""
+    import random
+
+    from augur.operators import similarity
+
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(rng.sample(words, rng.randint(5, 60))) for _ in range(150)]
+    texts += [" ".join(t.split()[: rng.randint(3, 60)]) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, question string")
+    _, sets = similarity.token_sets(df, "question", 3, [F.col("id")])
+    rows = {r.sid: (r.n, frozenset(r.s)) for r in sets.collect()}
+    common = {(a, b): len(rows[a][1] & rows[b][1]) for a in rows for b in rows if a < b}
+    near = {(a, b) for (a, b), c in common.items() if c / (rows[a][0] + rows[b][0] - c) >= 0.7}
+    assert len(near) > 20
+    room = sets.agg(F.sum(F.length("k") + 16)).first()[0]
+    raw = []
+    monkeypatch.setattr(similarity, "_sifted", lambda pairs, sets: raw.append(pairs) or pairs.select("x", "y").distinct())
+    found = []
+    for most in (room, room // 2):
+        monkeypatch.setattr(similarity, "SKETCHED", most)
+        got = [(r.x, r.y) for r in similarity.candidates(sets, 0.7).collect()]
+        assert len(got) == len(set(got)) and near <= set(got) and not raw
+        found.append(set(got))
+    assert found[0] == found[1]
+
+
 def test_cuts_by_ranges(spark):
     """Parts by ranges of the hash are those of sorted rows: strata of any size, null among them,
     fractions that add up to one, repeated and equal hashes."""
