@@ -1,7 +1,7 @@
 """A similarity join of texts by their token sets, and joins of rows that are near in time.
 
 Equal sets are compared once, whatever the number of rows that have them: the join yields
-pairs of distinct sets, and rows meet them by the key of their set.
+pairs of distinct sets, and rows meet them by the number of their set.
 
 Tokens become numbers within the tasks that hold their rows, by a dictionary that is sent to
 them, so that no token is shuffled by itself and each set is shuffled once.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from augur.sources.shared import remove, written, written_at
@@ -30,6 +30,8 @@ TOGETHER = 1 << 19
 GROUP = 4 << 20
 #: Prefix tokens under which more sets than this meet are split by a second shared token.
 CROWD = 20_000
+#: Pairs of a family of sets that are verified in one block, about.
+BLOCK = 1 << 14
 
 def tokens_of(text: Column, min_len: int) -> Column:
     """The set of tokens of the normalised text, in order: runs of letters, numbers and
@@ -38,20 +40,23 @@ def tokens_of(text: Column, min_len: int) -> Column:
 
 
 def token_sets(rows: DataFrame, text: str, min_len: int, columns: list[Column], bare: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows with the key of their token set, without texts, and the distinct sets (key, sid, n, s, k)
-    as :func:`similar_sets` takes them; texts are cut once. Rows without tokens are left out, or
-    with ``bare`` have no key."""
+    """Rows with the ``key`` of their token set, without texts, and the distinct sets (sid, n, s, k)
+    as :func:`similar_sets` takes them; texts are cut once. A key is the sid of a set, as it is
+    carried with every pair. Rows without tokens are left out, or with ``bare`` have no key."""
     spark = rows.sparkSession
     toks = tokens_of(F.col(text), min_len)
     cut, path = written_at(rows.select(*columns, toks.alias("toks")).withColumn("key", F.when(F.size("toks") > 0, F.unhex(F.sha2(F.array_join("toks", " "), 256)))), GROUP)
     coded, coded_path = written_at(_encoded(cut), GROUP)
     remove(spark, path)
-    known = coded if bare else coded.where("key is not null")
-    slim = written(known.drop("n", "s", "k"))
-    own = coded.where("key is not null").groupBy("key").agg(F.first(F.struct("n", "s", "k")).alias("v"))
+    known = coded.where("key is not null")
+    own = known.groupBy("key").agg(F.first(F.struct("n", "s", "k")).alias("v"))
     sets = written(own.select("key", F.monotonically_increasing_id().alias("sid"), "v.*"), GROUP)
+    slim = known.drop("n", "s", "k").join(sets.select("key", F.col("sid").alias("_sid")), "key").drop("key").withColumnRenamed("_sid", "key")
+    if bare:
+        slim = slim.unionByName(coded.where("key is null").drop("n", "s", "k").withColumn("key", F.lit(None).cast("long")))
+    slim = written(slim)
     remove(spark, coded_path)
-    return slim, sets
+    return slim, sets.drop("key")
 
 
 def _hash(token: Column, seed: int) -> Column:
@@ -296,24 +301,87 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     return out
 
 
+def dealt(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(block, x, y, n, s) of ``pairs`` (x, y) and of the sets (x, without y) that a block's pairs need.
+    The pairs of a set y lie in the family of its smallest partner, so that sets which are all
+    similar to one another are sent to one block and not with every pair. A family of many pairs
+    is cut by both sets' hashes into blocks of BLOCK pairs, about."""
+    home = F.min("x").over(Window.partitionBy("y"))
+    homes = written(pairs.withColumn("home", home))
+    wide = homes.groupBy("home").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("home", F.ceil(F.sqrt(F.col("c") / BLOCK)).alias("cuts"))
+    cut = homes.join(F.broadcast(wide), "home", "left")
+    part = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.col("cuts")), F.lit(0))
+    met = written(cut.select(F.xxhash64("home", part("x"), part("y")).alias("block"), "x", "y"))
+    needed = met.select("block", F.explode(F.array("x", "y")).alias("sid")).distinct()
+    held = sets.select("sid", "n", "s").join(needed, "sid").select("block", F.col("sid").alias("x"), F.lit(-1).cast("long").alias("y"), "n", "s")
+    return held.unionByName(met, allowMissingColumns=True)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Rows sorted by ``column`` in tables that have all rows of a value. Holds a value's rows and a batch."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            at = held[column].to_numpy()
+            end = int(np.searchsorted(at, at[-1]))
+            if end:
+                yield held.slice(0, end)
+                held = held.slice(end)
+    if held is not None:
+        yield held
+
+
+def _common(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The pairs of ``table``, of rows as :func:`dealt` gives them in whole blocks, in order; how many
+    tokens the two sets share, and how many they have together."""
+    own = table["y"].to_numpy() < 0
+    held = table.filter(pa.array(own))
+    sids, first = np.unique(held["x"].to_numpy(), return_index=True)
+    held = held.take(pa.array(first))
+    n = held["n"].to_numpy().astype(np.int64)
+    s = held["s"].combine_chunks()
+    starts, size, toks = s.offsets.to_numpy()[:-1].astype(np.int64) - s.offsets[0].as_py(), np.diff(s.offsets.to_numpy()).astype(np.int64), s.flatten().to_numpy()
+    if (toks < 0).any():  # hashes, not ranks in the dictionary
+        toks = np.unique(toks, return_inverse=True)[1]
+    seen = np.zeros(int(toks.max(initial=0)) + 1, bool)
+    pairs = table.filter(pa.array(~own)).select(["x", "y"]).sort_by([("x", "ascending"), ("y", "ascending")])
+    x, y = (np.searchsorted(sids, pairs[c].to_numpy()) for c in ("x", "y"))
+    common = np.zeros(len(x), np.int64)
+    heads = np.flatnonzero(np.diff(x, prepend=-1))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(x)]):
+        mine = toks[starts[x[a]] : starts[x[a]] + size[x[a]]]
+        seen[mine] = True
+        for some in np.array_split(np.arange(a, b), 1 + int(size[y[a:b]].sum()) // (1 << 22)):
+            many = size[y[some]]
+            ends = np.cumsum(many)
+            hit = seen[toks[np.repeat(starts[y[some]] - ends + many, many) + np.arange(int(many.sum()))]]
+            common[some] = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], ends])])
+        seen[mine] = False
+    return pairs, common, n[x] + n[y] - common
+
+
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(x, y, similarity) of different token sets, by their keys, x before y in number, of at least
-    ``threshold``. Candidates are verified exactly, on arrays of numbers; only sets that are in
-    some are shuffled for it."""
-    pairs = written(candidates(sets, threshold))
-    named = written(pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct())
-    own = sets.select("sid", "key", "n", "s").join(named, "sid")
-    side = lambda c: own.select(F.col("sid").alias(c), F.col("key").alias(f"{c}_key"), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    common = F.size(F.array_intersect("sx", "sy"))
-    sim = common / (F.col("nx") + F.col("ny") - common)
-    return both.select(F.col("x_key").alias("x"), F.col("y_key").alias("y"), sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    """(x, y, similarity) of different token sets, by their sid, x before y, of at least ``threshold``.
+    Candidates are verified exactly, on arrays of numbers; only sets that are in some are
+    shuffled for it, once for each block of pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, "block"):
+            pairs, common, union = _common(table)
+            sim = common / union
+            ok = sim >= threshold
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[c].to_numpy()[ok]) for c in ("x", "y")] + [pa.array(sim[ok])], ["x", "y", "similarity"])
+
+    rows = dealt(written(candidates(sets, threshold)), sets)
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "x long, y long, similarity double")
 
 
 def either_way(near: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of sets in both directions, and each set with itself."""
     both = F.explode(F.array(F.struct("x", "y", "similarity"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "similarity"))).alias("p")
-    own = sets.select(F.col("key").alias("x"), F.col("key").alias("y"), F.lit(1.0).alias("similarity"))
+    own = sets.select(F.col("sid").alias("x"), F.col("sid").alias("y"), F.lit(1.0).alias("similarity"))
     return near.select(both).select("p.*").unionByName(own)
 
 

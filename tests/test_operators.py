@@ -591,3 +591,26 @@ def test_a_broken_run_goes_on(spark, tmp_path):
     stop = rewards.train(rows, "train", 3, 3, 1, sample, lambda s: {"ppo_kl": float("inf")}, str(tmp_path / "b"), safety=rewards.SafetyConfig(max_ppo_kl=0.7))
     n = len(sampled)
     assert stop == "PPO KL" == rewards.train(rows, "train", 3, 3, 1, sample, learn(), str(tmp_path / "b")) and len(sampled) == n
+
+
+def test_near_copies_are_sent_to_few_blocks(spark, monkeypatch):
+    """A set is not sent with each of its pairs: a family of near-equal texts meets in one block, and a
+    large one in blocks of bounded size. Pairs stay those of a plain comparison."""
+    from augur.operators import similarity
+
+    texts = [" ".join([*(f"common{i}" for i in range(30)), f"f{a % 2}one", f"f{a % 2}two", f"own{a % 5}", f"word{a}"]) for a in range(120)] + ["lone words stand here", "lone words stand there", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, question string").withColumn("source", F.when(F.col("id") % 3 == 0, "a").otherwise("b"))
+    sets = [frozenset((t or "").split()) for t in texts]
+    sim = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i % 3 == 0 and j % 3 and a and b}
+    want = {(i, j, v) for (i, j), v in sim.items() if v >= 0.7}
+    _, own = similarity.token_sets(df, "question", 3, [F.col("id")])
+    pairs = similarity.candidates(own, 0.7).localCheckpoint()
+    assert pairs.count() >= 120 * 119 / 2
+    for block, most in ((similarity.BLOCK, 130), (500, 120 * 10)):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        rows = similarity.dealt(pairs, own).withColumn("is_set", F.col("y") < 0).localCheckpoint()
+        assert rows.where("is_set").count() <= most
+        assert rows.where("not is_set").groupBy("block").count().agg(F.max("count")).first()[0] <= 3 * block
+        assert {tuple(r) for r in dedupe.similar_pairs(df).collect()} == want
+    monkeypatch.setattr(similarity, "DICTIONARY", 0)  # tokens are known by their hashes
+    assert {tuple(r) for r in dedupe.similar_pairs(df).collect()} == want
