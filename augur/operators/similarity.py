@@ -162,10 +162,10 @@ def _room(sets: DataFrame) -> int:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns rank, n, sid and pos of whole groups of a rank, of rows sorted by rank. Holds a group and a batch."""
+    """Columns rank, n, sid, pos and last of whole groups of a rank, of rows sorted by rank. Holds a group and a batch."""
     held = None
     for batch in batches:
-        now = [batch.column(c).to_numpy().astype(np.int64) for c in ("rank", "n", "sid", "pos")]
+        now = [batch.column(c).to_numpy().astype(np.int64) for c in ("rank", "n", "sid", "pos", "last")]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         if len(held[0]):
             end = np.searchsorted(held[0], held[0][-1])
@@ -199,9 +199,10 @@ def _fitting(rank: np.ndarray, n: np.ndarray, pos: np.ndarray, threshold: float)
 
 
 def _met(entries: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(x, y) of ``entries`` (sid, n, pos, rank) that fit under a rank and whose sketches do not tell them
+    """(x, y) of ``entries`` (sid, n, pos, rank, last) that fit under a rank and whose sketches do not tell them
     apart. Pairs are made by the task that has the rank's entries and sifted there, so that only
-    those that pass are shuffled. Where all sketches take more than SKETCHED, sets are dealt into
+    those that pass are shuffled. Where the same token, ``last``, stands before the rank in both sets, they
+    have met under it, so that near copies are given out once for each run of tokens they share. Where all sketches take more than SKETCHED, sets are dealt into
     parts, and any two parts meet with their sketches alone; each pair of sets meets once."""
     room = _room(sets)
     parts = 1 if room <= SKETCHED else -(-2 * room // max(1, SKETCHED))
@@ -210,11 +211,13 @@ def _met(entries: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def meet(entries: DataFrame, held, two: bool, schema: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rank, n, sid, pos in _groups(batches):
+            for rank, n, sid, pos, last in _groups(batches):
                 if held is not None:
                     sids, words, starts, size = held.value
                     at = np.searchsorted(sids, sid)
                 for left, right in _fitting(rank, n, pos, t):
+                    new = (last[left] != last[right]) | (last[left] == rank[left])
+                    left, right = left[new], right[new]
                     if two:
                         ok = sid[left] % parts != sid[right] % parts
                         left, right = left[ok], right[ok]
@@ -283,7 +286,10 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     # Tokens of a set alone stand before the others.
     alone = F.col("n") - F.size("s")
     some = sets.where("n > 1").withColumns({"keep": F.greatest(F.lit(0), keep - alone), "alone": alone})
-    entries = some.select("sid", "n", "alone", F.posexplode(F.slice("s", F.lit(1), F.col("keep"))).alias("i", "rank")).select("sid", "n", (F.col("i") + F.col("alone")).alias("pos"), "rank")
+    # A set's first token has itself as ``last``.
+    leads = F.slice("s", F.lit(1), F.col("keep"))
+    lead = F.posexplode(F.transform(leads, lambda r, i: F.struct(r.alias("rank"), F.get("s", F.greatest(F.lit(0), i - 1)).alias("last"))))
+    entries = some.select("sid", "n", "alone", lead.alias("i", "e")).select("sid", "n", (F.col("i") + F.col("alone")).alias("pos"), "e.rank", "e.last")
     crowded = written(entries.groupBy("rank").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("rank"))
     few = entries.join(F.broadcast(crowded), "rank", "left_anti") if not crowded.isEmpty() else entries
     out = _met(few, sets, threshold)

@@ -614,3 +614,15 @@ def test_near_copies_are_sent_to_few_blocks(spark, monkeypatch):
         assert {tuple(r) for r in dedupe.similar_pairs(df).collect()} == want
     monkeypatch.setattr(similarity, "DICTIONARY", 0)  # tokens are known by their hashes
     assert {tuple(r) for r in dedupe.similar_pairs(df).collect()} == want
+
+
+def test_near_copies_are_given_out_once_a_run_of_tokens(spark, monkeypatch):
+    """Texts that share all of their prefixes meet under each of its tokens and are shuffled for the first alone."""
+    from augur.operators import similarity
+
+    texts = [" ".join([*(f"word{i:03}" for i in range(100)), f"own{a}one", f"own{a}two"]) for a in range(20)]
+    _, own = similarity.token_sets(spark.createDataFrame(list(enumerate(texts)), "id long, question string"), "question", 3, [F.col("id")])
+    met, distinct = [], type(own).distinct
+    monkeypatch.setattr(type(own), "distinct", lambda self: (met.append(self) if self.columns == ["x", "y"] else None) or distinct(self))
+    assert similarity.candidates(own, 0.7).count() == 20 * 19 / 2
+    assert [m.count() for m in met] == [20 * 19 / 2]
