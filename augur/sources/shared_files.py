@@ -40,6 +40,27 @@ def write_bytes(uri: str, data: bytes) -> None:
     system.move(draft, path)
 
 
+def mounted(uri: str) -> bool:
+    """Whether an address is in a mounted folder, where files can be added to."""
+    return place(uri)[0].type_name == "local"
+
+
+def append_bytes(uri: str, data: bytes) -> None:
+    """Adds to the end of a file in a mounted folder. To open it again and again costs less than to make
+    a file each time: some systems look long for a free inode where many were freed of late."""
+    system, path = place(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_append_stream(path) as f:
+        f.write(data)
+
+
+def named(folder: str, first: str, last: str) -> list[str]:
+    """Addresses of the files in a folder whose names begin and end so."""
+    system, path = place(folder)
+    inside = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return [f"{folder}/{f.base_name}" for f in inside if f.base_name.startswith(first) and f.base_name.endswith(last)]
+
+
 def remove_file(uri: str) -> None:
     """Deletes a file, which another task may have done."""
     system, path = place(uri)

@@ -553,6 +553,74 @@ def test_batches_become_few_files(spark, tmp_path):
     assert len(list(asked.iterdir())) == 300 and spark.read.schema(generate.CACHE).parquet(path).count() == 300
 
 
+class CountsFiles:
+    """Answers with the number of files in a folder."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def complete(self, system, user):
+        import os
+
+        return str(len(os.listdir(self.folder)) if os.path.exists(self.folder) else 0), 1, 1
+
+
+def test_a_batch_takes_no_file_of_its_own(spark, tmp_path):
+    """Files that come and go with every batch made most of the time of a run over many questions."""
+    path = str(tmp_path / "cache")
+    req = spark.createDataFrame([(str(i), "s", f"ask {i}") for i in range(300)], "id string, system string, user string")
+    got = generate.ask(req, CountsFiles(path), "m", 10, 0.0, path, workers=2, batch=5).collect()
+    assert len(got) == 300 and max(int(r.text) for r in got) <= 4
+    assert not [f for f in (tmp_path / "cache").iterdir() if "jsonl" in f.name]
+
+
+def test_journals_of_the_dead_are_stored(spark, tmp_path):
+    req = spark.createDataFrame([(str(i), "s", f"ask {i}") for i in range(8)], "id string, system string, user string")
+    path, client = str(tmp_path / "cache"), Scripted([("ask", "new")])
+    keys = sorted(r.key for r in generate.ask(req, client, "m", 10, 0.0, path, workers=1).collect())
+    for f in (tmp_path / "cache").iterdir():
+        f.unlink()
+    log = generate.journal_file(f"file:{path}", keys)
+    generate.journal(log, {keys[0]: ("kept \n \u00df", 1, 2), keys[1]: ("kept", 3, 4)})
+    with open(log.removeprefix("file:"), "a") as f:
+        f.write(f'["{keys[2]}", "torn')
+    generate.journal(log, {keys[3]: ("kept", 5, 6)})
+    got = {r.key: r for r in generate.ask(req, client, "m", 10, 0.0, path, workers=1).collect()}
+    assert [got[k].text for k in keys] == ["kept \n \u00df", "kept", "new", "kept"] + ["new"] * 4 and [k for k in keys if got[k].cached] == [keys[0], keys[1], keys[3]]
+    assert got[keys[0]].output_tokens == 2 and generate.journalled(log) == {} and spark.read.schema(generate.CACHE).parquet(path).count() == 8
+
+
+def test_extract_json_is_the_plain_search():
+    import ast
+    import re
+
+    def plain(text):
+        text = generate.unfenced(text)
+        wide = re.search(r"\{.*\}", text, re.S)
+        for read in (json.loads, ast.literal_eval):
+            for part in (text, wide.group(0) if wide else text):
+                try:
+                    found = read(part)
+                except (ValueError, SyntaxError, MemoryError, RecursionError):
+                    continue
+                if isinstance(found, dict):
+                    return found
+        return None
+
+    body = {"a": [1, None, {"b": "}"}], "c": "{"}
+    texts = ["", "nothing", "{", "}{", "set()", "dict()", "5", "'{}'", "[{}]", "{1, 2}", "{*{}}", "# {\n{'a': 1}", "({'a': 1})", "\\\n{'a': 1}", "x{'a': 1}y{'b': 2}", "9 {}", "_{}", "\ufeff{'a': 1}", "(1, {'a': 1})"]
+    for b in (json.dumps(body), repr(body), json.dumps(body, indent=1)):
+        texts += [b, f"Here: {b} as asked", f"```json\n{b}\n```", f"({b})", f"# no\n{b}", f"{b} {b}", f"\u00e9{b}"]
+    assert [generate.extract_json(t) for t in texts] == [plain(t) for t in texts]
+
+
+def test_each_question_has_its_context(spark):
+    """Also where questions share an id."""
+    q = questions(spark, [("s::1", "s", "First?", "2025-09-01", None), ("s::1", "s", "Second?", "2025-09-01", None)])
+    got = generate.contexts(q, Scripted([("First?", json.dumps(CONTEXT)), ("Second?", "garbage")]), "m", workers=1).collect()
+    assert sorted(str(r.error) for r in got) == ["None", "no JSON object"]
+
+
 def test_a_broken_run_goes_on(spark, tmp_path):
     rows = training(spark, [("train", 1)] * 6, k=2).withColumn("messages", F.lit("m"))
     folder, sampled, learned, saved = str(tmp_path / "run"), [], [], []
