@@ -24,7 +24,11 @@ def parse_epoch(number: Column) -> Column:
 def parse_iso_date(text: Column) -> Column:
     """UTC date of an ISO date or date-time (with zone, or UTC where it has none); otherwise of
     its first ten characters; null for blanks and ``N/A``."""
-    t = strip(text)
+    return parse_stripped_date(strip(text))
+
+
+def parse_stripped_date(t: Column) -> Column:
+    """:func:`parse_iso_date` of a text without white space around it."""
     full = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?([Zz]|[+-]\d{2}:?\d{2})?$"
     zoned = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[zZ]$", "+00:00"), ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")
     head = F.when(F.substring(t, 1, 10).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))

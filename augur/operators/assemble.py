@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augur.functions.dates import parse_iso_date
+from augur.functions.dates import parse_stripped_date
 from augur.functions.text import blank_to_null, strip
 
 SYSTEM_PROMPT = (
@@ -19,11 +19,14 @@ SYSTEM_PROMPT = (
 def leakage_filter(news: Column, freeze_date: Column) -> Column:
     """struct(kept, filtered): items dated strictly before the freeze with a headline or summary,
     and how many were not."""
-    clean = F.transform(F.coalesce(news, F.array().cast("array<struct<date: string, headline: string, summary: string>>")), lambda n: F.struct(
-        parse_iso_date(n["date"]).alias("day"), strip(F.coalesce(n["headline"], F.lit(""))).alias("headline"), strip(F.coalesce(n["summary"], F.lit(""))).alias("summary")))
-    good = F.filter(clean, lambda n: F.coalesce(n["day"] < freeze_date, F.lit(False)) & ((F.length(n["headline"]) > 0) | (F.length(n["summary"]) > 0)))
-    kept = F.transform(good, lambda n: F.struct(F.date_format(n["day"], "yyyy-MM-dd").alias("date"), n["headline"].alias("headline"), n["summary"].alias("summary")))
-    return F.struct(kept.alias("kept"), (F.size(clean) - F.size(good)).alias("filtered"))
+    # What an expression within a function of arrays names twice is computed twice, a variable is not.
+    once = lambda c, f: F.transform(F.array(c), f)[0]
+    texts = F.transform(F.coalesce(news, F.array().cast("array<struct<date: string, headline: string, summary: string>>")), lambda n: F.struct(
+        strip(n["date"]).alias("date"), strip(F.coalesce(n["headline"], F.lit(""))).alias("headline"), strip(F.coalesce(n["summary"], F.lit(""))).alias("summary")))
+    clean = F.transform(texts, lambda n: F.struct(parse_stripped_date(n["date"]).alias("day"), n["headline"].alias("headline"), n["summary"].alias("summary")))
+    good = lambda items: F.filter(items, lambda n: F.coalesce(n["day"] < freeze_date, F.lit(False)) & ((F.length(n["headline"]) > 0) | (F.length(n["summary"]) > 0)))
+    shown = lambda items: F.transform(items, lambda n: F.struct(F.date_format(n["day"], "yyyy-MM-dd").alias("date"), n["headline"].alias("headline"), n["summary"].alias("summary")))
+    return once(clean, lambda every: once(good(every), lambda g: F.struct(shown(g).alias("kept"), (F.size(every) - F.size(g)).alias("filtered"))))
 
 
 def render_user_prompt(question: Column, row: dict[str, Column]) -> Column:

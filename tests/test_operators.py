@@ -198,6 +198,14 @@ def test_leakage(spark):
     assert [n.headline for n in a.kept] == ["a"] and a.filtered == 5 and (b.kept, b.filtered) == ([], 0)
 
 
+def test_leakage_reads_a_text_once(spark):
+    """Within functions of arrays Spark computes again whatever is named again."""
+    df = spark.range(1).select(F.array(F.struct(F.lit(" 2024-12-31 ").alias("date"), F.lit(" a ").alias("headline"), F.lit(None).cast("string").alias("summary"))).alias("news"), F.to_date(F.lit("2025-01-01")).alias("d"))
+    used = df.select(assemble.leakage_filter(F.col("news"), F.col("d")).alias("l"))
+    assert used._jdf.queryExecution().analyzed().toString().count("^\\s+") == 3
+    assert [tuple(n) for n in used.first().l.kept] == [("2024-12-31", "a", "")] and used.first().l.filtered == 0
+
+
 def test_audit(spark):
     q = questions(spark, [("a::1", "a", "x", "2025-01-05", None), ("b::1", "b", "x", "2025-02-05", None), ("b::2", "b", "x", "2025-02-06", None)]).withColumn("categories", F.array("source", F.lit("z")))
     r = audit.report(q).first()
